@@ -182,3 +182,50 @@ def picks_stage(src: TableSource) -> DataFrame:
     for i, c in enumerate(cols):
         out.append(F.element_at(pool, ((F.col("o_orderkey") + i) % 7 + 1).cast("int")).alias(c))
     return o.select(*out)
+
+
+# --- the live parts, over the driver's ``events`` table -------------------
+# events(event_id, ts, user_id, event_type, value, props '{"k": n}')
+
+def _k(col: str = "props") -> Column:
+    return F.from_json(F.col(col), "k INT").getField("k")
+
+
+def samples(src: TableSource) -> DataFrame:
+    """Gauge samples (ts, metric, value, ok) with the event id as tie-breaker."""
+    ev = src.events
+    return ev.select("event_id", "ts", F.col("event_type").alias("metric"), "value",
+                     (_k() >= 10).alias("ok"))
+
+
+# fixed values: change-log operation of each event type
+CHANGE_OPS = {"signup": "insert", "view": "update", "error": "delete"}
+
+
+def change_log(src: TableSource) -> DataFrame:
+    """Change log (id, ts, seq, op, v): signup inserts k, view adds k, error deletes."""
+    ev = src.events
+    op = F.when(F.col("event_type") == "signup", F.lit("insert")) \
+        .when(F.col("event_type") == "view", F.lit("update")) \
+        .when(F.col("event_type") == "error", F.lit("delete"))
+    return (ev.filter(F.col("event_type").isin(*CHANGE_OPS))
+            .select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"),
+                    op.alias("op"), F.when(op != "delete", _k()).alias("v")))
+
+
+# fixed values: source priority of each event type (first source wins)
+SOURCE_PRIORITY = {"click": 1, "purchase": 2, "view": 3}
+
+
+def source_readings(src: TableSource) -> DataFrame:
+    """One reading (usd, eur) per (hourly poll, source): the source's first event of the hour."""
+    ev = src.events.filter(F.col("event_type").isin(*SOURCE_PRIORITY))
+    pr = F.when(F.col("event_type") == "click", F.lit(1)) \
+        .when(F.col("event_type") == "purchase", F.lit(2)).otherwise(F.lit(3))
+    k = _k()
+    rd = ev.select(F.date_trunc("hour", F.col("ts")).alias("poll"), pr.alias("priority"),
+                   F.col("value").alias("usd"),
+                   F.when(k >= 10, k.cast("double")).alias("eur"), "ts", "event_id")
+    first = rd.groupBy("poll", "priority").agg(
+        F.min_by(F.struct("usd", "eur"), F.struct("ts", "event_id")).alias("_r"))
+    return first.select("poll", "priority", "_r.usd", "_r.eur")

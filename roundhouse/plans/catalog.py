@@ -9,11 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import TableSource
 from . import adapters as A
 from . import params as P
 from . import queries as Q
+from ..functions.scalars import clean_best_of, derive_winner, event_name, player_score, slug
+from ..operators import changes as C
+from ..operators import etl as E
+from ..operators import report as R
+from ..operators import samples as W
+from ..operators.shape import two_sided
+from ..sources import sinks as S
+from ..sources.files import payload_fields
 
 
 class Tables:
@@ -172,6 +181,266 @@ def _(t: Tables):
     return Q.kd_ratio(t.p, k=None)
 
 
+# --- report queries ---------------------------------------------------------
+
+@register("map_distribution")
+def _(t: Tables):
+    return Q.map_distribution(t.r, t.m, P.EVENT_A)
+
+
+@register("map_share")
+def _(t: Tables):
+    return R.share_of_total(Q.map_distribution(t.r, t.m, P.EVENT_A), "maps_played")
+
+
+@register("match_wins")
+def _(t: Tables):
+    return Q.match_wins(t.r, t.m, P.EVENT_B)
+
+
+@register("match_wins_groups")
+def _(t: Tables):
+    return Q.match_wins(t.r, t.m, P.EVENT_B, k=None)
+
+
+@register("players_min_maps")
+def _(t: Tables):
+    return Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS)
+
+
+@register("players_min_maps_groups")
+def _(t: Tables):
+    return Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS, k=None)
+
+
+@register("player_labels")
+def _(t: Tables):
+    return Q.player_labels(Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS))
+
+
+@register("team_rounds_by_day")
+def _(t: Tables):
+    return Q.team_rounds_by_day(t.r, t.m, P.TEAM, P.YEAR_BEST)
+
+
+@register("total_rounds")
+def _(t: Tables):
+    return Q.total_rounds(t.r, t.m, P.EVENT_A)
+
+
+@register("rounds_histogram")
+def _(t: Tables):
+    return R.equal_width_histogram(Q.total_rounds(t.r, t.m, P.EVENT_A), "total_rounds", P.HIST_BINS)
+
+
+@register("rounds_by_bin_width")
+def _(t: Tables):
+    return R.fixed_width_bins(Q.total_rounds(t.r, t.m, P.EVENT_A), "total_rounds", P.BIN_WIDTH)
+
+
+@register("rating_vs_rounds_left")
+def _(t: Tables):
+    return Q.rating_vs_rounds(t.r, t.m, t.p, P.EVENT_A, drop_null=False)
+
+
+@register("rating_vs_rounds")
+def _(t: Tables):
+    return Q.rating_vs_rounds(t.r, t.m, t.p, P.EVENT_A)
+
+
+@register("rounds_per_team_day")
+def _(t: Tables):
+    return Q.rounds_per_team_day(t.r, t.m, P.EVENT_A)
+
+
+@register("rounds_pivot")
+def _(t: Tables):
+    return Q.rounds_pivot(Q.rounds_per_team_day(t.r, t.m, P.EVENT_A), P.TEAM_LABELS)
+
+
+@register("team_labels")
+def _(t: Tables):
+    return Q.team_labels(Q.rounds_per_team_day(t.r, t.m, P.EVENT_A))
+
+
+@register("team_pool")
+def _(t: Tables):
+    return Q.team_pool(t.m, t.ps, t.p, P.FORCED_TEAM)
+
+
+def _rating_sheet(t: Tables):
+    return Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS, k=None)
+
+
+@register("column_anchors")
+def _(t: Tables):
+    sheet = _rating_sheet(t)
+    return R.column_anchors(sheet, R.numeric_columns(sheet))
+
+
+@register("colour_position")
+def _(t: Tables):
+    return R.colour_position(_rating_sheet(t), "avg_rating")
+
+
+@register("report_row_counts")
+def _(t: Tables):
+    return S.report_row_counts({
+        "maps": Q.map_distribution(t.r, t.m, P.EVENT_A),
+        "team_wins": Q.match_wins(t.r, t.m, P.EVENT_B),
+        "players_rating": Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS),
+    })
+
+
+@register("two_sided")
+def _(t: Tables):
+    j = t.r.join(t.m.select("match_id", "team_1", "team_2"), "match_id")
+    return two_sided(j, [{"team": "team_1", "rounds_won": "result_1"},
+                         {"team": "team_2", "rounds_won": "result_2"}], keep=["match_id", "map"])
+
+
+# --- ETL -----------------------------------------------------------------------
+
+@register("etl_events")
+def _(t: Tables):
+    named = t.ev.filter(F.col("event_name").isNotNull() & (F.col("event_name") != ""))
+    new = t.r.select("event_id").distinct().withColumn("event_name", F.lit(None).cast("string"))
+    return E.insert_ignore(new, named, ["event_id"])
+
+
+@register("etl_matches")
+def _(t: Tables):
+    e = t.e
+    new = e.select("match_id", "event_id", F.col("date").alias("match_date"), "team_1", "team_2",
+                   clean_best_of("best_of").alias("best_of")).distinct()
+    return E.insert_ignore(new, None, ["match_id"])
+
+
+@register("etl_best_of")
+def _(t: Tables):
+    return t.e.select("match_id", clean_best_of("best_of").alias("best_of"))
+
+
+@register("etl_players")
+def _(t: Tables):
+    return t.ps.withColumnRenamed("date", "match_date").withColumn("rating", F.col("rating").cast("double"))
+
+
+@register("etl_results")
+def _(t: Tables):
+    return E.insert_ignore(t.r, None, None)
+
+
+@register("etl_picks")
+def _(t: Tables):
+    return E.insert_ignore(A.picks_stage(t.src), None, ["match_id"])
+
+
+def _results_before(t: Tables, year: int):
+    dates = A.order_facts(t.src).select("match_id", "match_date")
+    return t.r.join(dates.filter(F.col("match_date") < F.lit(f"{year}-01-01").cast("date")),
+                    "match_id", "left_semi")
+
+
+@register("insert_ignore")
+def _(t: Tables):
+    keys = ["match_id", "map"]
+    existing = E.dedupe_by_key(_results_before(t, P.YEAR_MATCHES), keys)
+    return E.insert_ignore(t.r, existing, keys)
+
+
+@register("append_results")
+def _(t: Tables):
+    old = _results_before(t, P.YEAR_MATCHES)
+    new = t.r.join(old.select("match_id"), "match_id", "left_anti")
+    return E.append(old, new)
+
+
+@register("assign_match_ids")
+def _(t: Tables):
+    facts = A.order_facts(t.src).select("match_id", "match_winner")
+    m = t.m.join(facts, "match_id")
+    existing = m.filter(F.col("match_winner").isNotNull())
+    new = (m.filter(F.col("match_winner").isNull())
+           .select(F.col("match_id").alias("source_id"), "event_id", "match_date", "team_1", "team_2"))
+    start = existing.select(F.coalesce(F.max("match_id"), F.lit(0))).scalar()
+    return E.assign_ids(new, start, ["match_date", "source_id"], id_col="match_id")
+
+
+@register("derive_winner")
+def _(t: Tables):
+    return t.r.select("match_id", "map", "result_1", "result_2",
+                      derive_winner().alias("map_winner"))
+
+
+# --- scalar functions over tables ---------------------------------------------
+
+@register("player_score")
+def _(t: Tables):
+    return t.p.select("match_id", "player_name", "team", "kills", "deaths",
+                      player_score().alias("score"))
+
+
+@register("event_names")
+def _(t: Tables):
+    ids = t.r.select("event_id").distinct()
+    return ids.join(t.ev, "event_id", "left").select("event_id", event_name().alias("event_name"))
+
+
+@register("slug_names")
+def _(t: Tables):
+    return t.ev.select("event_id", slug(event_name()).alias("slug"))
+
+
+@register("json_payload_fields")
+def _(t: Tables):
+    ev = t.src.events.select("event_id", "props")
+    return payload_fields(ev, "props", "k INT", defaults={"k": 0})
+
+
+# --- live parts (batch forms) -----------------------------------------------------
+
+@register("apply_changes")
+def _(t: Tables):
+    return C.apply_changes(A.change_log(t.src), key="id", seq=("ts", "seq"), out="kills")
+
+
+@register("latest_gauge")
+def _(t: Tables):
+    return W.latest_value(A.samples(t.src), seq=("ts", "event_id"))
+
+
+@register("tumbling_last")
+def _(t: Tables):
+    return W.tumbling_last(A.samples(t.src), "1 day", seq=("ts", "event_id"))
+
+
+@register("availability")
+def _(t: Tables):
+    return W.availability(A.samples(t.src), "1 day")
+
+
+@register("retain_recent")
+def _(t: Tables):
+    return W.retain_recent(A.samples(t.src).select("event_id", "ts", "metric", "value"), "7 days")
+
+
+@register("source_fallback")
+def _(t: Tables):
+    return W.source_fallback(A.source_readings(t.src), last_priority=3)
+
+
+@register("asof_sample")
+def _(t: Tables):
+    return W.asof_sample(A.samples(t.src), 86400, seq=("ts", "event_id"))
+
+
+@register("random_pick")
+def _(t: Tables):
+    state = C.apply_changes(A.change_log(t.src), key="id", seq=("ts", "seq"), out="kills")
+    return state.orderBy(F.xxhash64(F.col("id"), F.lit(P.SEED)), "id").limit(1)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -15,3 +15,4 @@ FORCED_TEAM = "FURIA"    # member forced into the team pool
 HIST_BINS = 15
 BIN_WIDTH = 5
 TEAM_LABELS = [f"NATION_{i}" for i in range(25)]  # the 25 nation names of the test data
+SEED = 42             # repeatable random pick
