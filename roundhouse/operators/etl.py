@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +29,20 @@ def insert_ignore(new: DataFrame, existing: DataFrame | None, keys: list[str] |
 
     With ``keys``: rows of ``new`` whose key already exists are dropped (left
     anti join), duplicates inside ``new`` keep one deterministic survivor.
-    Without keys (the constraint is unknown) the rows are appended.
+    As in a SQL unique constraint, a key with a NULL part never conflicts, so
+    such rows are always inserted. Without keys (the constraint is unknown)
+    the rows are appended.
     """
     new = new.select(*(existing.columns if existing is not None else new.columns))
     if not keys:
         return new if existing is None else existing.unionByName(new)
-    fresh = dedupe_by_key(new, keys)
-    if existing is None:
-        return fresh
-    fresh = fresh.join(existing.select(*keys), on=keys, how="left_anti")
-    return existing.unionByName(fresh)
+    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    loose = new.filter(has_null)
+    fresh = dedupe_by_key(new.filter(~has_null), keys)
+    if existing is not None:
+        fresh = fresh.join(existing.select(*keys), on=keys, how="left_anti")
+        fresh = existing.unionByName(fresh)
+    return fresh.unionByName(loose)
 
 
 def append(existing: DataFrame, new: DataFrame) -> DataFrame:
