@@ -204,7 +204,11 @@ CHANGE_OPS = {"signup": "insert", "view": "update", "error": "delete"}
 
 def change_log(src: TableSource) -> DataFrame:
     """Change log (id, ts, seq, op, v): signup inserts k, view adds k, error deletes."""
-    ev = src.events
+    return change_log_rows(src.events)
+
+
+def change_log_rows(ev: DataFrame) -> DataFrame:
+    """The change-log mapping for any events frame, batch or streaming."""
     op = F.when(F.col("event_type") == "signup", F.lit("insert")) \
         .when(F.col("event_type") == "view", F.lit("update")) \
         .when(F.col("event_type") == "error", F.lit("delete"))

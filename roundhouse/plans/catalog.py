@@ -22,6 +22,7 @@ from ..operators import report as R
 from ..operators import samples as W
 from ..operators.shape import two_sided
 from ..sources import sinks as S
+from ..streaming import streams as ST
 from ..sources.files import payload_fields
 
 
@@ -441,6 +442,40 @@ def _(t: Tables):
     return state.orderBy(F.xxhash64(F.col("id"), F.lit(P.SEED)), "id").limit(1)
 
 
+# --- live parts (streaming forms) ---------------------------------------------------
+
+@register("stream_insert_ignore")
+def _(t: Tables):
+    spark = t.spark
+    target, ckpt = ST.fresh_paths(spark, "insert_ignore")
+    cols = ["user_id", "event_type", "ts", "event_id", "value"]
+    ST.stream_insert_ignore(ST.event_stream(spark, t.src.root), ["user_id", "event_type"], cols,
+                            target, ckpt)
+    return spark.read.parquet(f"{target}/batch_id=*").select(*cols)
+
+
+@register("stream_window_counts")
+def _(t: Tables):
+    spark = t.spark
+    target, ckpt = ST.fresh_paths(spark, "window_counts")
+    stream = ST.event_stream(spark, t.src.root).withColumnRenamed("event_type", "metric")
+    ST.stream_window_counts(stream, "1 day", ["metric"], "ts", ["ts", "event_id"], "value",
+                            target, ckpt)
+    return ST.latest_versions(spark, target, ["metric", "window_start"])
+
+
+@register("stream_apply_changes")
+def _(t: Tables):
+    spark = t.spark
+    log_target, ckpt = ST.fresh_paths(spark, "change_log")
+    state_target, _ = ST.fresh_paths(spark, "change_state")
+    stream = A.change_log_rows(ST.event_stream(spark, t.src.root))
+    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", log_target, state_target,
+                            ckpt, out="kills")
+    state = ST.latest_versions(spark, state_target, ["id"])
+    return state.filter("present").select("id", "kills")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
