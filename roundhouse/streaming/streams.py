@@ -24,7 +24,7 @@ from ..session import scratch_path
 def event_stream(spark: SparkSession, folder: str, table: str = "events",
                  files_per_batch: int | None = None) -> DataFrame:
     """Streaming read of ``<folder>/<table>*.parquet`` with the batch table's schema."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    schema = spark.read.option("pathGlobFilter", f"{table}*.parquet").parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
