@@ -69,24 +69,67 @@ def numeric_columns(df: DataFrame, sample_rows: int = 19, min_numbers: int = 3)
     return [c for c in nums if counts[c] >= min_numbers]
 
 
-def column_anchors(df: DataFrame, columns: list[str]) -> DataFrame:
-    """min, median (exact, interpolated) and max of each column: the colour-scale anchors.
-
-    Meant for report sheets (aggregated results): the exact median's buffer
-    holds the distinct values of the column.
+def exact_quantile(df: DataFrame, column: str, q: float = 0.5, final_rows: int = 200_000,
+                   accuracy: int = 10_000, max_rounds: int = 6, n: int | None = None):
+    """Exact interpolated quantile (like quantile_cont) of a column of any size.
+
+    ``percentile`` keeps every distinct value of a group in one buffer; here the
+    candidates are narrowed instead: each round brackets the target ranks with
+    ``percentile_approx`` and verifies the bracket with exact counts (two
+    distributed passes), keeping only rows inside it. Once at most
+    ``final_rows`` candidates remain they are sorted (range-partitioned) and the
+    two rows at the target ranks are read. Only scalars reach the driver.
     """
-    parts = []
+    v = F.col("v")
+    cand = df.select(F.col(column).cast("double").alias("v")).filter(v.isNotNull())
+    n = cand.count() if n is None else n
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    k_lo = int(pos)
+    k_hi = min(k_lo + 1, n - 1)
+    frac = pos - k_lo
+    below, m = 0, n
+    for _ in range(max_rounds):
+        if m <= final_rows:
+            break
+        slack = 2.0 / accuracy
+        qa = max(0.0, (k_lo - below) / m - slack)
+        qb = min(1.0, (k_hi - below) / m + slack)
+        a, b = cand.select(F.percentile_approx(v, [qa, qb], accuracy)).first()[0]
+        c0, c1 = cand.agg(F.count(F.when(v < a, 1)), F.count(F.when((v >= a) & (v <= b), 1))).first()
+        if not (below + c0 <= k_lo and k_hi <= below + c0 + c1 - 1) or c1 >= m:
+            break  # bracket missed (or no progress): finish on the current candidates
+        below, m = below + c0, c1
+        cand = cand.filter((v >= a) & (v <= b))
+    pair = cand.orderBy("v").offset(k_lo - below).limit(k_hi - k_lo + 1).collect()
+    lo_v = pair[0][0]
+    hi_v = pair[-1][0]
+    return lo_v + (hi_v - lo_v) * frac
+
+
+def _anchors(df: DataFrame, columns: list[str]) -> list[tuple]:
+    """(column, min, median, max) per column: one pass for min/max/count, then the medians."""
+    aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        parts.append(df.agg(F.lit(c).alias("column"), F.min(x).alias("min_value"),
-                            F.percentile(x, 0.5).alias("median_value"),
-                            F.max(x).alias("max_value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        aggs += [F.min(x), F.max(x), F.count(x)]
+    row = df.agg(*aggs).first()
+    out = []
+    for i, c in enumerate(columns):
+        lo, hi, n = row[3 * i], row[3 * i + 1], row[3 * i + 2]
+        out.append((c, lo, exact_quantile(df, c, 0.5, n=n), hi))
     return out
 
 
+def column_anchors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """min, median (exact, interpolated) and max of each column: the colour-scale anchors."""
+    spark = df.sparkSession
+    data = _anchors(df, columns)
+    return spark.createDataFrame(
+        data, "column string, min_value double, median_value double, max_value double")
+
+
 def colour_position(df: DataFrame, column: str, name: str = "position") -> DataFrame:
     """Position of each value on the min - median - max scale: 0 .. 0.5 .. 1.
 
@@ -94,9 +137,8 @@ def colour_position(df: DataFrame, column: str, name: str = "position") -> DataF
     lower end. Rounded to 6 digits.
     """
     x = F.col(column).cast("double")
-    a = df.select(F.struct(F.min(x).alias("lo"), F.percentile(x, 0.5).alias("mid"),
-                           F.max(x).alias("hi")).alias("a")).scalar()
-    lo, mid, hi = a.getField("lo"), a.getField("mid"), a.getField("hi")
+    _, a_lo, a_mid, a_hi = _anchors(df, [column])[0]
+    lo, mid, hi = (F.lit(a).cast("double") for a in (a_lo, a_mid, a_hi))
     lower = F.when(mid == lo, F.lit(0.0)).otherwise((x - lo) / (mid - lo) * 0.5)
     upper = F.when(hi == mid, F.lit(0.5)).otherwise(0.5 + (x - mid) / (hi - mid) * 0.5)
     pos: Column = F.when(x.isNull(), F.lit(None)).when(x <= mid, lower).otherwise(upper)

@@ -187,3 +187,13 @@ def test_numeric_columns(spark):
 def test_share_of_total(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long")
     assert dict(rows(R.share_of_total(df, "n"), "k", "share")) == {"a": 33.3, "b": 66.7}
+
+
+def test_exact_quantile_many_rounds(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.integers(0, 50, 3000), rng.normal(100, 30, 2000).round(2)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
+    for q in (0.5, 0.1, 0.93):
+        got = R.exact_quantile(df, "x", q, final_rows=50, accuracy=100)
+        assert abs(got - float(np.quantile(vals, q))) < 1e-9

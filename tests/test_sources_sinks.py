@@ -50,3 +50,17 @@ def test_payload_defaults_and_required(spark):
     assert sorted(rows(gh)) == [(1, 5, 2), (2, 0, 1), (3, 0, 0)]
     w = files.payload_fields(df, "body", "stars INT, forks INT", required=("stars", "forks"))
     assert sorted(rows(w, "id", "ok")) == [(1, True), (2, False), (3, False)]
+
+
+def test_save_results_writes_each_query(spark, tmp_path):
+    from conftest import SF_SMALL
+    from roundhouse.plans.sql import save_results
+    out = save_results(spark, SF_SMALL, ["matches_per_event", "kd_ratio"], str(tmp_path))
+    back = spark.read.option("header", True).csv(out["matches_per_event"])
+    assert back.count() == 10 and back.columns == ["event_id", "matches_count"]
+
+
+def test_sql_parameters_are_bound(spark):
+    from roundhouse.plans.sql import run_sql
+    df = run_sql(spark, "SELECT :name AS s, :n + 1 AS k", name="x'); DROP", n=41)
+    assert df.first() == ("x'); DROP", 42)
