@@ -312,8 +312,10 @@ def _(t: Tables):
 @register("etl_matches")
 def _(t: Tables):
     e = t.e
+    # SELECT DISTINCT ... ON CONFLICT (match_id): the per-key minimum already removes
+    # duplicate rows, so no separate DISTINCT shuffle is needed
     new = e.select("match_id", "event_id", F.col("date").alias("match_date"), "team_1", "team_2",
-                   clean_best_of("best_of").alias("best_of")).distinct()
+                   clean_best_of("best_of").alias("best_of"))
     return E.insert_ignore(new, None, ["match_id"])
 
 
