@@ -21,6 +21,26 @@ DEFAULTS = {
 }
 
 
+def sizing_for(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition settings for an input of ``input_bytes`` on ``total_cores`` cores.
+
+    Scans split files into ~``target_partition_bytes`` tasks; shuffles start
+    with enough partitions that each holds about that much (at least two per
+    core) and AQE coalesces the ones that turn out small, so a partition fits
+    an executor's memory at any scale without tuning per query. For 100 TB on
+    8,000 cores: 256 MiB scan splits, 400k initial shuffle partitions, 128 MiB
+    advisory size after coalescing.
+    """
+    shuffle = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(max(64 << 20, target_partition_bytes // 2)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "roundhouse", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.

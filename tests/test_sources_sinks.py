@@ -64,3 +64,11 @@ def test_sql_parameters_are_bound(spark):
     from roundhouse.plans.sql import run_sql
     df = run_sql(spark, "SELECT :name AS s, :n + 1 AS k", name="x'); DROP", n=41)
     assert df.first() == ("x'); DROP", 42)
+
+
+def test_sizing_for_large_inputs():
+    from roundhouse.session import sizing_for
+    big = sizing_for(100 * 2**40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    small = sizing_for(10 << 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
