@@ -227,7 +227,7 @@ def source_readings(src: TableSource) -> DataFrame:
     pr = F.when(F.col("event_type") == "click", F.lit(1)) \
         .when(F.col("event_type") == "purchase", F.lit(2)).otherwise(F.lit(3))
     k = _k()
-    rd = ev.select(F.date_trunc("hour", F.col("ts")).alias("poll"), pr.alias("priority"),
+    rd = ev.select(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("poll"), pr.alias("priority"),
                    F.col("value").alias("usd"),
                    F.when(k >= 10, k.cast("double")).alias("eur"), "ts", "event_id")
     first = rd.groupBy("poll", "priority").agg(
