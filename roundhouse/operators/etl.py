@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def dedupe_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the smallest row by the remaining columns in their order.
@@ -58,14 +60,15 @@ def assign_ids(new: DataFrame, start, order: list[str], id_col: str = "id") -> D
     the rows are range-partitioned and sorted, each partition counts its rows,
     and the offsets come from a running sum over the (few) partition counts.
     ``order`` must be unique per row for the numbering to be repeatable; the
-    numbered rows are checkpointed to the shared checkpoint folder so a lost
-    executor cannot renumber them.
+    positions are written once below the shared checkpoint folder, so the
+    count pass and the numbering pass read the same rows and a lost executor
+    cannot renumber them.
     """
     start = F.lit(start) if isinstance(start, int) else start
     ranged = (new.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     # one row per partition: the window below sees at most numPartitions rows
     offsets = counts.withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rounding import round_ratio
+from ..session import materialize
 
 
 def equal_width_histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
@@ -109,7 +110,13 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, final_rows: int =
 
 
 def _anchors(df: DataFrame, columns: list[str]) -> list[tuple]:
-    """(column, min, median, max) per column: one pass for min/max/count, then the medians."""
+    """(column, min, median, max) per column: one pass for min/max/count, then the medians.
+
+    The anchors take several jobs, so the projected columns are written once
+    (below the shared checkpoint folder) instead of re-running the plan that
+    produced ``df`` for each of them.
+    """
+    df = materialize(df.select(*columns), "anchors")
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")

@@ -348,6 +348,7 @@ def _results_before(t: Tables, year: int):
 @register("insert_ignore")
 def _(t: Tables):
     keys = ["match_id", "map"]
+    # the prior load (in production the stored target table)
     existing = E.insert_ignore(_results_before(t, P.YEAR_MATCHES), None, keys)
     return E.insert_ignore(t.r, existing, keys)
 

@@ -84,3 +84,17 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the plan only once
+    (an RDD checkpoint of an uncached plan computes it twice). Later jobs read
+    the written files, and a lost executor re-reads them instead of
+    recomputing the plan.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
