@@ -486,7 +486,7 @@ def _(t: Tables):
     cols = ["user_id", "event_type", "ts", "event_id", "value"]
     ST.stream_insert_ignore(ST.event_stream(spark, t.src.root), ["user_id", "event_type"], cols,
                             target, ckpt)
-    return spark.read.parquet(f"{target}/batch_id=*").select(*cols)
+    return ST.latest_versions(spark, target, ["user_id", "event_type"]).select(*cols)
 
 
 @register("stream_window_counts")

@@ -68,20 +68,19 @@ def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
                          target: str, checkpoint: str) -> None:
     """Continuous INSERT ... ON CONFLICT (keys) DO NOTHING into the Parquet table ``target``.
 
-    Inside a micro-batch duplicates keep the smallest row (``columns`` order);
-    across batches the first batch that brought a key wins. Batch n compares
-    against the batches before n only, so a replay of n is idempotent.
+    The state store remembers, per key, the smallest (batch time, row): the
+    batch time is the micro-batch timestamp (recorded in the offset log, so a
+    replay sees the same value), hence the first batch that brought a key wins
+    and, inside it, the smallest row. Update mode hands each batch only the
+    keys it touched; nothing rescans the target. The streaming aggregate is
+    combined map-side, so a hot key is one state row, not one big task.
+    Keys are expected to be non-null (the live feed's match ids are).
     """
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = dedupe_by_key(batch.select(*columns), keys)
-        seen = _written(spark, target, before=batch_id)
-        if seen is not None:
-            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
-        _batch_writer(target)(fresh, batch_id)
-
-    run_available(stream.writeStream.foreachBatch(merge)
+    rest = [c for c in columns if c not in keys]
+    arrived = stream.select(*columns).withColumn("_arrival", F.current_timestamp())
+    agg = arrived.groupBy(*keys).agg(F.min(F.struct("_arrival", *rest)).alias("_r"))
+    out = agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+    run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
                   .option("checkpointLocation", checkpoint), f"insert_ignore_{uuid.uuid4().hex[:8]}")
 
 
@@ -106,22 +105,30 @@ def stream_window_counts(stream: DataFrame, every: str, keys: list[str], ts: str
 
 
 def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value: str,
-                         log_target: str, state_target: str, checkpoint: str, out: str = "value") -> None:
+                         log_target: str, state_target: str, checkpoint: str, out: str = "value",
+                         buckets: int = 64) -> None:
     """Keep the change-log state current.
 
-    Each batch appends its events to the log table, then recomputes the rows
-    of the keys it touched from their whole log (late events need no special
-    case), writing (key, value, present) as a new version of those keys.
+    Each batch appends its events to the log table, partitioned by a hash
+    bucket of the key, then recomputes the rows of the keys it touched from
+    their whole log (late events need no special case), reading only the
+    buckets it touched, and writes (key, value, present) as a new version of
+    those keys.
     """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _batch_writer(log_target)(batch, batch_id)
-        log = _written(spark, log_target, before=batch_id + 1).drop("batch_id")
-        touched = batch.select(key).distinct()
-        state = apply_changes(log.join(touched, key, "left_semi"), key=key, seq=seq, op=op,
-                              value=value, out=out)
-        versions = (touched.join(state, key, "left")
+        batch = batch.withColumn("_bucket", bucket)
+        (batch.write.mode("overwrite").partitionBy("_bucket")
+         .parquet(f"{log_target}/batch_id={batch_id}"))
+        touched = batch.select(key, "_bucket").distinct()
+        hit = [r[0] for r in touched.select("_bucket").distinct().collect()]  # at most `buckets` ints
+        log = (spark.read.option("basePath", log_target).parquet(f"{log_target}/batch_id=*")
+               .filter((F.col("batch_id") <= batch_id) & F.col("_bucket").isin(hit)))
+        state = apply_changes(log.join(touched, [key, "_bucket"], "left_semi"), key=key, seq=seq,
+                              op=op, value=value, out=out)
+        versions = (touched.select(key).join(state, key, "left")
                     .withColumn("present", F.col(out).isNotNull()))
         _batch_writer(state_target)(versions, batch_id)
 
