@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import apply_changes
-from ..operators.etl import dedupe_by_key
 from ..session import scratch_path
 
 
@@ -46,16 +45,6 @@ def _batch_writer(target: str):
     return write
 
 
-def _written(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Rows written by earlier batches (partition pruning on batch_id), None before the first."""
-    from pyspark.errors import AnalysisException
-    try:
-        df = spark.read.option("basePath", target).parquet(f"{target}/batch_id=*")
-    except AnalysisException:
-        return None
-    return df if before is None else df.filter(F.col("batch_id") < before)
-
-
 def latest_versions(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """The newest written row of each key (versions are ordered by batch id)."""
     df = spark.read.option("basePath", target).parquet(f"{target}/batch_id=*")
