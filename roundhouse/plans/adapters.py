@@ -108,28 +108,35 @@ def economy(src: TableSource) -> DataFrame:
     )
 
 
-def results(src: TableSource) -> DataFrame:
-    """results(match_id, event_id, map, result_1, result_2, map_winner, match_winner)."""
+def results(src: TableSource, with_map: bool = True) -> DataFrame:
+    """results(match_id, event_id, map, result_1, result_2, map_winner, match_winner).
+
+    ``map`` is the only column that needs ``part``; it is joined with a LEFT
+    join (every lineitem stays a result row), so ``with_map=False`` returns
+    exactly the same rows without the lineitem-sized join for questions that
+    never look at the map.
+    """
     li = src.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
-    p = src.part.select("p_partkey", "p_type")
     o = src.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
-    # lineitem x part first, orders last: the output stays partitioned by the
-    # order key, which is the key every later join with matches uses
-    j = li.join(p, li.l_partkey == p.p_partkey).join(o, F.col("l_orderkey") == o.o_orderkey)
-    bucket = F.col("l_partkey") % 23
-    map_col = (F.when(bucket == 0, F.lit(MAP_NAMES[0])).when(bucket == 1, F.lit(MAP_NAMES[1]))
-               .when(bucket == 2, F.lit(MAP_NAMES[2])).when(bucket == 3, F.lit(None).cast("string"))
-               .otherwise(F.col("p_type")))
+    j = li
+    if with_map:
+        p = src.part.select("p_partkey", "p_type")
+        j = j.join(p, li.l_partkey == p.p_partkey, "left")
+    # orders last: the output stays partitioned by the order key, which is the
+    # key every later join with matches uses
+    j = j.join(o, F.col("l_orderkey") == o.o_orderkey)
     r1 = (_whole("l_quantity") % 20).cast("int")
     r2 = (F.col("l_partkey") % 20).cast("int")
-    return j.select(
-        F.col("l_orderkey").alias("match_id"),
-        event_of(F.col("o_custkey")).alias("event_id"),
-        map_col.alias("map"),
-        r1.alias("result_1"), r2.alias("result_2"),
-        derive_winner(r1, r2).alias("map_winner"),
-        _winner_of_status(F.col("o_orderstatus")).alias("match_winner"),
-    )
+    cols = [F.col("l_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id")]
+    if with_map:
+        bucket = F.col("l_partkey") % 23
+        map_col = (F.when(bucket == 0, F.lit(MAP_NAMES[0])).when(bucket == 1, F.lit(MAP_NAMES[1]))
+                   .when(bucket == 2, F.lit(MAP_NAMES[2])).when(bucket == 3, F.lit(None).cast("string"))
+                   .otherwise(F.col("p_type")))
+        cols.append(map_col.alias("map"))
+    cols += [r1.alias("result_1"), r2.alias("result_2"), derive_winner(r1, r2).alias("map_winner"),
+             _winner_of_status(F.col("o_orderstatus")).alias("match_winner")]
+    return j.select(*cols)
 
 
 def players_stage(src: TableSource) -> DataFrame:

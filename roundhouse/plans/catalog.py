@@ -41,6 +41,11 @@ class Tables:
     def r(self) -> DataFrame:
         return A.results(self.src)
 
+    @property
+    def rc(self) -> DataFrame:
+        """results without the map column (no join with part)."""
+        return A.results(self.src, with_map=False)
+
     @property
     def p(self) -> DataFrame:
         return A.players(self.src)
@@ -134,12 +139,12 @@ def _(t: Tables):
 
 @register("avg_winrate")
 def _(t: Tables):
-    return Q.avg_winrate(t.r, t.m, P.EVENT_A)
+    return Q.avg_winrate(t.rc, t.m, P.EVENT_A)
 
 
 @register("avg_winrate_groups")
 def _(t: Tables):
-    return Q.avg_winrate(t.r, t.m, None, k=None)
+    return Q.avg_winrate(t.rc, t.m, None, k=None)
 
 
 @register("matches_per_event_all")
@@ -154,22 +159,22 @@ def _(t: Tables):
 
 @register("best_team_of_year")
 def _(t: Tables):
-    return Q.best_team_of_year(t.r, t.m, P.YEAR_BEST)
+    return Q.best_team_of_year(t.rc, t.m, P.YEAR_BEST)
 
 
 @register("best_team_of_year_groups")
 def _(t: Tables):
-    return Q.best_team_of_year(t.r, t.m, P.YEAR_BEST, k=None)
+    return Q.best_team_of_year(t.rc, t.m, P.YEAR_BEST, k=None)
 
 
 @register("overtime_teams")
 def _(t: Tables):
-    return Q.overtime_teams(t.r, t.m)
+    return Q.overtime_teams(t.rc, t.m)
 
 
 @register("overtime_teams_groups")
 def _(t: Tables):
-    return Q.overtime_teams(t.r, t.m, k=None)
+    return Q.overtime_teams(t.rc, t.m, k=None)
 
 
 @register("kd_ratio")
@@ -196,72 +201,72 @@ def _(t: Tables):
 
 @register("match_wins")
 def _(t: Tables):
-    return Q.match_wins(t.r, t.m, P.EVENT_B)
+    return Q.match_wins(t.rc, t.m, P.EVENT_B)
 
 
 @register("match_wins_groups")
 def _(t: Tables):
-    return Q.match_wins(t.r, t.m, P.EVENT_B, k=None)
+    return Q.match_wins(t.rc, t.m, P.EVENT_B, k=None)
 
 
 @register("players_min_maps")
 def _(t: Tables):
-    return Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS)
+    return Q.players_min_maps(t.p, t.rc, t.m, P.EVENT_B, P.MIN_MAPS)
 
 
 @register("players_min_maps_groups")
 def _(t: Tables):
-    return Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS, k=None)
+    return Q.players_min_maps(t.p, t.rc, t.m, P.EVENT_B, P.MIN_MAPS, k=None)
 
 
 @register("player_labels")
 def _(t: Tables):
-    return Q.player_labels(Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS))
+    return Q.player_labels(Q.players_min_maps(t.p, t.rc, t.m, P.EVENT_B, P.MIN_MAPS))
 
 
 @register("team_rounds_by_day")
 def _(t: Tables):
-    return Q.team_rounds_by_day(t.r, t.m, P.TEAM, P.YEAR_BEST)
+    return Q.team_rounds_by_day(t.rc, t.m, P.TEAM, P.YEAR_BEST)
 
 
 @register("total_rounds")
 def _(t: Tables):
-    return Q.total_rounds(t.r, t.m, P.EVENT_A)
+    return Q.total_rounds(t.rc, t.m, P.EVENT_A)
 
 
 @register("rounds_histogram")
 def _(t: Tables):
-    return R.equal_width_histogram(Q.total_rounds(t.r, t.m, P.EVENT_A), "total_rounds", P.HIST_BINS)
+    return R.equal_width_histogram(Q.total_rounds(t.rc, t.m, P.EVENT_A), "total_rounds", P.HIST_BINS)
 
 
 @register("rounds_by_bin_width")
 def _(t: Tables):
-    return R.fixed_width_bins(Q.total_rounds(t.r, t.m, P.EVENT_A), "total_rounds", P.BIN_WIDTH)
+    return R.fixed_width_bins(Q.total_rounds(t.rc, t.m, P.EVENT_A), "total_rounds", P.BIN_WIDTH)
 
 
 @register("rating_vs_rounds_left")
 def _(t: Tables):
-    return Q.rating_vs_rounds(t.r, t.m, t.p, P.EVENT_A, drop_null=False)
+    return Q.rating_vs_rounds(t.rc, t.m, t.p, P.EVENT_A, drop_null=False)
 
 
 @register("rating_vs_rounds")
 def _(t: Tables):
-    return Q.rating_vs_rounds(t.r, t.m, t.p, P.EVENT_A)
+    return Q.rating_vs_rounds(t.rc, t.m, t.p, P.EVENT_A)
 
 
 @register("rounds_per_team_day")
 def _(t: Tables):
-    return Q.rounds_per_team_day(t.r, t.m, P.EVENT_A)
+    return Q.rounds_per_team_day(t.rc, t.m, P.EVENT_A)
 
 
 @register("rounds_pivot")
 def _(t: Tables):
-    return Q.rounds_pivot(Q.rounds_per_team_day(t.r, t.m, P.EVENT_A), P.TEAM_LABELS)
+    return Q.rounds_pivot(Q.rounds_per_team_day(t.rc, t.m, P.EVENT_A), P.TEAM_LABELS)
 
 
 @register("team_labels")
 def _(t: Tables):
-    return Q.team_labels(Q.rounds_per_team_day(t.r, t.m, P.EVENT_A))
+    return Q.team_labels(Q.rounds_per_team_day(t.rc, t.m, P.EVENT_A))
 
 
 @register("team_pool")
@@ -270,7 +275,7 @@ def _(t: Tables):
 
 
 def _rating_sheet(t: Tables):
-    return Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS, k=None)
+    return Q.players_min_maps(t.p, t.rc, t.m, P.EVENT_B, P.MIN_MAPS, k=None)
 
 
 @register("column_anchors")
@@ -284,13 +289,21 @@ def _(t: Tables):
     return R.colour_position(_rating_sheet(t), "avg_rating")
 
 
+def report_sheets(t: Tables, event_a: int = P.EVENT_A, event_b: int = P.EVENT_B) -> dict:
+    """The workbook's three sheets, named after the slugged event names."""
+    ids = t.spark.createDataFrame([(event_a,), (event_b,)], "event_id int")
+    named = ids.join(t.ev, "event_id", "left").select("event_id", slug(event_name()).alias("s"))
+    slugs = {r["event_id"]: r["s"] for r in named.collect()}  # two names
+    return {
+        f"maps_{slugs[event_a]}": Q.map_distribution(t.r, t.m, event_a),
+        f"team_wins_{slugs[event_b]}": Q.match_wins(t.r, t.m, event_b),
+        f"players_rating_{slugs[event_b]}": Q.players_min_maps(t.p, t.r, t.m, event_b, P.MIN_MAPS),
+    }
+
+
 @register("report_row_counts")
 def _(t: Tables):
-    return S.report_row_counts({
-        "maps": Q.map_distribution(t.r, t.m, P.EVENT_A),
-        "team_wins": Q.match_wins(t.r, t.m, P.EVENT_B),
-        "players_rating": Q.players_min_maps(t.p, t.r, t.m, P.EVENT_B, P.MIN_MAPS),
-    })
+    return S.report_row_counts(report_sheets(t))
 
 
 @register("two_sided")
@@ -305,7 +318,7 @@ def _(t: Tables):
 @register("etl_events")
 def _(t: Tables):
     named = t.ev.filter(F.col("event_name").isNotNull() & (F.col("event_name") != ""))
-    new = t.r.select("event_id").distinct().withColumn("event_name", F.lit(None).cast("string"))
+    new = t.rc.select("event_id").distinct().withColumn("event_name", F.lit(None).cast("string"))
     return E.insert_ignore(new, named, ["event_id"])
 
 
@@ -387,7 +400,7 @@ def _(t: Tables):
 
 @register("event_names")
 def _(t: Tables):
-    ids = t.r.select("event_id").distinct()
+    ids = t.rc.select("event_id").distinct()
     return ids.join(t.ev, "event_id", "left").select("event_id", event_name().alias("event_name"))
 
 
