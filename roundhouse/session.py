@@ -57,7 +57,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -66,18 +69,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is made.
+    as is. Only when it is unset (local tests) a scratch folder is made. The
+    RDD checkpoint folder is set too where the session has a SparkContext
+    (not under Spark Connect, where only the written tables are used).
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="roundhouse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context on the client
+        return configured
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
