@@ -52,6 +52,24 @@ def fixed_width_bins(df: DataFrame, column: str, width: float) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).orderBy("bin_start"))
 
 
+def nice_width_bins(df: DataFrame, column: str, max_bins: int = 20) -> DataFrame:
+    """Fixed-width bins with the smallest 1, 2 or 5 x 10^k width w such that
+    (max - min) / w <= ``max_bins`` (a chart asking for "at most N bins").
+
+    Bins start at multiples of w, so one more bin appears when min is not a
+    multiple. Output: width, bin_start, n. A single distinct value gets w = 1.
+    """
+    x = F.col(column).cast("double")
+    b = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("b")).scalar()
+    raw = (b.getField("hi") - b.getField("lo")) / max_bins
+    base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    width = (F.when(raw <= 0, F.lit(1.0)).when(raw <= base, base).when(raw <= 2 * base, 2 * base)
+             .when(raw <= 5 * base, 5 * base).otherwise(10 * base))
+    start = F.floor(x / width) * width
+    return (df.filter(x.isNotNull()).groupBy(width.alias("width"), start.alias("bin_start"))
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("bin_start"))
+
+
 def share_of_total(df: DataFrame, count_col: str, scale: int = 1, name: str = "share") -> DataFrame:
     """Adds 100 * count / total rounded to ``scale`` digits (the pie labels)."""
     total = df.select(F.sum(count_col)).scalar()

@@ -244,6 +244,11 @@ def _(t: Tables):
     return R.fixed_width_bins(Q.total_rounds(t.rc, t.m, P.EVENT_A), "total_rounds", P.BIN_WIDTH)
 
 
+@register("rounds_auto_bins")
+def _(t: Tables):
+    return R.nice_width_bins(Q.total_rounds(t.rc, t.m, P.EVENT_A), "total_rounds", P.MAX_BINS)
+
+
 @register("rating_vs_rounds_left")
 def _(t: Tables):
     return Q.rating_vs_rounds(t.rc, t.m, t.p, P.EVENT_A, drop_null=False)
