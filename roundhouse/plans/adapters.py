@@ -108,6 +108,17 @@ def economy(src: TableSource) -> DataFrame:
     )
 
 
+def results_of_lines(lines: DataFrame, src: TableSource) -> DataFrame:
+    """Map-free result rows for any lineitem frame, batch or streaming (orders joined static)."""
+    o = src.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    j = lines.select("l_orderkey", "l_partkey", "l_quantity").join(o, F.col("l_orderkey") == o.o_orderkey)
+    r1 = (_whole("l_quantity") % 20).cast("int")
+    r2 = (F.col("l_partkey") % 20).cast("int")
+    return j.select(F.col("l_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id"),
+                    r1.alias("result_1"), r2.alias("result_2"), derive_winner(r1, r2).alias("map_winner"),
+                    _winner_of_status(F.col("o_orderstatus")).alias("match_winner"))
+
+
 def results(src: TableSource, with_map: bool = True) -> DataFrame:
     """results(match_id, event_id, map, result_1, result_2, map_winner, match_winner).
 

@@ -517,6 +517,15 @@ def _(t: Tables):
     return ST.latest_versions(spark, target, ["metric", "window_start"])
 
 
+@register("stream_standings")
+def _(t: Tables):
+    spark = t.spark
+    target, ckpt = ST.fresh_paths(spark, "standings")
+    lines = ST.event_stream(spark, t.src.root, table="lineitem")
+    ST.stream_standings(A.results_of_lines(lines, t.src), t.m, target, ckpt)
+    return ST.latest_versions(spark, target, ["team"])
+
+
 @register("stream_apply_changes")
 def _(t: Tables):
     spark = t.spark

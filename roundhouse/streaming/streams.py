@@ -93,6 +93,23 @@ def stream_window_counts(stream: DataFrame, every: str, keys: list[str], ts: str
                   .option("checkpointLocation", checkpoint), f"window_counts_{uuid.uuid4().hex[:8]}")
 
 
+def stream_standings(results_stream: DataFrame, matches: DataFrame, target: str,
+                     checkpoint: str) -> None:
+    """Live standings: result rows won per team, kept current.
+
+    New result rows arrive as a stream and are joined with the static
+    matches table (a stream-static join: AQE broadcasts a small static side,
+    otherwise it is shuffled by match id); the count per team is a streaming
+    aggregate in update mode, so each batch writes only the teams it changed.
+    """
+    from ..functions.scalars import side_winner
+    j = results_stream.join(matches.select("match_id", "team_1", "team_2"), "match_id")
+    won = j.select(side_winner("match_winner").alias("team")).filter(F.col("team").isNotNull())
+    agg = won.groupBy("team").agg(F.count(F.lit(1)).alias("wins"))
+    run_available(agg.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
+                  .option("checkpointLocation", checkpoint), f"standings_{uuid.uuid4().hex[:8]}")
+
+
 def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value: str,
                          log_target: str, state_target: str, checkpoint: str, out: str = "value",
                          buckets: int = 64) -> None:

@@ -60,3 +60,26 @@ def test_stream_window_counts_three_batches(spark, split_events):
     assert got.agg({"samples": "sum"}).first()[0] == table.num_rows
     assert got.count() == len(set(zip(table["event_type"].to_pylist(),
                                        pc.strftime(table["ts"], "%Y-%m-%d").to_pylist())))
+
+
+def test_stream_standings_three_batches(spark, tmp_path):
+    from roundhouse.plans.catalog import Tables
+    from roundhouse.plans import queries as Q
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    t = pq.read_table(f"{SF_SMALL}/lineitem.parquet")
+    n = t.num_rows
+    for i, (a, b) in enumerate([(0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)]):
+        pq.write_table(t.slice(a, b - a), str(folder / f"lineitem_{i}.parquet"))
+    tabs = Tables(spark, SF_SMALL)
+    target, ckpt = ST.fresh_paths(spark, "t_standings")
+    lines = ST.event_stream(spark, str(folder), table="lineitem", files_per_batch=1)
+    ST.stream_standings(A.results_of_lines(lines, tabs.src), tabs.m, target, ckpt)
+    got = sorted(rows(ST.latest_versions(spark, target, ["team"])))
+    j = tabs.rc.join(tabs.m.select("match_id", "team_1", "team_2"), "match_id")
+    from roundhouse.functions.scalars import side_winner
+    batch = (j.select(side_winner("match_winner").alias("team")).filter("team IS NOT NULL")
+             .groupBy("team").count())
+    assert got == sorted(rows(batch))
+    versions = spark.read.option("basePath", target).parquet(f"{target}/batch_id=*")
+    assert versions.select("batch_id").distinct().count() == 3
