@@ -42,17 +42,64 @@ def main() -> None:
         times[name] = round(best, 3)
         print(f"# {name}: {best:.3f}s", file=sys.stderr, flush=True)
 
+    final = {}
+    if os.environ.get("BENCH_FINAL", "1") != "0" and not only:
+        final = bench_final_tables(spark, sf_dir)
+
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({
+    out = {
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
-    }))
+    }
+    if final:
+        out["final_tables"] = final
+        out["final_tables_value"] = round(sum(v for k, v in final.items() if k != "etl_load"), 3)
+    print(json.dumps(out))
     spark.stop()
 
 
+def bench_final_tables(spark, sf_dir: str) -> dict[str, float]:
+    """The production path: ETL into stored final tables once, then the questions on them."""
+    import uuid
+
+    from roundhouse.plans import params as P
+    from roundhouse.plans import queries as Q
+    from roundhouse.plans.load import FinalTables, load_final_tables
+    from roundhouse.session import scratch_path
+
+    folder = scratch_path(spark, "bench-final", uuid.uuid4().hex)
+    t0 = time.perf_counter()
+    load_final_tables(spark, sf_dir, folder, 0)
+    res = {"etl_load": round(time.perf_counter() - t0, 3)}
+    f = FinalTables(spark, folder)
+    runs = {
+        "most_matches_in_year": lambda: Q.most_matches_in_year(f.m, P.YEAR_MATCHES),
+        "popular_map_in_event": lambda: Q.popular_map(f.r, P.EVENT_A, exclude=Q.PLACEHOLDER_MAPS),
+        "best_player_by_rating": lambda: Q.best_player_by_rating(f.p, P.EVENT_B),
+        "winrate_on_map": lambda: Q.winrate_on_map(f.r, f.m, P.EVENT_A),
+        "avg_winrate": lambda: Q.avg_winrate(f.r, f.m, P.EVENT_A),
+        "matches_per_event": lambda: Q.matches_per_event(f.m, k=10),
+        "best_team_of_year": lambda: Q.best_team_of_year(f.r, f.m, P.YEAR_BEST),
+        "overtime_teams": lambda: Q.overtime_teams(f.r, f.m),
+        "kd_ratio": lambda: Q.kd_ratio(f.p),
+        "map_distribution": lambda: Q.map_distribution(f.r, f.m, P.EVENT_A),
+        "match_wins": lambda: Q.match_wins(f.r, f.m, P.EVENT_B),
+        "players_min_maps": lambda: Q.players_min_maps(f.p, f.r, f.m, P.EVENT_B, P.MIN_MAPS),
+        "team_rounds_by_day": lambda: Q.team_rounds_by_day(f.r, f.m, P.TEAM, P.YEAR_BEST),
+        "rating_vs_rounds": lambda: Q.rating_vs_rounds(f.r, f.m, f.p, P.EVENT_A),
+        "rounds_per_team_day": lambda: Q.rounds_per_team_day(f.r, f.m, P.EVENT_A),
+    }
+    for name, build in runs.items():
+        t0 = time.perf_counter()
+        build().write.format("noop").mode("overwrite").save()
+        res[name] = round(time.perf_counter() - t0, 3)
+        print(f"# final/{name}: {res[name]:.3f}s", file=sys.stderr, flush=True)
+    return res
+
+
 if __name__ == "__main__":
     main()

@@ -60,11 +60,11 @@ def nice_width_bins(df: DataFrame, column: str, max_bins: int = 20) -> DataFrame
     multiple. Output: width, bin_start, n. A single distinct value gets w = 1.
     """
     x = F.col(column).cast("double")
-    b = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("b")).scalar()
-    raw = (b.getField("hi") - b.getField("lo")) / max_bins
+    raw = (F.max(x) - F.min(x)) / max_bins
     base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
-    width = (F.when(raw <= 0, F.lit(1.0)).when(raw <= base, base).when(raw <= 2 * base, 2 * base)
-             .when(raw <= 5 * base, 5 * base).otherwise(10 * base))
+    nice = (F.when(raw <= 0, F.lit(1.0)).when(raw <= base, base).when(raw <= 2 * base, 2 * base)
+            .when(raw <= 5 * base, 5 * base).otherwise(10 * base))
+    width = df.select(nice).scalar()  # one scalar subquery over a one-row aggregate
     start = F.floor(x / width) * width
     return (df.filter(x.isNotNull()).groupBy(width.alias("width"), start.alias("bin_start"))
             .agg(F.count(F.lit(1)).alias("n")).orderBy("bin_start"))
