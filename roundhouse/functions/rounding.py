@@ -24,14 +24,18 @@ def _idiv(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def ratio_units(num, den, scale: int = 2, factor: int = 1) -> Column:
+def ratio_units(num, den, scale: int = 2, factor: int = 1, wide: bool = True) -> Column:
     """round(factor * num / den, scale) as an exact integer count of 10^-scale units.
 
     ``num`` and ``den`` are integer valued (sums of integer columns or of
     values already scaled to integers). Halves round away from zero. Null
-    when ``den`` is 0 or null, like ``x / NULLIF(den, 0)``.
+    when ``den`` is 0 or null, like ``x / NULLIF(den, 0)``. ``wide`` computes
+    in decimal(38,0) (sums of any size); per-row use on small integers passes
+    ``wide=False`` for 64-bit arithmetic, which stays in generated code
+    instead of BigDecimal (ANSI mode raises on overflow instead of wrapping).
     """
-    n, d = _c(num).cast(_WIDE), _c(den).cast(_WIDE)
+    t = _WIDE if wide else "long"
+    n, d = _c(num).cast(t), _c(den).cast(t)
     m = factor * 10 ** scale
     sign = (F.signum(n) * F.signum(d)).cast("long")
     units = _idiv(F.abs(n) * (2 * m) + F.abs(d), F.abs(d) * 2) * sign
