@@ -73,10 +73,44 @@ def staging_frames(src: TableSource) -> dict[str, DataFrame]:
     }
 
 
-def load_final_tables(spark: SparkSession, sf_dir: str, folder: str, version: int = 0,
-                      tables: list[str] | None = None) -> None:
-    """Run the ETL steps in order into ``folder``."""
-    staged = staging_frames(TableSource(spark, sf_dir))
+# fixed values: the four source files and their encodings
+CSV_SOURCES = {
+    "economy": ("economy.csv", "ISO-8859-1"),
+    "picks": ("picks.csv", "UTF-8"),
+    "players": ("players.csv", "ISO-8859-1"),
+    "results": ("results.csv", "UTF-8"),
+}
+
+
+def staging_from_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The four source CSV files (header line, columns by position) in final-table shape."""
+    from .. import schemas
+    from ..functions.scalars import clean_best_of
+    from ..sources.files import read_csv_table
+    read = {name: read_csv_table(spark, f"{folder}/{fname}", getattr(schemas, f"{name.upper()}_STAGE"), enc)
+            for name, (fname, enc) in CSV_SOURCES.items()}
+    results = read["results"]
+    return {
+        "events": results.select("event_id").distinct()
+                         .withColumn("event_name", F.lit(None).cast("string")),
+        "matches": read["economy"].select(
+            "match_id", "event_id", F.col("date").alias("match_date"), "team_1", "team_2",
+            clean_best_of("best_of").alias("best_of")),
+        "results": results,
+        "picks": read["picks"],
+        "players_raw": read["players"].withColumnRenamed("date", "match_date"),
+    }
+
+
+def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, version: int = 0,
+                      tables: list[str] | None = None,
+                      staged: dict[str, DataFrame] | None = None) -> None:
+    """Run the ETL steps in the reference's order into ``folder``.
+
+    The staging frames come from the test tables of ``sf_dir`` unless given
+    (e.g. ``staging_from_csv``).
+    """
+    staged = staged or staging_frames(TableSource(spark, sf_dir))
     for name, keys in FINAL_TABLES:
         if tables is None or name in tables:
             load_increment(staged[name], folder, name, keys, version)

@@ -30,3 +30,34 @@ def test_event_filter_prunes_partitions(spark, tmp_path):
         r.explain("formatted")
     assert "PartitionFilters: [isnotnull(event_id" in buf.getvalue()
     assert r.count() > 0
+
+
+def test_csv_sources_to_final_tables_to_question(spark, tmp_path):
+    """CSV files -> staging -> final tables (insert-if-absent) -> a question."""
+    from roundhouse import schemas
+    from roundhouse.plans import queries as Q
+    from roundhouse.plans.load import staging_from_csv
+
+    def write(name, schema, lines, enc):
+        head = ",".join(f.name for f in schema.fields)
+        (tmp_path / name).write_bytes(("\n".join([head] + lines) + "\n").encode(enc))
+
+    write("economy.csv", schemas.ECONOMY_STAGE, [
+        "1,2208,2016-04-10,Astralis,Envy,3,1,2", "2,2208,2016-04-11,Envy,Fnatic,o,2,",
+        "2,2208,2016-04-11,Envy,Fnatic,o,2,"], "latin-1")
+    write("picks.csv", schemas.PICKS_STAGE, [
+        "1,2208,0,bo3,Nuke,Dust2,Cache,Train,Mirage,Inferno,Overpass,Cobblestone,Season"], "utf-8")
+    write("players.csv", schemas.PLAYERS_STAGE, [
+        "1,2208,2016-04-10,José,Astralis,Envy,DK,20,10,80.5,70.1,10,1.25"], "latin-1")
+    write("results.csv", schemas.RESULTS_STAGE, [
+        "1,2208,Nuke,16,9,1,1,1,8,8,7,1,1,2,2,0", "1,2208,Mirage,14,16,2,1,2,7,7,9,7,1,2,1,1",
+        "2,2208,Nuke,19,17,1,1,1,9,10,8,7,3,4,1,0"], "utf-8")
+    folder = str(tmp_path / "final")
+    staged = staging_from_csv(spark, str(tmp_path))
+    load_final_tables(spark, None, folder, 0, staged=staged)
+    load_final_tables(spark, None, folder, 1, tables=["events", "matches", "picks"], staged=staged)
+    f = FinalTables(spark, folder)
+    assert f.m.count() == 2 and f.ev.count() == 1
+    assert f.p.first()["player_name"] == "José"
+    assert sorted(map(tuple, Q.overtime_teams(f.r, f.m, k=None).collect())) == [("Envy", 1), ("Fnatic", 1)]
+    assert [r["best_of"] for r in f.m.orderBy("match_id").collect()] == [3, None]
