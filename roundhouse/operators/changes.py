@@ -22,24 +22,29 @@ from pyspark.sql import functions as F
 
 
 def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
-                  op: str = "op", value: str = "v", out: str = "value") -> DataFrame:
-    """Final (key, value) after the log; keys whose row is absent at the end are dropped.
+                  op: str = "op", value: str = "v", out: str = "value",
+                  carry: tuple = ()) -> DataFrame:
+    """Final (key, value, *carry) after the log; keys absent at the end are dropped.
 
     ``op`` holds 'insert', 'update' or 'delete'; ``seq`` columns give the order
-    (compared as a tuple, so input order never matters).
+    (compared as a tuple, so input order never matters). ``carry`` columns are
+    set by the insert that created the row and not changed by updates (like
+    a score stored on insert).
     """
     s = F.struct(*[F.col(c) for c in seq])
     ev = log.select(F.col(key).alias("_k"), s.alias("_s"), F.col(op).alias("_op"),
-                    F.col(value).alias("_v")).filter(F.col("_op").isin("insert", "update", "delete"))
+                    F.col(value).alias("_v"), *[F.col(c) for c in carry]) \
+        .filter(F.col("_op").isin("insert", "update", "delete"))
     last_delete = (ev.filter(F.col("_op") == "delete").groupBy("_k")
                    .agg(F.max("_s").alias("_del")))
     after = (ev.filter(F.col("_op") != "delete").join(last_delete, "_k", "left")
              .filter(F.col("_del").isNull() | (F.col("_s") > F.col("_del"))))
     first_insert = (after.filter(F.col("_op") == "insert").groupBy("_k")
-                    .agg(F.min(F.struct("_s", "_v")).alias("_ins")))
+                    .agg(F.min(F.struct("_s", "_v", *carry)).alias("_ins")))
     upd = (after.filter(F.col("_op") == "update").join(first_insert, "_k")
            .filter(F.col("_s") > F.col("_ins._s"))
            .groupBy("_k").agg(F.sum("_v").alias("_add")))
     res = first_insert.join(upd, "_k", "left")
     return res.select(F.col("_k").alias(key),
-                      (F.col("_ins._v") + F.coalesce(F.col("_add"), F.lit(0))).alias(out))
+                      (F.col("_ins._v") + F.coalesce(F.col("_add"), F.lit(0))).alias(out),
+                      *[F.col("_ins")[c].alias(c) for c in carry])

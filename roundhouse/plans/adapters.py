@@ -225,14 +225,15 @@ def change_log(src: TableSource) -> DataFrame:
     return change_log_rows(src.events)
 
 
-def change_log_rows(ev: DataFrame) -> DataFrame:
-    """The change-log mapping for any events frame, batch or streaming."""
+def change_log_rows(ev: DataFrame, extra: tuple = ()) -> DataFrame:
+    """The change-log mapping for any events frame, batch or streaming;
+    ``extra`` columns of ``ev`` are passed through."""
     op = F.when(F.col("event_type") == "signup", F.lit("insert")) \
         .when(F.col("event_type") == "view", F.lit("update")) \
         .when(F.col("event_type") == "error", F.lit("delete"))
     return (ev.filter(F.col("event_type").isin(*CHANGE_OPS))
             .select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"),
-                    op.alias("op"), F.when(op != "delete", _k()).alias("v")))
+                    op.alias("op"), F.when(op != "delete", _k()).alias("v"), *extra))
 
 
 # fixed values: source priority of each event type (first source wins)
@@ -251,3 +252,25 @@ def source_readings(src: TableSource) -> DataFrame:
     first = rd.groupBy("poll", "priority").agg(
         F.min_by(F.struct("usd", "eur"), F.struct("ts", "event_id")).alias("_r"))
     return first.select("poll", "priority", "_r.usd", "_r.eur")
+
+
+# fixed values: the simulator's player names
+SIM_PLAYERS = ["s1mple", "ZywOo", "NiKo", "device", "m0NESY"]
+
+
+def player_stats_log(src: TableSource) -> DataFrame:
+    """The simulator's statements as a log over ``events``: a signup inserts a
+    player (kills 5..30, deaths 0..15, score stored on insert), a view adds
+    1..5 kills, an error deletes the row."""
+    log = change_log_rows(src.events.withColumn("_k", _k()), extra=("_k",))
+    k = F.col("_k")
+    names = F.array(*[F.lit(n) for n in SIM_PLAYERS])
+    ins = F.col("op") == "insert"
+    kills = F.when(ins, 5 + k % 26).when(F.col("op") == "update", 1 + k % 5)
+    deaths = F.when(ins, k % 16)
+    return log.select(
+        "id", "ts", "seq", "op", kills.cast("int").alias("v"),
+        F.when(ins, F.element_at(names, (F.col("id") % 5 + 1).cast("int"))).alias("player_name"),
+        deaths.cast("int").alias("deaths"),
+        F.when(ins, (5 + k % 26) * 10 - (k % 16) * 5).cast("int").alias("score"),
+    )

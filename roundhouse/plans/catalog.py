@@ -427,6 +427,16 @@ def _(t: Tables):
     return C.apply_changes(A.change_log(t.src), key="id", seq=("ts", "seq"), out="kills")
 
 
+@register("player_stats")
+def _(t: Tables):
+    """The simulator's table after its statements: the stored score is kept as
+    written on insert (updates change kills only); score_now recomputes it."""
+    state = C.apply_changes(A.player_stats_log(t.src), key="id", seq=("ts", "seq"), out="kills",
+                            carry=("player_name", "deaths", "score"))
+    return state.select("id", "player_name", "kills", "deaths", "score",
+                        player_score().alias("score_now"))
+
+
 @register("latest_gauge")
 def _(t: Tables):
     return W.latest_value(A.samples(t.src), seq=("ts", "event_id"))

@@ -197,3 +197,11 @@ def test_exact_quantile_many_rounds(spark):
     for q in (0.5, 0.1, 0.93):
         got = R.exact_quantile(df, "x", q, final_rows=50, accuracy=100)
         assert abs(got - float(np.quantile(vals, q))) < 1e-9
+
+
+def test_change_log_carries_insert_columns(spark):
+    log = spark.createDataFrame([
+        (1, 1, "insert", 10, "a", 100), (1, 2, "update", 5, None, None), (1, 3, "insert", 99, "z", 1),
+    ], "id int, seq int, op string, v int, name string, score int")
+    out = rows(C.apply_changes(log, key="id", seq=("seq",), carry=("name", "score")))
+    assert out == [(1, 15, "a", 100)]
