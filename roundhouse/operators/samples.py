@@ -111,17 +111,18 @@ def asof_sample(samples: DataFrame, every_seconds: int, keys=("metric",), seq=("
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     step = every_seconds * 1_000_000
     span = step * chunk_ticks
-    tick = F.call_function("div", micros + (step - 1), F.lit(step)) * step  # first tick >= ts
+    tick = micros + F.pmod(-micros, F.lit(step))  # first tick >= ts (exact for any sign)
     per_tick = (samples.withColumn("_tick", tick).groupBy(*keys, "_tick")
                 .agg(F.max_by(F.struct(F.col(ts).alias("sample_ts"), F.col(value).alias("value")),
                               _order(seq)).alias("_st")))
     last_tick = per_tick.select(F.max("_tick")).scalar()
     first = per_tick.groupBy(*keys).agg(F.min("_tick").alias("_from"))
-    chunk_of = lambda c: F.call_function("div", c, F.lit(span))
+    # floor(c / span): c - pmod(c, span) is an exact multiple of span for any sign
+    chunk_of = lambda c: F.call_function("div", c - F.pmod(c, F.lit(span)), F.lit(span))
     chunks = first.select(*keys, "_from", F.explode(
         F.sequence(chunk_of(F.col("_from")), chunk_of(last_tick))).alias("_chunk"))
     lo = F.greatest(F.col("_from"), F.col("_chunk") * span)
-    lo = F.call_function("div", lo + (step - 1), F.lit(step)) * step
+    lo = lo + F.pmod(-lo, F.lit(step))
     hi = F.least(last_tick, F.col("_chunk") * span + (span - 1))
     grid = chunks.select(*keys, "_chunk", F.explode(F.sequence(lo, hi, F.lit(step))).alias("_tick"))
     g = grid.join(per_tick, [*keys, "_tick"], "left")

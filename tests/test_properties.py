@@ -130,3 +130,12 @@ def test_results_independent_of_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert before == after
+
+
+def test_asof_before_1970(spark):
+    data = [(dt.datetime(1969, 12, 31, 22, 30), "m", 1.0, 1), (dt.datetime(1970, 1, 1, 0, 0), "m", 2.0, 2),
+            (dt.datetime(1970, 1, 1, 1, 10), "m", 3.0, 3)]
+    df = spark.createDataFrame(data, "ts timestamp_ntz, metric string, value double, event_id int")
+    got = rows(W.asof_sample(df, 3600, seq=("ts", "event_id"), chunk_ticks=2).orderBy("tick"), "tick", "value")
+    assert got == [(dt.datetime(1969, 12, 31, 23, 0), 1.0), (dt.datetime(1970, 1, 1, 0, 0), 2.0),
+                   (dt.datetime(1970, 1, 1, 1, 0), 2.0), (dt.datetime(1970, 1, 1, 2, 0), 3.0)]
