@@ -63,7 +63,8 @@ def main() -> None:
 
 
 def bench_final_tables(spark, sf_dir: str) -> dict[str, float]:
-    """The production path: ETL into stored final tables once, then the questions on them."""
+    """The production path: ETL into stored final tables once (results also
+    pre-joined with their match), then the questions on them."""
     import uuid
 
     from roundhouse.plans import params as P
@@ -80,18 +81,18 @@ def bench_final_tables(spark, sf_dir: str) -> dict[str, float]:
         "most_matches_in_year": lambda: Q.most_matches_in_year(f.m, P.YEAR_MATCHES),
         "popular_map_in_event": lambda: Q.popular_map(f.r, P.EVENT_A, exclude=Q.PLACEHOLDER_MAPS),
         "best_player_by_rating": lambda: Q.best_player_by_rating(f.p, P.EVENT_B),
-        "winrate_on_map": lambda: Q.winrate_on_map(f.r, f.m, P.EVENT_A),
-        "avg_winrate": lambda: Q.avg_winrate(f.r, f.m, P.EVENT_A),
+        "winrate_on_map": lambda: Q.winrate_on_map(f.rw, None, P.EVENT_A),
+        "avg_winrate": lambda: Q.avg_winrate(f.rw, None, P.EVENT_A),
         "matches_per_event": lambda: Q.matches_per_event(f.m, k=10),
-        "best_team_of_year": lambda: Q.best_team_of_year(f.r, f.m, P.YEAR_BEST),
-        "overtime_teams": lambda: Q.overtime_teams(f.r, f.m),
+        "best_team_of_year": lambda: Q.best_team_of_year(f.rw, None, P.YEAR_BEST),
+        "overtime_teams": lambda: Q.overtime_teams(f.rw, None),
         "kd_ratio": lambda: Q.kd_ratio(f.p),
-        "map_distribution": lambda: Q.map_distribution(f.r, f.m, P.EVENT_A),
-        "match_wins": lambda: Q.match_wins(f.r, f.m, P.EVENT_B),
-        "players_min_maps": lambda: Q.players_min_maps(f.p, f.r, f.m, P.EVENT_B, P.MIN_MAPS),
-        "team_rounds_by_day": lambda: Q.team_rounds_by_day(f.r, f.m, P.TEAM, P.YEAR_BEST),
-        "rating_vs_rounds": lambda: Q.rating_vs_rounds(f.r, f.m, f.p, P.EVENT_A),
-        "rounds_per_team_day": lambda: Q.rounds_per_team_day(f.r, f.m, P.EVENT_A),
+        "map_distribution": lambda: Q.map_distribution(f.rw, None, P.EVENT_A),
+        "match_wins": lambda: Q.match_wins(f.rw, None, P.EVENT_B),
+        "players_min_maps": lambda: Q.players_min_maps(f.p, f.rw, None, P.EVENT_B, P.MIN_MAPS),
+        "team_rounds_by_day": lambda: Q.team_rounds_by_day(f.rw, None, P.TEAM, P.YEAR_BEST),
+        "rating_vs_rounds": lambda: Q.rating_vs_rounds(f.rw, None, f.p, P.EVENT_A),
+        "rounds_per_team_day": lambda: Q.rounds_per_team_day(f.rw, None, P.EVENT_A),
     }
     for name, build in runs.items():
         t0 = time.perf_counter()

@@ -26,6 +26,8 @@ FINAL_TABLES = [
     ("picks", ["match_id"]),
     ("players_raw", None),
 ]
+# derived at load time: results joined once with their match (teams, date)
+WIDE = "results_wide"
 
 
 def read_final(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
@@ -114,6 +116,23 @@ def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, vers
     for name, keys in FINAL_TABLES:
         if tables is None or name in tables:
             load_increment(staged[name], folder, name, keys, version)
+    if tables is None or "results" in tables:
+        load_wide_results(spark, folder, version)
+
+
+def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
+    """results_wide for ``version``: this version's new result rows joined once
+    with the matches table as loaded so far (matches load before results, as
+    in the reference's order). Questions over it need no join and no shuffle
+    by match id; it is partitioned by event like the other tables."""
+    results, matches = read_final(spark, folder, "results"), read_final(spark, folder, "matches")
+    if results is None or matches is None:
+        return
+    new = results.filter(F.col("version") == version).drop("version")
+    m = matches.filter(F.col("version") <= version)
+    wide = new.join(m.select("match_id", "team_1", "team_2", "match_date"), "match_id")
+    (wide.sortWithinPartitions("match_id").write.mode("overwrite").partitionBy("event_id")
+     .parquet(f"{folder}/{WIDE}/version={version}"))
 
 
 class FinalTables:
@@ -130,5 +149,6 @@ class FinalTables:
 
     m = property(lambda self: self._t("matches"))
     r = property(lambda self: self._t("results"))
+    rw = property(lambda self: self._t(WIDE))
     p = property(lambda self: self._t("players_raw"))
     ev = property(lambda self: self._t("events"))

@@ -61,3 +61,25 @@ def test_csv_sources_to_final_tables_to_question(spark, tmp_path):
     assert f.p.first()["player_name"] == "José"
     assert sorted(map(tuple, Q.overtime_teams(f.r, f.m, k=None).collect())) == [("Envy", 1), ("Fnatic", 1)]
     assert [r["best_of"] for r in f.m.orderBy("match_id").collect()] == [3, None]
+
+
+def test_wide_results_answer_like_the_join(spark, tmp_path):
+    from roundhouse.plans import queries as Q
+    folder = str(tmp_path / "final")
+    load_final_tables(spark, SF_SMALL, folder, 0, tables=["events", "matches", "results", "players_raw"])
+    f = FinalTables(spark, folder)
+
+    def same(a, b):
+        key = lambda r: tuple("" if x is None else str(x) for x in r)
+        assert sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.collect()), key=key)
+
+    same(Q.winrate_on_map(f.rw, None, None, k=None), Q.winrate_on_map(f.r, f.m, None, k=None))
+    same(Q.overtime_teams(f.rw, None, k=None), Q.overtime_teams(f.r, f.m, k=None))
+    same(Q.match_wins(f.rw, None, 2235, k=None), Q.match_wins(f.r, f.m, 2235, k=None))
+    same(Q.total_rounds(f.rw, None, 2208), Q.total_rounds(f.r, f.m, 2208))
+    same(Q.rounds_per_team_day(f.rw, None, 2208), Q.rounds_per_team_day(f.r, f.m, 2208))
+    same(Q.players_min_maps(f.p, f.rw, None, 2235, k=None), Q.players_min_maps(f.p, f.r, f.m, 2235, k=None))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        Q.overtime_teams(f.rw, None, k=None).explain()
+    assert "Join" not in buf.getvalue()
