@@ -76,7 +76,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="roundhouse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # a session that refuses the setting: use the folder as is
+            pass
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no context on the client
