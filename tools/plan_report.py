@@ -22,7 +22,7 @@ EAGER = {"stream_insert_ignore", "stream_window_counts", "stream_apply_changes",
 
 def summarise(plan: str) -> dict:
     scans = re.findall(r"Scan parquet[^\n]*\n(?:[^\n]*\n)*?Location: [^\[]*\[file:[^\]]*/(\w+)\.parquet\]"
-                       r"(?:[^\n]*\n)*?PushedFilters: \[(.*?)\]\nReadSchema: struct<([^>]*)>", plan)
+                       r"(?:[^\n]*\n)*?(?:PushedFilters: \[(.*?)\]\n)?ReadSchema: struct<([^>]*)>", plan)
     return {
         "exchanges": len(re.findall(r"^\(\d+\) Exchange", plan, re.M)),
         "smj": len(re.findall(r"^\(\d+\) SortMergeJoin", plan, re.M)),
