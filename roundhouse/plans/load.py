@@ -39,6 +39,11 @@ def read_final(spark: SparkSession, folder: str, table: str) -> DataFrame | None
         return None
 
 
+# rows sorted by date inside each event partition: Parquet row-group min/max
+# statistics then let year filters skip most row groups
+SORT_BY = {"matches": ["match_date", "match_id"], WIDE: ["match_date", "match_id"]}
+
+
 def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | None,
                    version: int) -> None:
     """Write the rows of ``new`` that the table does not hold yet as ``version``."""
@@ -52,8 +57,9 @@ def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | No
             fresh = fresh.join(current.select(*keys), keys, "left_anti")
     else:
         fresh = new
-    if keys:
-        fresh = fresh.sortWithinPartitions(*keys)
+    order = SORT_BY.get(table, keys)
+    if order:
+        fresh = fresh.sortWithinPartitions(*order)
     writer = fresh.write.mode("overwrite")
     if "event_id" in fresh.columns:
         writer = writer.partitionBy("event_id")
@@ -131,7 +137,7 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     new = results.filter(F.col("version") == version).drop("version")
     m = matches.filter(F.col("version") <= version)
     wide = new.join(m.select("match_id", "team_1", "team_2", "match_date"), "match_id")
-    (wide.sortWithinPartitions("match_id").write.mode("overwrite").partitionBy("event_id")
+    (wide.sortWithinPartitions(*SORT_BY[WIDE]).write.mode("overwrite").partitionBy("event_id")
      .parquet(f"{folder}/{WIDE}/version={version}"))
 
 
