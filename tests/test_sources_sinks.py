@@ -72,3 +72,18 @@ def test_sizing_for_large_inputs():
     assert int(big["spark.sql.shuffle.partitions"]) == 409600
     small = sizing_for(10 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+    from conftest import SF_SMALL
+    from roundhouse.__main__ import main
+    assert main(["questions", "--data", SF_SMALL, "--out", str(tmp_path / "q"),
+                 "--names", "kd_ratio,matches_per_event"]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "q" / "kd_ratio")).count() == 10
+    capsys.readouterr()
+    assert main(["report", "--data", SF_SMALL, "--out", str(tmp_path / "r")]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["rows"]["__total__"] == sum(v for k, v in out["rows"].items() if k != "__total__")
+    assert main(["load", "--data", SF_SMALL, "--out", str(tmp_path / "f")]) == 0
+    assert spark.read.parquet(str(tmp_path / "f" / "matches" / "version=0")).count() > 0
