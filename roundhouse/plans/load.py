@@ -57,13 +57,22 @@ def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | No
             fresh = fresh.join(current.select(*keys), keys, "left_anti")
     else:
         fresh = new
-    order = SORT_BY.get(table, keys)
+    _write_by_event(fresh, SORT_BY.get(table, keys), f"{folder}/{table}/version={version}")
+
+
+def _write_by_event(df: DataFrame, order: list[str] | None, path: str) -> None:
+    """Write partitioned by event. REBALANCE(event_id) groups each event's rows
+    into few tasks (few files per event instead of one per task and event)
+    and lets AQE split an event holding a large share of the rows over
+    several tasks; rows are then sorted inside each file."""
+    if "event_id" in df.columns:
+        df = df.hint("rebalance", "event_id")
     if order:
-        fresh = fresh.sortWithinPartitions(*order)
-    writer = fresh.write.mode("overwrite")
-    if "event_id" in fresh.columns:
+        df = df.sortWithinPartitions(*order)
+    writer = df.write.mode("overwrite")
+    if "event_id" in df.columns:
         writer = writer.partitionBy("event_id")
-    writer.parquet(f"{folder}/{table}/version={version}")
+    writer.parquet(path)
 
 
 def staging_frames(src: TableSource) -> dict[str, DataFrame]:
@@ -137,8 +146,7 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     new = results.filter(F.col("version") == version).drop("version")
     m = matches.filter(F.col("version") <= version)
     wide = new.join(m.select("match_id", "team_1", "team_2", "match_date"), "match_id")
-    (wide.sortWithinPartitions(*SORT_BY[WIDE]).write.mode("overwrite").partitionBy("event_id")
-     .parquet(f"{folder}/{WIDE}/version={version}"))
+    _write_by_event(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
 
 
 class FinalTables:
