@@ -38,10 +38,30 @@ def run_available(query_builder, name: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def _batch_writer(target: str):
+ROWS_PER_FILE = 1_000_000
+
+
+def _batch_writer(target: str, rows_per_file: int = ROWS_PER_FILE, sized: bool = True):
+    """Writer of one micro-batch into ``target/batch_id=<n>``.
+
+    AQE does not coalesce inside ``foreachBatch``, so a batch of a stateful
+    query would otherwise write one small file per state partition. The batch
+    is persisted (the pattern for using a micro-batch twice), counted, and
+    written as ceil(rows / rows_per_file) files. ``sized=False`` writes the
+    batch as it comes (one file per non-empty partition).
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .parquet(f"{target}/batch_id={batch_id}"))
+        if not sized:
+            (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .parquet(f"{target}/batch_id={batch_id}"))
+            return
+        batch.persist()
+        try:
+            files = max(1, -(-batch.count() // rows_per_file))
+            (batch.repartition(files).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .parquet(f"{target}/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
     return write
 
 
@@ -64,12 +84,15 @@ def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
     keys it touched; nothing rescans the target. The streaming aggregate is
     combined map-side, so a hot key is one state row, not one big task.
     Keys are expected to be non-null (the live feed's match ids are).
+    Spark 4.1 cannot re-plan (count, persist, repartition) a micro-batch of
+    this min(struct) aggregate inside ``foreachBatch``, so its batches are
+    written as they come: one file per state partition that has updates.
     """
     rest = [c for c in columns if c not in keys]
     arrived = stream.select(*columns).withColumn("_arrival", F.current_timestamp())
     agg = arrived.groupBy(*keys).agg(F.min(F.struct("_arrival", *rest)).alias("_r"))
     out = agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
-    run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
+    run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target, sized=False))
                   .option("checkpointLocation", checkpoint), f"insert_ignore_{uuid.uuid4().hex[:8]}")
 
 
@@ -126,8 +149,9 @@ def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("_bucket", bucket)
-        (batch.sortWithinPartitions("_bucket").write.mode("overwrite")
+        batch = batch.withColumn("_bucket", bucket).persist()
+        files = max(1, -(-batch.count() // ROWS_PER_FILE))
+        (batch.repartition(files).sortWithinPartitions("_bucket").write.mode("overwrite")
          .parquet(f"{log_target}/batch_id={batch_id}"))
         touched = batch.select(key, "_bucket").distinct()
         hit = [r[0] for r in touched.select("_bucket").distinct().collect()]  # at most `buckets` ints
@@ -138,6 +162,7 @@ def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value
         versions = (touched.select(key).join(state, key, "left")
                     .withColumn("present", F.col(out).isNotNull()))
         _batch_writer(state_target)(versions, batch_id)
+        batch.unpersist()
 
     run_available(stream.writeStream.foreachBatch(step)
                   .option("checkpointLocation", checkpoint), f"apply_changes_{uuid.uuid4().hex[:8]}")
