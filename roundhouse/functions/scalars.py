@@ -7,6 +7,13 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values (must equal the reference's for equal results)
+BEST_OF_SENTINEL = "o"                 # best_of text meaning "unknown"
+SCORE_PER_KILL, SCORE_PER_DEATH = 10, 5
+SLUG_PATTERN = r"[^A-Za-z0-9._-]+"     # replaced by "_", then "_" stripped at both ends
+NO_TEAM = "—"                         # shown for a missing team in "player (team)"
+EVENT_FALLBACK = "Event "              # name prefix when the event has no name
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -26,7 +33,7 @@ def side_winner(flag, team_1="team_1", team_2="team_2") -> Column:
 
 def clean_best_of(col) -> Column:
     """NULLIF(best_of, 'o')::int; any other non-digit text fails the job (ANSI cast)."""
-    return F.nullif(_c(col), F.lit("o")).cast("int")
+    return F.nullif(_c(col), F.lit(BEST_OF_SENTINEL)).cast("int")
 
 
 def derive_winner(result_1="result_1", result_2="result_2") -> Column:
@@ -36,7 +43,7 @@ def derive_winner(result_1="result_1", result_2="result_2") -> Column:
 
 def player_score(kills="kills", deaths="deaths") -> Column:
     """score = kills * 10 - deaths * 5 (value stored on insert)."""
-    return _c(kills) * 10 - _c(deaths) * 5
+    return _c(kills) * SCORE_PER_KILL - _c(deaths) * SCORE_PER_DEATH
 
 
 def strip_blank(col) -> Column:
@@ -46,16 +53,16 @@ def strip_blank(col) -> Column:
 
 def slug(col) -> Column:
     """Runs of characters outside [A-Za-z0-9._-] become '_', then '_' is stripped at both ends."""
-    return F.btrim(F.regexp_replace(_c(col), r"[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    return F.btrim(F.regexp_replace(_c(col), SLUG_PATTERN, "_"), F.lit("_"))
 
 
 def player_label(player="player_name", team="team") -> Column:
     """'player (team)'; the team shows as an em dash when null; null when the player is null."""
-    return F.concat(_c(player), F.lit(" ("), F.coalesce(_c(team), F.lit("—")), F.lit(")"))
+    return F.concat(_c(player), F.lit(" ("), F.coalesce(_c(team), F.lit(NO_TEAM)), F.lit(")"))
 
 
 def event_name(event_id="event_id", name="event_name") -> Column:
     """Display name: stripped name, or 'Event <id>' when the name is missing or empty."""
     n = _c(name)
-    fallback = F.concat(F.lit("Event "), _c(event_id).cast("string"))
+    fallback = F.concat(F.lit(EVENT_FALLBACK), _c(event_id).cast("string"))
     return F.when(n.isNull() | (n == ""), fallback).otherwise(strip_blank(n))
