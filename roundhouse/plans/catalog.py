@@ -17,6 +17,7 @@ from ..operators import etl as E
 from ..operators import report as R
 from ..operators import samples as W
 from ..operators.shape import two_sided
+from ..operators.topk import random_pick
 from ..sources import sinks as S
 from ..sources.files import payload_fields
 from ..sources.tables import TableSource
@@ -470,7 +471,7 @@ def _(t: Tables):
 @register("random_pick")
 def _(t: Tables):
     state = C.apply_changes(A.change_log(t.src), key="id", seq=("ts", "seq"), out="kills")
-    return state.orderBy(F.xxhash64(F.col("id"), F.lit(P.SEED)), "id").limit(1)
+    return random_pick(state, "id", 1, P.SEED)
 
 
 @register("load_then_query")
