@@ -406,8 +406,7 @@ def _(t: Tables):
 
 @register("event_names")
 def _(t: Tables):
-    ids = t.rc.select("event_id").distinct()
-    return ids.join(t.ev, "event_id", "left").select("event_id", event_name().alias("event_name"))
+    return Q.event_names(t.rc.select("event_id").distinct(), t.ev)
 
 
 @register("slug_names")

@@ -205,3 +205,9 @@ def test_change_log_carries_insert_columns(spark):
     ], "id int, seq int, op string, v int, name string, score int")
     out = rows(C.apply_changes(log, key="id", seq=("seq",), carry=("name", "score")))
     assert out == [(1, 15, "a", 100)]
+
+
+def test_event_names_one_row_per_id(spark):
+    ev = spark.createDataFrame([(1, "B"), (1, "A"), (2, None)], "event_id int, event_name string")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "event_id int")
+    assert sorted(rows(Q.event_names(ids, ev))) == [(1, "A"), (2, "Event 2"), (3, "Event 3")]
