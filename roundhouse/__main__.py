@@ -43,7 +43,8 @@ def main(argv: list[str] | None = None) -> int:
         from .plans.catalog import Tables, report_sheets
         from .sources.sinks import report_row_counts, write_report
         sheets = report_sheets(Tables(spark, a.data))
-        written = write_report(sheets, a.out, fmt=a.format)
+        # a workbook keeps empty sheets (only chart output is skipped when empty)
+        written = write_report(sheets, a.out, fmt=a.format, skip_empty=False)
         counts = {r["sheet"]: r["row_count"] for r in report_row_counts(sheets).collect()}
         print(json.dumps({"written": written, "rows": counts}, indent=1))
     else:
