@@ -31,7 +31,7 @@ def test_year_filter_reaches_parquet(spark):
 
 
 def test_two_sided_scans_and_joins_once(spark):
-    plan = plan_text(q(spark, "winrate_on_map"))
+    plan = plan_text(q(spark, "winrate_on_map_groups"))
     assert scans_of(plan, "lineitem") == 1
     assert plan.count("Generate") >= 1
     # lineitem x part x orders (results) and orders x customer x nation x nation (matches),
@@ -61,3 +61,10 @@ def test_fan_out_weighted_not_materialised(spark):
 def test_change_log_has_no_window(spark):
     plan = plan_text(q(spark, "apply_changes"))
     assert "Window" not in plan
+
+
+def test_event_questions_cut_matches_by_broadcast_ids(spark):
+    # one event's match ids (size-checked) are broadcast, so matches is filtered
+    # while scanned instead of shuffled whole
+    plan = plan_text(q(spark, "winrate_on_map"))
+    assert re.search(r"BroadcastHashJoin[^\n]*LeftSemi", plan), plan
