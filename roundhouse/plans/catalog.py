@@ -467,6 +467,12 @@ def _(t: Tables):
     return W.asof_sample(A.samples(t.src), 86400, seq=("ts", "event_id"))
 
 
+@register("asof_scrape")
+def _(t: Tables):
+    """The scraper's view: every gauge read every 15 s (sample and hold)."""
+    return W.asof_sample(A.samples(t.src), P.SCRAPE_SECONDS, seq=("ts", "event_id"))
+
+
 @register("random_pick")
 def _(t: Tables):
     state = C.apply_changes(A.change_log(t.src), key="id", seq=("ts", "seq"), out="kills")

@@ -17,3 +17,4 @@ BIN_WIDTH = 5
 TEAM_LABELS = [f"NATION_{i}" for i in range(25)]  # the 25 nation names of the test data
 SEED = 42             # repeatable random pick
 MAX_BINS = 20          # "at most N bins" histogram (the browser-binned chart)
+SCRAPE_SECONDS = 15    # scrape interval of the metrics store
