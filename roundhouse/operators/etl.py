@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+# size bound for broadcasting a key set (about 16 MB of 64-bit keys)
+BROADCAST_MAX_KEYS = 2_000_000
+
+
+def restrict_to_keys(big: DataFrame, small: DataFrame, keys: list[str],
+                     max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
+    """``big`` cut to the keys that occur in ``small``, when that key set is small.
+
+    The distinct keys of ``small`` are counted (one job); under ``max_keys``
+    they are broadcast and ``big`` is filtered while it is scanned (a broadcast
+    semi join), so a small increment or one event never makes the whole big
+    table shuffle. Above the bound ``big`` is returned as is and the caller's
+    join shuffles normally.
+    """
+    ids = small.select(*keys).distinct()
+    if ids.count() <= max_keys:
+        return big.join(F.broadcast(ids), keys, "left_semi")
+    return big
+
+
 def dedupe_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the smallest row by the remaining columns in their order.
 
@@ -42,7 +62,9 @@ def insert_ignore(new: DataFrame, existing: DataFrame | None, keys: list[str] |
     loose = new.filter(has_null)
     fresh = dedupe_by_key(new.filter(~has_null), keys)
     if existing is not None:
-        fresh = fresh.join(existing.select(*keys), on=keys, how="left_anti")
+        # only existing keys that the new rows could conflict with take part
+        clash = restrict_to_keys(existing.select(*keys), fresh, keys)
+        fresh = fresh.join(clash, on=keys, how="left_anti")
         fresh = existing.unionByName(fresh)
     return fresh.unionByName(loose)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.etl import insert_ignore
+from ..operators.etl import insert_ignore, restrict_to_keys
 from ..sources.tables import TableSource
 from . import adapters as A
 
@@ -54,7 +54,9 @@ def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | No
     if keys:
         fresh = insert_ignore(new, None, keys)
         if current is not None:
-            fresh = fresh.join(current.select(*keys), keys, "left_anti")
+            # a small increment only looks at the table's keys it could clash with
+            clash = restrict_to_keys(current.select(*keys), fresh, keys)
+            fresh = fresh.join(clash, keys, "left_anti")
     else:
         fresh = new
     _write_by_event(fresh, SORT_BY.get(table, keys), f"{folder}/{table}/version={version}")
@@ -144,7 +146,7 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     if results is None or matches is None:
         return
     new = results.filter(F.col("version") == version).drop("version")
-    m = matches.filter(F.col("version") <= version)
+    m = restrict_to_keys(matches.filter(F.col("version") <= version), new, ["match_id"])
     wide = new.join(m.select("match_id", "team_1", "team_2", "match_date"), "match_id")
     _write_by_event(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
 
