@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import apply_changes
+from ..operators.etl import restrict_to_keys
 from ..session import scratch_path
 
 
@@ -157,7 +158,8 @@ def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value
         hit = [r[0] for r in touched.select("_bucket").distinct().collect()]  # at most `buckets` ints
         log = (spark.read.option("basePath", log_target).parquet(f"{log_target}/batch_id=*")
                .filter((F.col("batch_id") <= batch_id) & F.col("_bucket").isin(hit)))
-        state = apply_changes(log.join(touched, [key, "_bucket"], "left_semi"), key=key, seq=seq,
+        # the touched keys are few: broadcast them (size-checked) to cut the log
+        state = apply_changes(restrict_to_keys(log, touched, [key, "_bucket"]), key=key, seq=seq,
                               op=op, value=value, out=out)
         versions = (touched.select(key).join(state, key, "left")
                     .withColumn("present", F.col(out).isNotNull()))
