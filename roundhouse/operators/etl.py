@@ -15,17 +15,24 @@ BROADCAST_MAX_KEYS = 2_000_000
 
 
 def restrict_to_keys(big: DataFrame, small: DataFrame, keys: list[str],
-                     max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
+                     max_keys: int = BROADCAST_MAX_KEYS, big_rows: int | None = None,
+                     max_fraction: float = 0.1, min_big_rows: int = 10_000_000) -> DataFrame:
     """``big`` cut to the keys that occur in ``small``, when that key set is small.
 
-    The distinct keys of ``small`` are counted (one job); under ``max_keys``
-    they are broadcast and ``big`` is filtered while it is scanned (a broadcast
-    semi join), so a small increment or one event never makes the whole big
-    table shuffle. Above the bound ``big`` is returned as is and the caller's
-    join shuffles normally.
+    The distinct keys of ``small`` are counted (one job); when there are at
+    most ``max_keys`` of them - and, if ``big_rows`` is known (a stored
+    table's count comes from file metadata), at most ``max_fraction`` of it -
+    they are broadcast and ``big`` is filtered while it is scanned (a
+    broadcast semi join), so a small increment or one event never makes the
+    whole big table shuffle. Otherwise ``big`` is returned as is and the
+    caller's join shuffles normally. A big side known to hold at most
+    ``min_big_rows`` rows is cheap to shuffle, so then nothing is counted.
     """
+    if big_rows is not None and big_rows <= min_big_rows:
+        return big
     ids = small.select(*keys).distinct()
-    if ids.count() <= max_keys:
+    n = ids.count()
+    if n <= max_keys and (big_rows is None or n <= max_fraction * big_rows):
         return big.join(F.broadcast(ids), keys, "left_semi")
     return big
 
@@ -62,9 +69,7 @@ def insert_ignore(new: DataFrame, existing: DataFrame | None, keys: list[str] |
     loose = new.filter(has_null)
     fresh = dedupe_by_key(new.filter(~has_null), keys)
     if existing is not None:
-        # only existing keys that the new rows could conflict with take part
-        clash = restrict_to_keys(existing.select(*keys), fresh, keys)
-        fresh = fresh.join(clash, on=keys, how="left_anti")
+        fresh = fresh.join(existing.select(*keys), on=keys, how="left_anti")
         fresh = existing.unionByName(fresh)
     return fresh.unionByName(loose)
 

@@ -55,7 +55,7 @@ def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | No
         fresh = insert_ignore(new, None, keys)
         if current is not None:
             # a small increment only looks at the table's keys it could clash with
-            clash = restrict_to_keys(current.select(*keys), fresh, keys)
+            clash = restrict_to_keys(current.select(*keys), fresh, keys, big_rows=current.count())
             fresh = fresh.join(clash, keys, "left_anti")
     else:
         fresh = new
@@ -146,7 +146,8 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     if results is None or matches is None:
         return
     new = results.filter(F.col("version") == version).drop("version")
-    m = restrict_to_keys(matches.filter(F.col("version") <= version), new, ["match_id"])
+    m = matches.filter(F.col("version") <= version)
+    m = restrict_to_keys(m, new, ["match_id"], big_rows=m.count())
     wide = new.join(m.select("match_id", "team_1", "team_2", "match_date"), "match_id")
     _write_by_event(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
 

@@ -98,3 +98,8 @@ def test_restrict_to_keys_checks_size(spark):
     assert re.search(r"BroadcastHashJoin[^\n]*LeftSemi", plan_text(cut))
     # above the bound nothing is broadcast and the big side is unchanged
     assert E.restrict_to_keys(big, small, ["k"], max_keys=1) is big
+    # a big side known to be small is not worth a counting job
+    assert E.restrict_to_keys(big, small, ["k"], big_rows=1000) is big
+    # relative rule: two keys are more than 10 % of a 15-row table
+    assert E.restrict_to_keys(big, small, ["k"], big_rows=15, min_big_rows=0) is big
+    assert E.restrict_to_keys(big, small, ["k"], big_rows=1000, min_big_rows=0) is not big
