@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    from roundhouse.oracle_check import duck_connect
+    from oracle_check import duck_connect
     con = duck_connect(SF_SMALL)
     yield con
     con.close()

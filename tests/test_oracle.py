@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
-from roundhouse.oracle_check import compare
+from oracle_check import compare
 
 QUERIES = entry_mod.queries()
 ORACLE = entry_mod.oracle_sql()
