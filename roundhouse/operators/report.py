@@ -127,14 +127,15 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, final_rows: int =
     return lo_v + (hi_v - lo_v) * frac
 
 
-def _anchors(df: DataFrame, columns: list[str]) -> list[tuple]:
+def _anchors(df: DataFrame, columns: list[str], written: bool = False) -> list[tuple]:
     """(column, min, median, max) per column: one pass for min/max/count, then the medians.
 
     The anchors take several jobs, so the projected columns are written once
     (below the shared checkpoint folder) instead of re-running the plan that
     produced ``df`` for each of them.
     """
-    df = materialize(df.select(*columns), "anchors")
+    if not written:
+        df = materialize(df.select(*columns), "anchors")
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
@@ -147,10 +148,19 @@ def _anchors(df: DataFrame, columns: list[str]) -> list[tuple]:
     return out
 
 
-def column_anchors(df: DataFrame, columns: list[str]) -> DataFrame:
-    """min, median (exact, interpolated) and max of each column: the colour-scale anchors."""
+def column_anchors(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """min, median (exact, interpolated) and max of each column: the colour-scale anchors.
+
+    Without ``columns`` the numeric columns are detected as the workbook does
+    (``numeric_columns``); the frame is written once for both steps.
+    """
     spark = df.sparkSession
-    data = _anchors(df, columns)
+    if columns is None:
+        df = materialize(df, "sheet")
+        columns = numeric_columns(df)
+        data = _anchors(df, columns, written=True)
+    else:
+        data = _anchors(df, columns)
     return spark.createDataFrame(
         data, "column string, min_value double, median_value double, max_value double")
 

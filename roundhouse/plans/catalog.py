@@ -286,8 +286,7 @@ def _rating_sheet(t: Tables):
 
 @register("column_anchors")
 def _(t: Tables):
-    sheet = _rating_sheet(t)
-    return R.column_anchors(sheet, R.numeric_columns(sheet))
+    return R.column_anchors(_rating_sheet(t))  # numeric columns detected as the workbook does
 
 
 @register("colour_position")
