@@ -31,12 +31,21 @@ def event_stream(spark: SparkSession, folder: str, table: str = "events",
     return reader.parquet(folder)
 
 
-def run_available(query_builder, name: str) -> None:
-    """Start a query with the availableNow trigger and wait until the input is consumed."""
+def run_available(query_builder, name: str, trigger_every: str | None = None):
+    """Run a streaming query.
+
+    Without ``trigger_every``: the availableNow trigger, waiting until the input
+    present at the start is consumed (batch-like runs, tests). With it (e.g.
+    "5 seconds"): a processing-time trigger, and the running query is returned
+    for the caller to monitor and stop (the live form).
+    """
+    if trigger_every:
+        return query_builder.trigger(processingTime=trigger_every).queryName(name).start()
     q = query_builder.trigger(availableNow=True).queryName(name).start()
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover - surfaced to the caller
         raise RuntimeError(str(q.exception()))
+    return q
 
 
 ROWS_PER_FILE = 1_000_000
@@ -75,7 +84,7 @@ def latest_versions(spark: SparkSession, target: str, keys: list[str]) -> DataFr
 
 
 def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
-                         target: str, checkpoint: str) -> None:
+                         target: str, checkpoint: str, trigger_every: str | None = None):
     """Continuous INSERT ... ON CONFLICT (keys) DO NOTHING into the Parquet table ``target``.
 
     The state store remembers, per key, the smallest (batch time, row): the
@@ -93,13 +102,14 @@ def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
     arrived = stream.select(*columns).withColumn("_arrival", F.current_timestamp())
     agg = arrived.groupBy(*keys).agg(F.min(F.struct("_arrival", *rest)).alias("_r"))
     out = agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
-    run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target, sized=False))
-                  .option("checkpointLocation", checkpoint), f"insert_ignore_{uuid.uuid4().hex[:8]}")
+    return run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target, sized=False))
+                         .option("checkpointLocation", checkpoint), f"insert_ignore_{uuid.uuid4().hex[:8]}",
+                         trigger_every)
 
 
 def stream_window_counts(stream: DataFrame, every: str, keys: list[str], ts: str,
                          seq: list[str], value: str, target: str, checkpoint: str,
-                         watermark: str = "1 hour") -> None:
+                         watermark: str = "1 hour", trigger_every: str | None = None):
     """Tumbling-window count and last value per key, kept current.
 
     Update mode emits only the windows a batch changed; windows older than the
@@ -113,12 +123,13 @@ def stream_window_counts(stream: DataFrame, every: str, keys: list[str], ts: str
                 F.max_by(F.col(value), F.struct(*[F.col(c) for c in seq])).alias("value")))
     out = agg.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "samples", "value")
-    run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
-                  .option("checkpointLocation", checkpoint), f"window_counts_{uuid.uuid4().hex[:8]}")
+    return run_available(out.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
+                         .option("checkpointLocation", checkpoint), f"window_counts_{uuid.uuid4().hex[:8]}",
+                         trigger_every)
 
 
 def stream_standings(results_stream: DataFrame, matches: DataFrame, target: str,
-                     checkpoint: str) -> None:
+                     checkpoint: str, trigger_every: str | None = None):
     """Live standings: result rows won per team, kept current.
 
     New result rows arrive as a stream and are joined with the static
@@ -130,13 +141,14 @@ def stream_standings(results_stream: DataFrame, matches: DataFrame, target: str,
     j = results_stream.join(matches.select("match_id", "team_1", "team_2"), "match_id")
     won = j.select(side_winner("match_winner").alias("team")).filter(F.col("team").isNotNull())
     agg = won.groupBy("team").agg(F.count(F.lit(1)).alias("wins"))
-    run_available(agg.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
-                  .option("checkpointLocation", checkpoint), f"standings_{uuid.uuid4().hex[:8]}")
+    return run_available(agg.writeStream.outputMode("update").foreachBatch(_batch_writer(target))
+                         .option("checkpointLocation", checkpoint), f"standings_{uuid.uuid4().hex[:8]}",
+                         trigger_every)
 
 
 def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value: str,
                          log_target: str, state_target: str, checkpoint: str, out: str = "value",
-                         buckets: int = 64) -> None:
+                         buckets: int = 64, trigger_every: str | None = None):
     """Keep the change-log state current.
 
     Each batch appends its events to the log table, sorted by a hash bucket
@@ -166,8 +178,9 @@ def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value
         _batch_writer(state_target)(versions, batch_id)
         batch.unpersist()
 
-    run_available(stream.writeStream.foreachBatch(step)
-                  .option("checkpointLocation", checkpoint), f"apply_changes_{uuid.uuid4().hex[:8]}")
+    return run_available(stream.writeStream.foreachBatch(step)
+                         .option("checkpointLocation", checkpoint), f"apply_changes_{uuid.uuid4().hex[:8]}",
+                         trigger_every)
 
 
 def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:

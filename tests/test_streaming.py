@@ -83,3 +83,30 @@ def test_stream_standings_three_batches(spark, tmp_path):
     assert got == sorted(rows(batch))
     versions = spark.read.option("basePath", target).parquet(f"{target}/batch_id=*")
     assert versions.select("batch_id").distinct().count() == 3
+
+
+def test_live_standings_pick_up_new_files(spark, tmp_path):
+    """The live form: a running query sees files that arrive later."""
+    from roundhouse.functions.scalars import side_winner
+    from roundhouse.plans.catalog import Tables
+    folder = tmp_path / "live"
+    folder.mkdir()
+    t = pq.read_table(f"{SF_SMALL}/lineitem.parquet")
+    half = t.num_rows // 2
+    pq.write_table(t.slice(0, half), str(folder / "lineitem_0.parquet"))
+    tabs = Tables(spark, SF_SMALL)
+    target, ckpt = ST.fresh_paths(spark, "t_live")
+    lines = ST.event_stream(spark, str(folder), table="lineitem")
+    q = ST.stream_standings(A.results_of_lines(lines, tabs.src), tabs.m, target, ckpt,
+                            trigger_every="1 second")
+    try:
+        q.processAllAvailable()
+        pq.write_table(t.slice(half), str(folder / "lineitem_1.parquet"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted(rows(ST.latest_versions(spark, target, ["team"])))
+    j = tabs.rc.join(tabs.m.select("match_id", "team_1", "team_2"), "match_id")
+    batch = (j.select(side_winner("match_winner").alias("team")).filter("team IS NOT NULL")
+             .groupBy("team").count())
+    assert got == sorted(rows(batch))
