@@ -446,6 +446,12 @@ def _(t: Tables):
     return W.tumbling_last(A.samples(t.src), "1 day", seq=("ts", "event_id"))
 
 
+@register("tumbling_scrape")
+def _(t: Tables):
+    """Last value and sample count per gauge and 15 s scrape window."""
+    return W.tumbling_last(A.samples(t.src), f"{P.SCRAPE_SECONDS} seconds", seq=("ts", "event_id"))
+
+
 @register("availability")
 def _(t: Tables):
     return W.availability(A.samples(t.src), "1 day")
