@@ -1,5 +1,7 @@
 """Streaming forms over several micro-batches equal their batch forms."""
 
+import os
+
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
@@ -101,7 +103,9 @@ def test_live_standings_pick_up_new_files(spark, tmp_path):
                             trigger_every="1 second")
     try:
         q.processAllAvailable()
-        pq.write_table(t.slice(half), str(folder / "lineitem_1.parquet"))
+        # arrive atomically: write under a name the source ignores, then rename
+        pq.write_table(t.slice(half), str(folder / "_incoming.tmp"))
+        os.replace(folder / "_incoming.tmp", folder / "lineitem_1.parquet")
         q.processAllAvailable()
     finally:
         q.stop()
