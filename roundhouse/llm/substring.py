@@ -89,7 +89,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
 
 def _windows(packed: pa.Array, window: int):
     """(row, window in the row, 128-bit hash) of all windows of packed strings."""
-    for lo, hi, buf, offsets in T.slices(packed, 32 << 20):
+    for lo, hi, buf, offsets in T.slices(packed):
         words, first, _, _ = T.word_hashes(buf, offsets)
         a, b = T.windows_hash(words, window), T.windows_hash(words, window, _SECOND)
         n = np.diff(first) - window + 1
@@ -99,7 +99,7 @@ def _windows(packed: pa.Array, window: int):
         yield row + lo, inner, a[at], b[at]
 
 
-def _count(strings: DataFrame, window: int, batch_bytes: int = 16 << 20) -> DataFrame:
+def _count(strings: DataFrame, window: int, batch_bytes: int = 8 << 20) -> DataFrame:
     """Removed word ranges [a, b) from packed strings sorted by minimiser."""
     names = ["m", "doc_id", "t", "start", "packed"]
 
