@@ -146,8 +146,12 @@ def _count(strings: DataFrame, window: int, batch_bytes: int = 8 << 20) -> DataF
     return dealt.mapInArrow(run, "doc_id long, t long, a int, b int")
 
 
-def _single(strings: DataFrame, window: int) -> DataFrame:
-    """The same for buckets that are too large for one task: windows travel singly."""
+def _single(strings: DataFrame, window: int, scratch: Written) -> DataFrame:
+    """The same for buckets that are too large for one task: windows travel singly.
+
+    The minima are written first, so that the join has two plain shuffles and
+    adaptive execution can split a window that very many rows hold.
+    """
     def run(batch):
         docid, key, start = (batch.column(c) for c in ("doc_id", "t", "start"))
         for row, inner, a, b in _windows(batch.column("packed"), window):
@@ -156,7 +160,8 @@ def _single(strings: DataFrame, window: int) -> DataFrame:
                    "a": start.to_numpy()[row] + inner}
     each = map_batches(strings.select("doc_id", "t", "start", "packed"),
                        "x long, y long, doc_id long, t long, a int", run)
-    least = each.groupBy("x", "y").agg(F.min("doc_id").alias("least"))
+    least = scratch.put(each.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("m"))
+                        .filter("least < m").drop("m"), "least")
     return (each.join(least, ["x", "y"]).filter("least < doc_id")
             .select("doc_id", "t", "a", (F.col("a") + window).alias("b")))
 
@@ -176,7 +181,7 @@ def repeated_ranges(docs: DataFrame, scratch: Written, window: int = WINDOW, kme
     source = docs.join(spans, ["doc_id", "t"]).select("doc_id", "t", "text", "spans")
     strings = scratch.put(_cut(source, window), "strings")
     scratch.drop("superkmers")
-    return _count(strings.filter("not hot"), window).unionByName(_single(strings.filter("hot"), window))
+    return _count(strings.filter("not hot"), window).unionByName(_single(strings.filter("hot"), window, scratch))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot_windows: int = HOT_WINDOWS,

@@ -78,7 +78,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slices(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of texts of about ``max_bytes``.
 
     Bounds the memory of what is computed per byte; one longer text is a run of
