@@ -13,7 +13,7 @@ import numpy as np
 
 from . import text as T
 
-MAX_CACHED = 1_000_000  # words; the cache starts anew beyond it
+MAX_CACHED = 2_000_000  # words; the cache starts anew beyond it
 
 
 class WordEncoder:
@@ -29,16 +29,15 @@ class WordEncoder:
         self.ids = np.empty(0, dtype=np.uint32)
         self.start = np.zeros(1, dtype=np.int64)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds sorted new hashes that belong before the known ones at ``at``."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(n.sum()))
         place = np.arange(len(self.start) - 1, len(self.start) - 1 + len(words))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
         self.ids = np.concatenate([self.ids, flat])
-        known, place = np.concatenate([self.known, hashes]), np.concatenate([self.place, place])
-        order = np.argsort(known)
-        self.known, self.place = known[order], place[order]
+        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, place)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int | None = None):
         """(ids of all texts, first id of each text); ``end_id`` closes every text."""
@@ -52,7 +51,7 @@ class WordEncoder:
         new[inside] = self.known[at[inside]] != distinct[inside]
         if new.any():
             raw = buf.tobytes()
-            self._learn(distinct[new], [raw[starts[i]:ends[i]].decode("utf-8") for i in where[new]])
+            self._learn(at[new], distinct[new], [raw[starts[i]:ends[i]].decode("utf-8") for i in where[new]])
             at = np.searchsorted(self.known, distinct)
         word = self.place[at][inverse]
         size = self.start[word + 1] - self.start[word]
