@@ -20,8 +20,9 @@ from .vectors import dimension, norms, packed, rotation, unpack
 
 THRESHOLD = 0.95
 BLOCK = 8            # dimensions per block
-CELL_ROWS = 4096     # wanted rows per grid cell
-CHUNK = 1024         # home rows, and four times as many probing rows, per task
+CELL_ROWS = 8192     # wanted rows per grid cell
+GRID = 4             # most dimensions of a block's grid: a row has up to 2**GRID copies per block
+CHUNK = 8192         # home rows, and four times as many probing rows, per task
 GUARD = 1e-7         # of squared distances, against rounding
 
 
@@ -34,7 +35,7 @@ class Blocks:
         self.edge = np.linspace(0, d, count + 1).round().astype(int)
         self.budget = (2 - 2 * threshold) * np.diff(self.edge) / d + GUARD
         # a block's cells are 2 radii wide; about 3 of them hold a coordinate's spread
-        self.grid = int(np.clip(np.ceil(np.log(max(rows / cell_rows, 1)) / np.log(3)), 1, block))
+        self.grid = int(np.clip(np.ceil(np.log(max(rows / cell_rows, 1)) / np.log(3)), 1, min(block, GRID)))
 
     def place(self, x: np.ndarray) -> np.ndarray:
         return (x / norms(x)[:, None]) @ self.turn
@@ -44,6 +45,33 @@ class Blocks:
         sq = diff * diff
         return np.stack([sq[:, a:b].sum(axis=1) for a, b in zip(self.edge[:-1], self.edge[1:])], axis=1)
 
+    def close(self, x: np.ndarray, p: np.ndarray, s: int, tile: int = 64, wide: int = 4096):
+        """Index pairs (in x, in p) that may be within block ``s``'s budget (a superset).
+
+        Both sides are sorted by one more coordinate of the block, so a tile of
+        x meets only the p within the radius of its range; one product in single
+        precision then gives the block distances.
+        """
+        a, b = self.edge[s], self.edge[s + 1]
+        at = min(a + self.grid, b - 1)
+        ox, op = np.argsort(x[:, at]), np.argsort(p[:, at])
+        key_x, key_p = x[ox, at], p[op, at]
+        radius = np.sqrt(self.budget[s]) + 1e-6
+        part_x, part_p = x[ox, a:b], p[op, a:b]
+        left = np.column_stack([part_x, (part_x ** 2).sum(1), np.ones(len(x))]).astype(np.float32)
+        right = np.ascontiguousarray(
+            np.column_stack([-2 * part_p, np.ones(len(p)), (part_p ** 2).sum(1)]).T.astype(np.float32))
+        limit = np.float32(self.budget[s] + 1e-5)
+        for lo in range(0, len(x), tile):
+            hi = min(lo + tile, len(x))
+            begin = int(np.searchsorted(key_p, key_x[lo] - radius))
+            end = int(np.searchsorted(key_p, key_x[hi - 1] + radius, side="right"))
+            for q in range(begin, end, wide):
+                r = min(q + wide, end)
+                near = np.flatnonzero((left[lo:hi] @ right[:, q:r] <= limit).ravel())
+                if len(near):
+                    yield ox[lo + near // (r - q)], op[q + near % (r - q)]
+
     def cells(self, y: np.ndarray, s: int):
         """(row, cell, whether it is the row's home) of every cell within the block's radius."""
         g = min(self.grid, self.edge[s + 1] - self.edge[s])
@@ -125,27 +153,27 @@ def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD, scratch: Writt
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     salt = lambda n: F.pmod(F.xxhash64("h", "id"), F.col(n)).cast("int")
     cols = ["id", "h", "c", "packed"]
-    home = both.filter("home").select(*keys, salt("hp").alias("i"), span("pp").alias("j"), F.lit(True).alias("home"), *cols)
-    probe = both.select(*keys, span("hp").alias("i"), salt("pp").alias("j"), F.lit(False).alias("home"), *cols)
+    # a home row meets every chunk of probes; it travels as a probe itself only where it is not yet
+    home = both.filter("home").select(*keys, salt("hp").alias("i"), span("pp").alias("j"), F.lit(True).alias("home"),
+                                      salt("pp").alias("own"), *cols)
+    probe = both.select(*keys, span("hp").alias("i"), salt("pp").alias("j"), F.col("home").alias("was"),
+                        salt("hp").alias("own"), *cols).filter("not was or i <> own")
+    rows_of = home.withColumn("probe", F.col("j") == F.col("own")).drop("own").unionByName(
+        probe.select(*keys, "i", "j", F.lit(False).alias("home"), F.lit(True).alias("probe"), *cols))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         g = shared.value
         s = int(pdf["s"].iloc[0])
-        x, p = pdf[pdf["home"]], pdf[~pdf["home"]]
+        x, p = pdf[pdf["home"]], pdf[pdf["probe"]]
         vx, vp = unpack(x["packed"], d), unpack(p["packed"], d)
         out = []
         if len(vx) and len(vp):
             yx, yp, nx, np_ = g.place(vx), g.place(vp), norms(vx), norms(vp)
             hx, hp = x["h"].to_numpy(), p["h"].to_numpy()
             ix, ip, cp = x["id"].to_numpy(), p["id"].to_numpy(), p["c"].to_numpy()
-            a, b = g.edge[s], g.edge[s + 1]
-            sx, sp = yx[:, a:b], yp[:, a:b]
             links = np.zeros(len(vx), dtype=np.int64)
             ends: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo in range(0, len(vx), 128):
-                gap = (sx[lo:lo + 128] ** 2).sum(1)[:, None] + (sp ** 2).sum(1)[None, :] - 2 * sx[lo:lo + 128] @ sp.T
-                i, j = np.nonzero(gap <= g.budget[s] + GUARD)
-                i += lo
+            for i, j in g.close(yx, yp, s):
                 for at in range(0, len(i), 50_000):
                     u, v = i[at:at + 50_000], j[at:at + 50_000]
                     within = g.gaps(yx[u] - yp[v]) <= g.budget
@@ -171,7 +199,7 @@ def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD, scratch: Writt
             out.append(pd.DataFrame({"a": ix[n], "b": ix[n], "h": hx[n], "n": links[n]}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("a", "b", "h", "n")})
 
-    found = scratch.put(home.unionByName(probe).groupBy(*keys, "i", "j").applyInPandas(
+    found = scratch.put(rows_of.groupBy(*keys, "i", "j").applyInPandas(
         join, "a long, b long, h long, n long"), "found")
     counts = found.filter("n > 0").groupBy(F.col("a").alias("id"), "h").agg(F.sum("n").alias("n"))
     edges = found.filter("n = 0").select("a", "b").distinct()
