@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, mixing, neardup, packing, pii, quality, substring
+from . import ann, jaccard, mixing, neardup, packing, pii, pseudo, quality, substring
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document."""
+    return pseudo.score(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents")).select(
@@ -60,7 +65,7 @@ def op10_partitioned_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_adaptive_scan_ann, op2_super_kmer_dedup, op3_subspace_near_dedup, op4_subset_sum_mix,
-        op5_ftrl_quality, op7_best_fit_packing, op9_bootstrapped_pii, op10_partitioned_jaccard)
+        op5_ftrl_quality, op6_pseudo_likelihood, op7_best_fit_packing, op9_bootstrapped_pii, op10_partitioned_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {}
