@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, mixing, neardup, packing, pii, pseudo, quality, substring
+from . import ann, jaccard, mixing, neardup, packing, pii, pseudo, quality, substring, suffix
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200-byte strings that start anywhere else too are removed."""
+    return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and learned personal-data spans of every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -65,7 +70,7 @@ def op10_partitioned_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_adaptive_scan_ann, op2_super_kmer_dedup, op3_subspace_near_dedup, op4_subset_sum_mix,
-        op5_ftrl_quality, op6_pseudo_likelihood, op7_best_fit_packing, op9_bootstrapped_pii, op10_partitioned_jaccard)
+        op5_ftrl_quality, op6_pseudo_likelihood, op7_best_fit_packing, op8_difference_cover_dedup, op9_bootstrapped_pii, op10_partitioned_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {}
