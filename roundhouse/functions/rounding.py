@@ -9,8 +9,9 @@ instead, so the result is exact at any group size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WIDE = "decimal(38,0)"
 
@@ -61,6 +62,12 @@ def round_mean(total, count, scale: int = 2, unit_scale: int = 2) -> Column:
     return round_ratio(total, _c(count) * (10 ** unit_scale), scale=scale)
 
 
-def to_hundredths(col, scale: int = 2) -> Column:
-    """Decimal with ``scale`` digits -> exact integer count of 10^-scale units."""
-    return (_c(col) * (10 ** scale)).cast("long")
+def to_units(df: DataFrame, column: str, digits: int = 9) -> tuple[Column, int]:
+    """(exact integer units, number of decimals) of a numeric column, from its own type.
+
+    A decimal keeps all its digits, an integer has none; a float is rounded to
+    ``digits`` decimals first.
+    """
+    kind = df.schema[column].dataType
+    scale = kind.scale if isinstance(kind, T.DecimalType) else digits if isinstance(kind, T.FractionalType) else 0
+    return (F.col(column).cast(f"decimal(38,{scale})") * 10 ** scale).cast("decimal(38,0)").cast("long"), scale

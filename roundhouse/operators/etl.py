@@ -10,33 +10,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-# size bound for broadcasting a key set (about 16 MB of 64-bit keys)
-BROADCAST_MAX_KEYS = 2_000_000
-
-
-def restrict_to_keys(big: DataFrame, small: DataFrame, keys: list[str],
-                     max_keys: int = BROADCAST_MAX_KEYS, big_rows: int | None = None,
-                     max_fraction: float = 0.1, min_big_rows: int = 10_000_000) -> DataFrame:
-    """``big`` cut to the keys that occur in ``small``, when that key set is small.
-
-    The distinct keys of ``small`` are counted (one job); when there are at
-    most ``max_keys`` of them - and, if ``big_rows`` is known (a stored
-    table's count comes from file metadata), at most ``max_fraction`` of it -
-    they are broadcast and ``big`` is filtered while it is scanned (a
-    broadcast semi join), so a small increment or one event never makes the
-    whole big table shuffle. Otherwise ``big`` is returned as is and the
-    caller's join shuffles normally. A big side known to hold at most
-    ``min_big_rows`` rows is cheap to shuffle, so then nothing is counted.
-    """
-    if big_rows is not None and big_rows <= min_big_rows:
-        return big
-    ids = small.select(*keys).distinct()
-    n = ids.count()
-    if n <= max_keys and (big_rows is None or n <= max_fraction * big_rows):
-        return big.join(F.broadcast(ids), keys, "left_semi")
-    return big
-
-
 def dedupe_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the smallest row by the remaining columns in their order.
 
@@ -101,6 +74,6 @@ def assign_ids(new: DataFrame, start, order: list[str], id_col: str = "id") -> D
     offsets = counts.withColumn(
         "_offset", F.coalesce(F.sum("_n").over(
             Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.join(F.broadcast(offsets.select("_part", "_offset", "_first")), "_part")
+    numbered = ranged.join(offsets.select("_part", "_offset", "_first"), "_part")
     new_id = start.cast("long") + F.col("_offset") + (F.col("_mono") - F.col("_first")) + 1
     return numbered.select(new_id.alias(id_col), *new.columns)

@@ -16,11 +16,12 @@ from ..functions.rounding import round_ratio
 from ..session import materialize
 
 
-def equal_width_histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
+def equal_width_histogram(df: DataFrame, column: str, bins: int = 15, digits: int | None = None) -> DataFrame:
     """Counts in ``bins`` equal-width bins over [min, max]; the last bin is closed.
 
     Every bin appears, empty ones with 0. A single distinct value puts all rows
-    in bin 1 instead of dividing by zero. Output: bin, bin_lo, bin_hi, n.
+    in bin 1 instead of dividing by zero. ``digits`` rounds the edges. Output: bin,
+    bin_lo, bin_hi, n.
     """
     x = F.col(column)
     bounds = df.select(F.struct(F.min(x).cast("double").alias("lo"),
@@ -33,7 +34,8 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int = 15) -> DataFra
     spark = df.sparkSession
     every = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     out = every.join(counts, "bin", "left")
-    edge = lambda i: F.round(lo + (i * width) / bins, 6)
+    exact = lambda i: lo + (i * width) / bins
+    edge = exact if digits is None else lambda i: F.round(exact(i), digits)
     return out.select(
         "bin",
         edge(F.col("bin") - 1).alias("bin_lo"),
@@ -76,15 +78,14 @@ def share_of_total(df: DataFrame, count_col: str, scale: int = 1, name: str = "s
     return df.withColumn(name, round_ratio(F.col(count_col), total, scale=scale, factor=100))
 
 
-def numeric_columns(df: DataFrame, sample_rows: int = 19, min_numbers: int = 3) -> list[str]:
+def numeric_columns(df: DataFrame, min_numbers: int = 3) -> list[str]:
     """Columns the workbook colours: numeric type with at least ``min_numbers``
-    values among the first ``sample_rows`` rows (booleans excluded)."""
+    values (booleans excluded)."""
     nums = [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType)]
     if not nums:
         return []
-    head = df.select(*nums).limit(sample_rows)
-    counts = head.agg(*[F.count(F.col(c)).alias(c) for c in nums]).first()
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in nums]).first()
     return [c for c in nums if counts[c] >= min_numbers]
 
 
@@ -165,11 +166,11 @@ def column_anchors(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         data, "column string, min_value double, median_value double, max_value double")
 
 
-def colour_position(df: DataFrame, column: str, name: str = "position") -> DataFrame:
+def colour_position(df: DataFrame, column: str, name: str = "position", digits: int | None = None) -> DataFrame:
     """Position of each value on the min - median - max scale: 0 .. 0.5 .. 1.
 
     Piecewise linear between the anchors; a collapsed segment maps to its
-    lower end. Rounded to 6 digits.
+    lower end. ``digits`` rounds the positions.
     """
     x = F.col(column).cast("double")
     _, a_lo, a_mid, a_hi = _anchors(df, [column])[0]
@@ -177,4 +178,4 @@ def colour_position(df: DataFrame, column: str, name: str = "position") -> DataF
     lower = F.when(mid == lo, F.lit(0.0)).otherwise((x - lo) / (mid - lo) * 0.5)
     upper = F.when(hi == mid, F.lit(0.5)).otherwise(0.5 + (x - mid) / (hi - mid) * 0.5)
     pos: Column = F.when(x.isNull(), F.lit(None)).when(x <= mid, lower).otherwise(upper)
-    return df.withColumn(name, F.round(pos, 6))
+    return df.withColumn(name, pos if digits is None else F.round(pos, digits))

@@ -237,7 +237,7 @@ def _(t: Tables):
 
 @register("rounds_histogram")
 def _(t: Tables):
-    return R.equal_width_histogram(Q.total_rounds(t.rc, t.m, P.EVENT_A), "total_rounds", P.HIST_BINS)
+    return R.equal_width_histogram(Q.total_rounds(t.rc, t.m, P.EVENT_A), "total_rounds", P.HIST_BINS, digits=6)
 
 
 @register("rounds_by_bin_width")
@@ -291,7 +291,7 @@ def _(t: Tables):
 
 @register("colour_position")
 def _(t: Tables):
-    return R.colour_position(_rating_sheet(t), "avg_rating")
+    return R.colour_position(_rating_sheet(t), "avg_rating", digits=6)
 
 
 def report_sheets(t: Tables, event_a: int = P.EVENT_A, event_b: int = P.EVENT_B) -> dict:
@@ -510,10 +510,11 @@ def _(t: Tables):
     from .sql import register_views, run_sql
     register_views(t.spark, t)
     return run_sql(t.spark, """
-        SELECT r.map, COUNT(*) AS times_played
-        FROM results r
-        WHERE r.event_id = :event_id AND NOT (COALESCE(r.map, '') IN ('Default', 'Unknown', ''))
-        GROUP BY r.map""", event_id=P.EVENT_A)
+        WITH played AS (SELECT map, result_1 + result_2 AS rounds FROM results WHERE event_id = :event_id)
+        SELECT map, count(rounds) AS times_played
+        FROM played
+        WHERE length(map) > 0 AND NOT array_contains(:placeholders, map)
+        GROUP BY map""", event_id=P.EVENT_A, placeholders=F.array(*[F.lit(m) for m in Q.PLACEHOLDER_MAPS]))
 
 
 # --- live parts (streaming forms) ---------------------------------------------------

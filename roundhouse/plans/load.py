@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_best_of
-from ..operators.etl import insert_ignore, restrict_to_keys
+from ..operators.etl import insert_ignore
 from ..sources.tables import TableSource
 from . import adapters as A
 
@@ -55,9 +55,7 @@ def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | No
     if keys:
         fresh = insert_ignore(new, None, keys)
         if current is not None:
-            # a small increment only looks at the table's keys it could clash with
-            clash = restrict_to_keys(current.select(*keys), fresh, keys, big_rows=current.count())
-            fresh = fresh.join(clash, keys, "left_anti")
+            fresh = fresh.join(current.select(*keys), keys, "left_anti")
     else:
         fresh = new
     _write_by_event(fresh, SORT_BY.get(table, keys), f"{folder}/{table}/version={version}")
@@ -138,17 +136,18 @@ def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, vers
 
 
 def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
-    """results_wide for ``version``: this version's new result rows joined once
-    with the matches table as loaded so far (matches load before results, as
-    in the reference's order). Questions over it need no join and no shuffle
-    by match id; it is partitioned by event like the other tables."""
+    """results_wide for ``version``: the pairs of result and match rows of which at
+    least one arrived in this version, so a match that comes after its results
+    completes them and no pair is written twice. Questions over it need no
+    join and no shuffle by match id; it is partitioned by event like the
+    other tables."""
     results, matches = read_final(spark, folder, "results"), read_final(spark, folder, "matches")
     if results is None or matches is None:
         return
-    new = results.filter(F.col("version") == version).drop("version")
-    m = matches.filter(F.col("version") <= version)
-    m = restrict_to_keys(m, new, ["match_id"], big_rows=m.count())
-    wide = new.join(m.select("match_id", "team_1", "team_2", "match_date"), "match_id")
+    cols = ["match_id", "team_1", "team_2", "match_date"]
+    new, old = F.col("version") == version, F.col("version") < version
+    wide = (results.filter(new).drop("version").join(matches.filter(new | old).select(*cols), "match_id")
+            .unionByName(results.filter(old).drop("version").join(matches.filter(new).select(*cols), "match_id")))
     _write_by_event(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
 
 

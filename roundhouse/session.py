@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,12 +70,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is made. The
+    as is. Only when it is unset and the master is local (tests) a scratch
+    folder is made; any other master without it is an error. The
     RDD checkpoint folder is set too where the session has a SparkContext
     (not under Spark Connect, where only the written tables are used).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if master and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         configured = tempfile.mkdtemp(prefix="roundhouse-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)

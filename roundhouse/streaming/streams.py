@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import apply_changes
-from ..operators.etl import restrict_to_keys
 from ..session import scratch_path
 
 
@@ -109,15 +108,16 @@ def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
 
 def stream_window_counts(stream: DataFrame, every: str, keys: list[str], ts: str,
                          seq: list[str], value: str, target: str, checkpoint: str,
-                         watermark: str = "1 hour", trigger_every: str | None = None):
+                         watermark: str | None = None, trigger_every: str | None = None):
     """Tumbling-window count and last value per key, kept current.
 
-    Update mode emits only the windows a batch changed; windows older than the
-    watermark leave the state store. Rows later than the watermark are
-    dropped (our late-data rule). Each emitted version is written by batch id.
+    Update mode emits only the windows a batch changed. Without ``watermark``
+    every row counts, however late; with one, windows older than it leave the
+    state store and later rows are dropped. Each emitted version is written by
+    batch id.
     """
-    t = F.col(ts).cast("timestamp")
-    agg = (stream.withColumn("_t", t).withWatermark("_t", watermark)
+    timed = stream.withColumn("_t", F.col(ts).cast("timestamp"))
+    agg = ((timed.withWatermark("_t", watermark) if watermark else timed)
            .groupBy(*keys, F.window("_t", every).alias("w"))
            .agg(F.count(F.lit(1)).alias("samples"),
                 F.max_by(F.col(value), F.struct(*[F.col(c) for c in seq])).alias("value")))
@@ -170,8 +170,7 @@ def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value
         hit = [r[0] for r in touched.select("_bucket").distinct().collect()]  # at most `buckets` ints
         log = (spark.read.option("basePath", log_target).parquet(f"{log_target}/batch_id=*")
                .filter((F.col("batch_id") <= batch_id) & F.col("_bucket").isin(hit)))
-        # the touched keys are few: broadcast them (size-checked) to cut the log
-        state = apply_changes(restrict_to_keys(log, touched, [key, "_bucket"]), key=key, seq=seq,
+        state = apply_changes(log.join(touched, [key, "_bucket"], "left_semi"), key=key, seq=seq,
                               op=op, value=value, out=out)
         versions = (touched.select(key).join(state, key, "left")
                     .withColumn("present", F.col(out).isNotNull()))

@@ -83,3 +83,20 @@ def test_wide_results_answer_like_the_join(spark, tmp_path):
     with contextlib.redirect_stdout(buf):
         Q.overtime_teams(f.rw, None, k=None).explain()
     assert "Join" not in buf.getvalue()
+
+
+def test_late_match_completes_its_results(spark, tmp_path):
+    from roundhouse.plans.load import WIDE, load_wide_results, read_final
+    folder = str(tmp_path)
+    match = "match_id long, team_1 string, team_2 string, match_date date, event_id int"
+    result = "match_id long, event_id int, map string, result_1 int, result_2 int"
+    put = lambda rows, schema, name, v: spark.sql("SELECT 1") and spark.createDataFrame(rows, schema).write.parquet(
+        f"{folder}/{name}/version={v}")
+    put([(1, "A", "B", None, 7)], match, "matches", 0)
+    put([(1, 7, "m", 1, 2), (2, 7, "m", 3, 4)], result, "results", 0)
+    load_wide_results(spark, folder, 0)
+    put([(2, "C", "D", None, 7)], match, "matches", 1)
+    put([(1, 7, "n", 5, 6)], result, "results", 1)
+    load_wide_results(spark, folder, 1)
+    wide = read_final(spark, folder, WIDE)
+    assert sorted((r["match_id"], r["map"]) for r in wide.collect()) == [(1, "m"), (1, "n"), (2, "m")]

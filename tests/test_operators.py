@@ -171,9 +171,32 @@ def test_team_pool_forced_member_and_cap(spark):
     assert [x[0] for x in rows(Q.team_pool(m, p, p, "FURIA", cap=1))] == ["A", "FURIA"]
 
 
+def test_team_pool_keeps_every_team(spark):
+    m = spark.range(600).selectExpr("concat('T', id) AS team_1", "'X' AS team_2")
+    p = spark.createDataFrame([("Z",)], "team string")
+    assert Q.team_pool(m, p, p).count() == 603
+
+
+def test_mean_rating_keeps_every_digit(spark):
+    df = spark.sql("SELECT 1 AS event_id, 'p' AS player_name, 'a' AS team, CAST(v AS DECIMAL(6,3)) AS rating "
+                   "FROM VALUES (1.239), (1.234), (1.238) AS t(v)")
+    assert rows(Q.best_player_by_rating(df, 1), "avg_rating") == [(1.24,)]
+
+
+def test_questions_start_no_job(spark):
+    from roundhouse.plans.catalog import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    m, r = t.m, t.r
+    group = "lazy-question"
+    spark.sparkContext.setJobGroup(group, "no job while a question is built")
+    Q.winrate_on_map(r, m, 1), Q.match_wins(r, m, 2019), Q.total_rounds(r, m, 1)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_colour_position(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    pos = dict(rows(R.colour_position(df, "x"), "x", "position"))
+    pos = dict(rows(R.colour_position(df, "x", digits=6), "x", "position"))
     assert pos == {1.0: 0.0, 2.0: 0.333333, 3.0: 0.533333, 10.0: 1.0}
     anchors = rows(R.column_anchors(df, ["x"]))
     assert anchors == [("x", 1.0, 2.5, 10.0)]
@@ -182,6 +205,8 @@ def test_colour_position(spark):
 def test_numeric_columns(spark):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, 1.0), ("c", 3, None)], "s string, n int, f double")
     assert R.numeric_columns(df) == ["n"]
+    late = spark.range(130).selectExpr("CASE WHEN id >= 30 THEN id END AS n")
+    assert R.numeric_columns(late) == ["n"]  # leading NULLs do not hide a column
 
 
 def test_share_of_total(spark):

@@ -88,18 +88,3 @@ def test_forward_fill_windows_are_chunked(spark):
     plan = plan_text(W.asof_sample(df, 3600, seq=("ts", "event_id"), chunk_ticks=8))
     windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", plan)
     assert windows and any("_chunk" in w for w in windows), plan
-
-
-def test_restrict_to_keys_checks_size(spark):
-    big = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = spark.createDataFrame([(3,), (5,), (5,)], "k long")
-    cut = E.restrict_to_keys(big, small, ["k"])
-    assert sorted(rows(cut)) == [(3, 6), (5, 10)]
-    assert re.search(r"BroadcastHashJoin[^\n]*LeftSemi", plan_text(cut))
-    # above the bound nothing is broadcast and the big side is unchanged
-    assert E.restrict_to_keys(big, small, ["k"], max_keys=1) is big
-    # a big side known to be small is not worth a counting job
-    assert E.restrict_to_keys(big, small, ["k"], big_rows=1000) is big
-    # relative rule: two keys are more than 10 % of a 15-row table
-    assert E.restrict_to_keys(big, small, ["k"], big_rows=15, min_big_rows=0) is big
-    assert E.restrict_to_keys(big, small, ["k"], big_rows=1000, min_big_rows=0) is not big
