@@ -22,12 +22,21 @@ from ..session import scratch_path
 
 def event_stream(spark: SparkSession, folder: str, table: str = "events",
                  files_per_batch: int | None = None) -> DataFrame:
-    """Streaming read of ``<folder>/<table>*.parquet`` with the batch table's schema."""
-    schema = spark.read.option("pathGlobFilter", f"{table}*.parquet").parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    """Streaming read of a table with the batch table's schema.
+
+    The table is a folder of part files (``<folder>/<table>.parquet/`` or
+    ``<folder>/<table>/``) or, failing that, the files ``<folder>/<table>*.parquet``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [p for p in (f"{folder}/{table}.parquet", f"{folder}/{table}") if fs.isDirectory(path(p))]
+    options = {} if whole else {"pathGlobFilter": f"{table}*.parquet"}
+    source = whole[0] if whole else folder
+    schema = spark.read.options(**options).parquet(source).schema
+    reader = spark.readStream.schema(schema).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(source)
 
 
 def run_available(query_builder, name: str, trigger_every: str | None = None):

@@ -114,3 +114,13 @@ def test_live_standings_pick_up_new_files(spark, tmp_path):
     batch = (j.select(side_winner("match_winner").alias("team")).filter("team IS NOT NULL")
              .groupBy("team").count())
     assert got == sorted(rows(batch))
+
+
+def test_event_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    from roundhouse.streaming.streams import event_stream, run_available
+    spark.range(100).selectExpr("id", "id % 3 AS k").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).selectExpr("id", "id AS k").write.parquet(f"{tmp_path}/events_old.parquet")
+    seen = []
+    run_available(event_stream(spark, str(tmp_path)).writeStream.foreachBatch(
+        lambda df, i: seen.append(df.count())).option("checkpointLocation", f"{tmp_path}/c"), "folder_stream")
+    assert sum(seen) == 100
