@@ -38,13 +38,14 @@ def insert_ignore(new: DataFrame, existing: DataFrame | None, keys: list[str] |
     new = new.select(*(existing.columns if existing is not None else new.columns))
     if not keys:
         return new if existing is None else existing.unionByName(new)
+    # a key with a NULL part gets a row number of its own, so one aggregate serves both kinds
     has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    loose = new.filter(has_null)
-    fresh = dedupe_by_key(new.filter(~has_null), keys)
+    alone = F.when(has_null, F.monotonically_increasing_id())
+    fresh = dedupe_by_key(new.withColumn("_alone", alone), [*keys, "_alone"]).drop("_alone")
     if existing is not None:
-        fresh = fresh.join(existing.select(*keys), on=keys, how="left_anti")
+        fresh = fresh.join(existing.select(*keys), on=keys, how="left_anti")  # NULL never equals
         fresh = existing.unionByName(fresh)
-    return fresh.unionByName(loose)
+    return fresh
 
 
 def append(existing: DataFrame, new: DataFrame) -> DataFrame:
