@@ -7,44 +7,80 @@ deletes random rows. As a log, per key and in sequence order:
 * update(d): adds d when the row exists, else ignored
 * delete:    removes the row
 
-So the final row of a key depends only on the events after its last delete:
-the first insert there sets the value and the later updates add to it. That
-is computed with three aggregations and two key joins, all of which combine
-map-side; no window sorts the events of one key in one task, so a key with a
-third of all events does not become one task (AQE splits skewed join
-partitions).
+The log is cut into time buckets. Within one (key, bucket) only the events after
+the bucket's last delete count: the first insert there, the updates after it and
+the sum of all updates. That takes aggregations and joins on (key, bucket),
+so the events of a key with a third of the log are dealt over its buckets. What is
+left, one summary per key and bucket, is folded in bucket order per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+DAY = 86_400
+NUMBERS = 1 << 16  # sequence numbers of a bucket
+
+
+def time_bucket(log: DataFrame, column: str) -> Column:
+    """Bucket of a sequence column: its day, or ``NUMBERS`` numbers."""
+    kind = log.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.floor(F.col(column).cast("timestamp").cast("long") / DAY)
+    return F.floor(F.col(column) / NUMBERS)
 
 
 def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
                   op: str = "op", value: str = "v", out: str = "value",
-                  carry: tuple = ()) -> DataFrame:
+                  carry: tuple = (), bucket: Column | None = None) -> DataFrame:
     """Final (key, value, *carry) after the log; keys absent at the end are dropped.
 
     ``op`` holds 'insert', 'update' or 'delete'; ``seq`` columns give the order
     (compared as a tuple, so input order never matters). ``carry`` columns are
     set by the insert that created the row and not changed by updates (like
-    a score stored on insert).
+    a score stored on insert). ``bucket`` must not decrease with ``seq``
+    (default: by the first of its columns); it bounds how much of one key's
+    log meets in one task.
     """
+    b = time_bucket(log, seq[0]) if bucket is None else bucket
     s = F.struct(*[F.col(c) for c in seq])
-    ev = log.select(F.col(key).alias("_k"), s.alias("_s"), F.col(op).alias("_op"),
+    ev = log.select(F.col(key).alias("_k"), b.alias("_b"), s.alias("_s"), F.col(op).alias("_op"),
                     F.col(value).alias("_v"), *[F.col(c) for c in carry]) \
         .filter(F.col("_op").isin("insert", "update", "delete"))
-    last_delete = (ev.filter(F.col("_op") == "delete").groupBy("_k")
-                   .agg(F.max("_s").alias("_del")))
-    after = (ev.filter(F.col("_op") != "delete").join(last_delete, "_k", "left")
+    chunk = ["_k", "_b"]
+    last = ev.groupBy(*chunk).agg(F.max(F.when(F.col("_op") == "delete", F.col("_s"))).alias("_del"))
+    after = (ev.filter(F.col("_op") != "delete").join(last.filter("_del IS NOT NULL"), chunk, "left")
              .filter(F.col("_del").isNull() | (F.col("_s") > F.col("_del"))))
-    first_insert = (after.filter(F.col("_op") == "insert").groupBy("_k")
-                    .agg(F.min(F.struct("_s", "_v", *carry)).alias("_ins")))
-    upd = (after.filter(F.col("_op") == "update").join(first_insert, "_k")
-           .filter(F.col("_s") > F.col("_ins._s"))
-           .groupBy("_k").agg(F.sum("_v").alias("_add")))
-    res = first_insert.join(upd, "_k", "left")
-    return res.select(F.col("_k").alias(key),
-                      (F.col("_ins._v") + F.coalesce(F.col("_add"), F.lit(0))).alias(out),
-                      *[F.col("_ins")[c].alias(c) for c in carry])
+    alive = after.groupBy(*chunk).agg(
+        F.min(F.when(F.col("_op") == "insert", F.struct("_s", "_v", *carry))).alias("_ins"),
+        F.sum(F.when(F.col("_op") == "update", F.col("_v"))).alias("_all"))
+    opened = alive.filter("_ins IS NOT NULL").select(*chunk, F.col("_ins._s").alias("_at"))
+    added = (after.filter(F.col("_op") == "update").join(opened, chunk).filter(F.col("_s") > F.col("_at"))
+             .groupBy(*chunk).agg(F.sum("_v").alias("_add")))
+    chunks = last.join(alive, chunk, "left").join(added, chunk, "left").select(
+        "_k", F.struct("_b", F.col("_del").isNotNull().alias("reset"), "_ins", "_all", "_add").alias("c"))
+    return _fold(chunks, alive.schema["_all"].dataType, carry).select(
+        F.col("_k").alias(key), F.col("_row.value").alias(out), *[F.col("_row")[c].alias(c) for c in carry])
+
+
+def _fold(chunks: DataFrame, number: T.DataType, carry: tuple) -> DataFrame:
+    """Each key's bucket summaries applied in order: (_k, _row); one entry per bucket of a key."""
+    kinds = {f.name: f.dataType for f in chunks.schema["c"].dataType["_ins"].dataType}
+
+    def row(present: Column, value: Column, kept: list[Column]) -> Column:
+        return F.struct(present.alias("present"), value.cast(number).alias("value"),
+                        *[x.cast(kinds[c]).alias(c) for x, c in zip(kept, carry)])
+
+    def step(now: Column, c: Column) -> Column:
+        stays = now["present"] & ~c["reset"]
+        opens = c["_ins"].isNotNull()
+        value = F.when(stays, now["value"] + F.coalesce(c["_all"], F.lit(0))).when(
+            opens, c["_ins"]["_v"] + F.coalesce(c["_add"], F.lit(0)))
+        return row(stays | opens, value, [F.when(stays, now[x]).when(opens, c["_ins"][x]) for x in carry])
+
+    absent = row(F.lit(False), F.lit(None), [F.lit(None)] * len(carry))
+    return (chunks.groupBy("_k").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+            .select("_k", F.aggregate("cs", absent, step).alias("_row")).filter("_row.present"))

@@ -90,42 +90,51 @@ def numeric_columns(df: DataFrame, min_numbers: int = 3) -> list[str]:
 
 
 def exact_quantile(df: DataFrame, column: str, q: float = 0.5, final_rows: int = 200_000,
-                   accuracy: int = 10_000, max_rounds: int = 6, n: int | None = None):
+                   accuracy: int = 10_000, n: int | None = None):
     """Exact interpolated quantile (like quantile_cont) of a column of any size.
 
     ``percentile`` keeps every distinct value of a group in one buffer; here the
-    candidates are narrowed instead: each round brackets the target ranks with
-    ``percentile_approx`` and verifies the bracket with exact counts (two
-    distributed passes), keeping only rows inside it. Once at most
-    ``final_rows`` candidates remain they are sorted (range-partitioned) and the
-    two rows at the target ranks are read. Only scalars reach the driver.
+    rows at the two target ranks are found by narrowing (``_value_at``). Only
+    scalars reach the driver.
     """
-    v = F.col("v")
-    cand = df.select(F.col(column).cast("double").alias("v")).filter(v.isNotNull())
-    n = cand.count() if n is None else n
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = values.count() if n is None else n
     if n == 0:
         return None
     pos = q * (n - 1)
-    k_lo = int(pos)
-    k_hi = min(k_lo + 1, n - 1)
-    frac = pos - k_lo
-    below, m = 0, n
-    for _ in range(max_rounds):
-        if m <= final_rows:
-            break
-        slack = 2.0 / accuracy
-        qa = max(0.0, (k_lo - below) / m - slack)
-        qb = min(1.0, (k_hi - below) / m + slack)
-        a, b = cand.select(F.percentile_approx(v, [qa, qb], accuracy)).first()[0]
-        c0, c1 = cand.agg(F.count(F.when(v < a, 1)), F.count(F.when((v >= a) & (v <= b), 1))).first()
-        if not (below + c0 <= k_lo and k_hi <= below + c0 + c1 - 1) or c1 >= m:
-            break  # bracket missed (or no progress): finish on the current candidates
-        below, m = below + c0, c1
-        cand = cand.filter((v >= a) & (v <= b))
-    pair = cand.orderBy("v").offset(k_lo - below).limit(k_hi - k_lo + 1).collect()
-    lo_v = pair[0][0]
-    hi_v = pair[-1][0]
-    return lo_v + (hi_v - lo_v) * frac
+    rank = int(pos)
+    lo_v = _value_at(values, rank, n, final_rows, accuracy)
+    if pos == rank:
+        return lo_v
+    return lo_v + (_value_at(values, rank + 1, n, final_rows, accuracy) - lo_v) * (pos - rank)
+
+
+def _value_at(values: DataFrame, rank: int, n: int, final_rows: int, accuracy: int) -> float:
+    """The value of ``rank`` (from 0) in sorted order.
+
+    Each round asks ``percentile_approx`` for two values around the rank and
+    counts exactly what is below, at and between them. The rank falls on one
+    of the two, however often it occurs, or strictly between them, where the
+    search goes on; the last ``final_rows`` rows are sorted.
+    """
+    v, below, m, slack = F.col("v"), 0, n, 2.0 / accuracy
+    while m > final_rows:
+        share = (rank - below + 0.5) / m
+        a, b = values.select(F.percentile_approx(
+            v, [max(0.0, share - slack), min(1.0, share + slack)], accuracy)).first()[0]
+        less, at_a, between, at_b = values.agg(
+            F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if(v == b)).first()
+        r = rank - below - less
+        if 0 <= r < at_a:
+            return a
+        if at_a <= r < at_a + between:
+            below, m = below + less + at_a, between
+            values = values.filter((v > a) & (v < b))
+        elif a < b and at_a + between <= r < at_a + between + at_b:
+            return b
+        else:  # outside the two values: look further
+            slack *= 2
+    return values.orderBy("v").offset(rank - below).first()[0]
 
 
 def _anchors(df: DataFrame, columns: list[str], written: bool = False) -> list[tuple]:

@@ -25,19 +25,8 @@ def top_k(df: DataFrame, measure: str, k: int | None, keys: list[str] | tuple =
     return ordered.limit(k) if k is not None else ordered
 
 
-def repeatable_shuffle_key(key, seed: int = 0):
-    """A repeatable pseudo-random sort key for ``ORDER BY RANDOM() LIMIT n``.
-
-    One linear congruential step of the key (multiplier 1103515245, increment
-    12345 + seed, modulus 2^31): a bijection on 31-bit keys, computed with
-    64-bit integers, so the same rows are drawn on every run and by any SQL
-    engine. Only the bounded top-n of this order is kept (TakeOrderedAndProject).
-    """
-    k = F.col(key) if isinstance(key, str) else key
-    m = 2 ** 31
-    return F.pmod(F.pmod(k, F.lit(m)) * 1103515245 + (12345 + seed), F.lit(m))
-
-
 def random_pick(df: DataFrame, key: str, n: int = 1, seed: int = 0) -> DataFrame:
-    """n rows in repeatable pseudo-random order (the simulator's random row)."""
-    return df.orderBy(repeatable_shuffle_key(key, seed), F.col(key)).limit(n)
+    """n rows in the repeatable order of a digest of key and seed (``ORDER BY RANDOM()`` that
+    draws the same rows on every run); only the bounded top n is kept."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return df.orderBy(digest, F.col(key)).limit(n)

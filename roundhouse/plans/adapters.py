@@ -36,7 +36,7 @@ from ..sources.tables import TableSource
 EVENT_BASE = 2200
 EVENT_COUNT = 40
 MAP_NAMES = {0: "Default", 1: "Unknown", 2: ""}  # 3 -> NULL, other -> p_type
-MAP_POOL = ["Mirage", "Inferno", "Nuke", "Overpass", "Ancient", "Vertigo", "Anubis"]
+POOL_SIZE = 7
 
 
 def event_of(custkey: Column) -> Column:
@@ -119,15 +119,16 @@ def results_of_lines(lines: DataFrame, src: TableSource) -> DataFrame:
                     _winner_of_status(F.col("o_orderstatus")).alias("match_winner"))
 
 
-def results(src: TableSource, with_map: bool = True) -> DataFrame:
-    """results(match_id, event_id, map, result_1, result_2, map_winner, match_winner).
+def results(src: TableSource, with_map: bool = True, detail: bool = False) -> DataFrame:
+    """results(match_id, event_id, map, result_1, result_2, map_winner, match_winner), with
+    ``detail`` also the nine columns no question reads (sides, ranks, map wins).
 
     ``map`` is the only column that needs ``part``; it is joined with a LEFT
     join (every lineitem stays a result row), so ``with_map=False`` returns
     exactly the same rows without the lineitem-sized join for questions that
     never look at the map.
     """
-    li = src.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
+    li = src.lineitem.select("l_orderkey", "l_partkey", "l_quantity", *["l_suppkey"] * detail)
     o = src.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     j = li
     if with_map:
@@ -147,21 +148,38 @@ def results(src: TableSource, with_map: bool = True) -> DataFrame:
         cols.append(map_col.alias("map"))
     cols += [r1.alias("result_1"), r2.alias("result_2"), derive_winner(r1, r2).alias("map_winner"),
              _winner_of_status(F.col("o_orderstatus")).alias("match_winner")]
+    if detail:
+        supplier, part = F.col("l_suppkey"), F.col("l_partkey")
+        more = {"starting_ct": supplier % 2 + 1, "ct_1": F.floor(r1 / 2), "t_1": r1 - F.floor(r1 / 2),
+                "ct_2": F.floor(r2 / 2), "t_2": r2 - F.floor(r2 / 2), "rank_1": supplier % 100 + 1,
+                "rank_2": part % 100 + 1, "map_wins_1": supplier % 3, "map_wins_2": part % 3}
+        cols += [x.cast("int").alias(name) for name, x in more.items()]
     return j.select(*cols)
 
 
-def players_stage(src: TableSource) -> DataFrame:
-    """players_stage: one player line per lineitem, the date column still named ``date``."""
+def players_stage(src: TableSource, detail: bool = False) -> DataFrame:
+    """players_stage: one player line per lineitem, the date column still named ``date``;
+    with ``detail`` also opponent, country, adr and kast, which no question reads."""
     li = src.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     o = src.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     s = src.supplier.select("s_suppkey", "s_name", "s_nationkey")
-    n = src.nation.select("n_nationkey", "n_name")
+    n = src.nation.select("n_nationkey", "n_name", *["n_regionkey"] * detail)
     j = (li.join(s, li.l_suppkey == s.s_suppkey)
          .join(n, F.col("s_nationkey") == n.n_nationkey)
          .join(o, F.col("l_orderkey") == o.o_orderkey))
     kills = _whole("l_quantity").cast("int")
     deaths = (F.col("l_partkey") % 30).cast("int")
     rating = ((F.col("l_partkey") % 200).cast("decimal(4,0)") / 100).cast("decimal(4,2)")
+    more = []
+    if detail:  # region has 5 rows, nation 25
+        other = src.nation.select(F.col("n_nationkey").alias("_other"), F.col("n_name").alias("opponent"))
+        region = src.region.select("r_regionkey", F.col("r_name").alias("country"))
+        j = (j.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+             .join(other, (F.col("s_nationkey") + 1 + F.col("l_orderkey") % 24) % 25 == F.col("_other")))
+        tenths = {"adr": 1500, "kast": 1000}
+        more = ["opponent", "country", *[
+            ((F.col("l_partkey") % top).cast("decimal(5,0)") / 10).cast("decimal(6,2)").alias(name)
+            for name, top in tenths.items()]]
     return j.select(
         F.col("l_orderkey").alias("match_id"),
         event_of(F.col("o_custkey")).alias("event_id"),
@@ -171,12 +189,13 @@ def players_stage(src: TableSource) -> DataFrame:
         kills.alias("kills"), deaths.alias("deaths"),
         (kills - deaths).alias("kddiff"),
         rating.alias("rating"),
+        *more,
     )
 
 
-def players(src: TableSource) -> DataFrame:
+def players(src: TableSource, detail: bool = False) -> DataFrame:
     """players_raw: players_stage with ``date`` renamed to ``match_date``."""
-    return players_stage(src).withColumnRenamed("date", "match_date")
+    return players_stage(src, detail).withColumnRenamed("date", "match_date")
 
 
 def event_table(src: TableSource) -> DataFrame:
@@ -189,16 +208,16 @@ def event_table(src: TableSource) -> DataFrame:
 
 
 def picks_stage(src: TableSource) -> DataFrame:
-    """picks: veto columns cycle through the seven-map pool by o_orderkey."""
+    """picks: veto columns cycle through 'pool map 1' .. 'pool map 7' by o_orderkey."""
     o = src.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     cols = ["t1_removed_1", "t1_removed_2", "t1_removed_3", "t2_removed_1", "t2_removed_2",
             "t2_removed_3", "t1_picked_1", "t2_picked_1", "left_over"]
-    pool = F.array(*[F.lit(x) for x in MAP_POOL])
     out = [F.col("o_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id"),
            (F.col("o_orderkey") % 2).cast("int").alias("inverted_teams"),
            F.col("o_orderpriority").alias("system")]
     for i, c in enumerate(cols):
-        out.append(F.element_at(pool, ((F.col("o_orderkey") + i) % 7 + 1).cast("int")).alias(c))
+        number = (F.col("o_orderkey") + i) % POOL_SIZE + 1
+        out.append(F.concat(F.lit("pool map "), number.cast("string")).alias(c))
     return o.select(*out)
 
 
@@ -254,23 +273,10 @@ def source_readings(src: TableSource) -> DataFrame:
     return first.select("poll", "priority", "_r.usd", "_r.eur")
 
 
-# fixed values: the simulator's player names
-SIM_PLAYERS = ["s1mple", "ZywOo", "NiKo", "device", "m0NESY"]
-
-
-def player_stats_log(src: TableSource) -> DataFrame:
-    """The simulator's statements as a log over ``events``: a signup inserts a
-    player (kills 5..30, deaths 0..15, score stored on insert), a view adds
-    1..5 kills, an error deletes the row."""
-    log = change_log_rows(src.events.withColumn("_k", _k()), extra=("_k",))
-    k = F.col("_k")
-    names = F.array(*[F.lit(n) for n in SIM_PLAYERS])
+def account_log(src: TableSource) -> DataFrame:
+    """The change log with what its insert stores besides the counter: the
+    event's time and value (``opened_at``, ``opened_value``)."""
+    log = change_log_rows(src.events, extra=("value",))
     ins = F.col("op") == "insert"
-    kills = F.when(ins, 5 + k % 26).when(F.col("op") == "update", 1 + k % 5)
-    deaths = F.when(ins, k % 16)
-    return log.select(
-        "id", "ts", "seq", "op", kills.cast("int").alias("v"),
-        F.when(ins, F.element_at(names, (F.col("id") % 5 + 1).cast("int"))).alias("player_name"),
-        deaths.cast("int").alias("deaths"),
-        F.when(ins, (5 + k % 26) * 10 - (k % 16) * 5).cast("int").alias("score"),
-    )
+    return log.select("id", "ts", "seq", "op", "v", F.when(ins, F.col("ts")).alias("opened_at"),
+                      F.when(ins, F.col("value")).alias("opened_value"))

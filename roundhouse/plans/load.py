@@ -78,7 +78,7 @@ def _write_by_event(df: DataFrame, order: list[str] | None, path: str) -> None:
 
 def staging_frames(src: TableSource) -> dict[str, DataFrame]:
     """The staging tables (as the CSV loads would fill them) in final-table shape."""
-    results = A.results(src)
+    results = A.results(src, detail=True)
     return {
         "events": results.select("event_id").distinct()
                          .withColumn("event_name", F.lit(None).cast("string")),
@@ -87,7 +87,7 @@ def staging_frames(src: TableSource) -> dict[str, DataFrame]:
             clean_best_of("best_of").alias("best_of")),
         "results": results,
         "picks": A.picks_stage(src),
-        "players_raw": A.players(src),
+        "players_raw": A.players(src, detail=True),
     }
 
 

@@ -18,3 +18,4 @@ TEAM_LABELS = [f"NATION_{i}" for i in range(25)]  # the 25 nation names of the t
 SEED = 42             # repeatable random pick
 MAX_BINS = 20          # "at most N bins" histogram (the browser-binned chart)
 SCRAPE_SECONDS = 15    # scrape interval of the metrics store
+SERIES_LENGTHS = [1, 3]   # best-of values of the parameterised SQL statement

@@ -10,18 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.sinks import write_csv
 
 
-def register_views(spark: SparkSession, tables) -> list[str]:
-    """Temp views named like the reference's tables over lazy adapter plans."""
-    views = {"matches": tables.m, "results": tables.r, "players_raw": tables.p,
-             "players_stage": tables.ps, "economy": tables.e, "events_dim": tables.ev}
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return list(views)
-
-
-def run_sql(spark: SparkSession, text: str, **params) -> DataFrame:
-    """spark.sql with named parameter markers (``:event_id``); values are bound, not pasted."""
-    return spark.sql(text, args=params or None)
+def run_sql(spark: SparkSession, text: str, frames: dict[str, DataFrame] | None = None, **params) -> DataFrame:
+    """``spark.sql`` with named parameter markers (``:event_id``), whose values are bound, not
+    pasted, and ``{name}`` for each of ``frames``, so no view of the session is replaced."""
+    return spark.sql(text, args=params or None, **(frames or {}))
 
 
 def save_results(spark: SparkSession, sf_dir: str, names: list[str], out_dir: str) -> dict[str, str]:

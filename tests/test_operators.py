@@ -236,3 +236,19 @@ def test_event_names_one_row_per_id(spark):
     ev = spark.createDataFrame([(1, "B"), (1, "A"), (2, None)], "event_id int, event_name string")
     ids = spark.createDataFrame([(1,), (2,), (3,)], "event_id int")
     assert sorted(rows(Q.event_names(ids, ev))) == [(1, "A"), (2, "Event 2"), (3, "Event 3")]
+
+
+def test_quantile_of_mostly_equal_values(spark, monkeypatch):
+    """80 % one value: found without sorting, or reading past, its rows."""
+    offsets = []
+    plain = type(spark.range(1)).offset
+    monkeypatch.setattr(type(spark.range(1)), "offset", lambda df, n: (offsets.append(n), plain(df, n))[1])
+    n = 20_000
+    df = spark.range(n).select(F.when(F.col("id") % 5 > 0, 7.0).otherwise(F.col("id") * 1.0).alias("x"))
+    values = sorted(7.0 if i % 5 else float(i) for i in range(n))
+    for q in (0.0, 0.1, 0.5, 0.8, 0.85, 1.0):
+        pos = q * (n - 1)
+        k = int(pos)
+        want = values[k] + (values[min(k + 1, n - 1)] - values[k]) * (pos - k)
+        assert R.exact_quantile(df, "x", q, final_rows=100, accuracy=200) == want
+    assert all(o <= 100 for o in offsets)

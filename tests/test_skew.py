@@ -68,8 +68,16 @@ def test_hot_key_change_log_without_windows(spark):
         F.when(F.col("id") % 11 == 0, F.lit("delete")).when(F.col("id") % 4 == 0, F.lit("insert"))
          .otherwise(F.lit("update")).alias("op"),
         (F.col("id") % 9).cast("int").alias("v"))
-    out = C.apply_changes(log, key="id", seq=("seq",))
-    assert "Window" not in plan_text(out)
+    out = C.apply_changes(log, key="id", seq=("seq",), bucket=F.floor(F.col("seq") / 100))
+    plan = plan_text(out)
+    assert "Window" not in plan
+    # rows of the log meet by key and bucket; by key alone only bucket summaries do
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    alone = [d for d in dealt if "_b#" not in d]
+    assert len(dealt) > 1 and len(alone) == 1, plan
+    control = log.join(log.filter("op = 'delete'").groupBy("id").agg(F.max("seq").alias("last")), "id")
+    assert any("_b#" not in d for d in re.findall(r"hashpartitioning\((.*?), \d+\)", plan_text(control))) \
+        or "Broadcast" in plan_text(control)
     state = {}
     for k, s, op, v in sorted(rows(log), key=lambda x: x[1]):
         if op == "insert" and k not in state:
@@ -79,6 +87,8 @@ def test_hot_key_change_log_without_windows(spark):
         elif op == "delete":
             state.pop(k, None)
     assert sorted(rows(out)) == sorted(state.items())
+    whole = C.apply_changes(log, key="id", seq=("seq",))  # one bucket
+    assert sorted(rows(whole)) == sorted(state.items())
 
 
 def test_forward_fill_windows_are_chunked(spark):
