@@ -131,9 +131,8 @@ def bench_final_tables(spark, sf_dir: str) -> dict[str, float]:
     pre-joined with their match), then the questions on them."""
     import uuid
 
-    from roundhouse.plans import params as P
-    from roundhouse.plans import queries as Q
     from roundhouse.plans.load import FinalTables, load_final_tables
+    from roundhouse.plans.named import named_questions
     from roundhouse.session import scratch_path
 
     folder = scratch_path(spark, "bench-final", uuid.uuid4().hex)
@@ -141,23 +140,7 @@ def bench_final_tables(spark, sf_dir: str) -> dict[str, float]:
     load_final_tables(spark, sf_dir, folder, 0)
     res = {"etl_load": round(time.perf_counter() - t0, 3)}
     f = FinalTables(spark, folder)
-    runs = {
-        "most_matches_in_year": lambda: Q.most_matches_in_year(f.m, P.YEAR_MATCHES),
-        "popular_map_in_event": lambda: Q.popular_map(f.r, P.EVENT_A, exclude=Q.PLACEHOLDER_MAPS),
-        "best_player_by_rating": lambda: Q.best_player_by_rating(f.p, P.EVENT_B),
-        "winrate_on_map": lambda: Q.winrate_on_map(f.rw, None, P.EVENT_A),
-        "avg_winrate": lambda: Q.avg_winrate(f.rw, None, P.EVENT_A),
-        "matches_per_event": lambda: Q.matches_per_event(f.m, k=10),
-        "best_team_of_year": lambda: Q.best_team_of_year(f.rw, None, P.YEAR_BEST),
-        "overtime_teams": lambda: Q.overtime_teams(f.rw, None),
-        "kd_ratio": lambda: Q.kd_ratio(f.p),
-        "map_distribution": lambda: Q.map_distribution(f.rw, None, P.EVENT_A),
-        "match_wins": lambda: Q.match_wins(f.rw, None, P.EVENT_B),
-        "players_min_maps": lambda: Q.players_min_maps(f.p, f.rw, None, P.EVENT_B, P.MIN_MAPS),
-        "team_rounds_by_day": lambda: Q.team_rounds_by_day(f.rw, None, P.TEAM, P.YEAR_BEST),
-        "rating_vs_rounds": lambda: Q.rating_vs_rounds(f.rw, None, f.p, P.EVENT_A),
-        "rounds_per_team_day": lambda: Q.rounds_per_team_day(f.rw, None, P.EVENT_A),
-    }
+    runs = named_questions(f)
     for name, build in runs.items():
         t0 = time.perf_counter()
         build().write.format("noop").mode("overwrite").save()

@@ -294,15 +294,15 @@ def _(t: Tables):
     return R.colour_position(_rating_sheet(t), "avg_rating", digits=6)
 
 
-def report_sheets(t: Tables, event_a: int = P.EVENT_A, event_b: int = P.EVENT_B) -> dict:
+def report_sheets(t, event_a: int = P.EVENT_A, event_b: int = P.EVENT_B, min_maps: int = P.MIN_MAPS) -> dict:
     """The workbook's three sheets, named after the slugged event names."""
-    ids = t.spark.createDataFrame([(event_a,), (event_b,)], "event_id int")
-    named = ids.join(t.ev, "event_id", "left").select("event_id", slug(event_name()).alias("s"))
+    ids = t.spark.createDataFrame([(event_a,), (event_b,)], "event_id int").distinct()
+    named = Q.event_names(ids, t.ev).select("event_id", slug("event_name").alias("s"))
     slugs = {r["event_id"]: r["s"] for r in named.collect()}  # two names
     return {
         f"maps_{slugs[event_a]}": Q.map_distribution(t.r, t.m, event_a),
-        f"team_wins_{slugs[event_b]}": Q.match_wins(t.r, t.m, event_b),
-        f"players_rating_{slugs[event_b]}": Q.players_min_maps(t.p, t.r, t.m, event_b, P.MIN_MAPS),
+        f"team_wins_{slugs[event_b]}": Q.match_wins(t.rc, t.m, event_b),
+        f"players_rating_{slugs[event_b]}": Q.players_min_maps(t.p, t.rc, t.m, event_b, min_maps),
     }
 
 
@@ -484,21 +484,38 @@ def _(t: Tables):
 
 @register("load_then_query")
 def _(t: Tables):
-    """ETL into written final tables, then a counting question on them.
+    """ETL of all tables into final tables, then a counting question on them.
 
-    matches (keyed) is loaded twice: the second load must add nothing.
-    results has no known key, so a second load would append it again (as in
-    the reference); it is loaded once.
+    The keyed tables are loaded twice: the second load must add nothing.
     """
+    f = _loaded(t)
+    from .load import load_final_tables
+    load_final_tables(t.spark, t.src.root, f.folder, 1, tables=["events", "matches", "picks"])
+    return Q.overtime_teams(f.rw, None, k=None)  # the pre-joined results_wide table
+
+
+def _loaded(t: Tables, tables: list[str] | None = None):
+    """Final tables of one load, below the shared folder."""
     import uuid
 
     from ..session import scratch_path
     from .load import FinalTables, load_final_tables
     folder = scratch_path(t.spark, "final", uuid.uuid4().hex)
-    load_final_tables(t.spark, t.src.root, folder, 0, tables=["matches", "results"])
-    load_final_tables(t.spark, t.src.root, folder, 1, tables=["matches"])
-    f = FinalTables(t.spark, folder)
-    return Q.overtime_teams(f.rw, None, k=None)  # the pre-joined results_wide table
+    load_final_tables(t.spark, t.src.root, folder, 0, tables=tables)
+    return FinalTables(t.spark, folder)
+
+
+@register("pistol_rounds_final")
+def _(t: Tables):
+    """Pistol rounds of every event and team from the loaded economy table."""
+    return Q.pistol_rounds(_loaded(t, ["economy"]).e, k=None)
+
+
+@register("team_pool_final")
+def _(t: Tables):
+    """The team pool from the loaded matches and players."""
+    f = _loaded(t, ["matches", "players_raw"])
+    return Q.team_pool(f.m, f.ps, f.p, P.FORCED_TEAM)
 
 
 # --- SQL text with bound parameters (S4) --------------------------------------------

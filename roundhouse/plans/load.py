@@ -19,13 +19,15 @@ from ..operators.etl import insert_ignore
 from ..sources.tables import TableSource
 from . import adapters as A
 
-# the reference's load order and keys; None = no known constraint (append)
+# the reference's load order and keys; None = no known constraint (append).
+# economy keeps its staged rows: the pistol-round question counts them
 FINAL_TABLES = [
     ("events", ["event_id"]),
     ("matches", ["match_id"]),
     ("results", None),
     ("picks", ["match_id"]),
     ("players_raw", None),
+    ("economy", None),
 ]
 # derived at load time: results joined once with their match (teams, date)
 WIDE = "results_wide"
@@ -36,8 +38,10 @@ def read_final(spark: SparkSession, folder: str, table: str) -> DataFrame | None
     from pyspark.errors import AnalysisException
     try:
         return spark.read.option("basePath", f"{folder}/{table}").parquet(f"{folder}/{table}/version=*")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 # rows sorted by date inside each event partition: Parquet row-group min/max
@@ -88,6 +92,7 @@ def staging_frames(src: TableSource) -> dict[str, DataFrame]:
         "results": results,
         "picks": A.picks_stage(src),
         "players_raw": A.players(src, detail=True),
+        "economy": A.economy(src),
     }
 
 
@@ -116,21 +121,25 @@ def staging_from_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "results": results,
         "picks": read["picks"],
         "players_raw": read["players"].withColumnRenamed("date", "match_date"),
+        "economy": read["economy"],
     }
 
 
 def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, version: int = 0,
                       tables: list[str] | None = None,
-                      staged: dict[str, DataFrame] | None = None) -> None:
+                      staged: dict[str, DataFrame] | None = None,
+                      declared_keys: dict[str, list[str]] | None = None) -> None:
     """Run the ETL steps in the reference's order into ``folder``.
 
     The staging frames come from the test tables of ``sf_dir`` unless given
-    (e.g. ``staging_from_csv``).
+    (e.g. ``staging_from_csv``). ``declared_keys`` gives a key to a table that has
+    none by default (results, players_raw, economy), so that input loaded again
+    adds nothing.
     """
     staged = staged or staging_frames(TableSource(spark, sf_dir))
     for name, keys in FINAL_TABLES:
         if tables is None or name in tables:
-            load_increment(staged[name], folder, name, keys, version)
+            load_increment(staged[name], folder, name, (declared_keys or {}).get(name, keys), version)
     if tables is None or "results" in tables:
         load_wide_results(spark, folder, version)
 
@@ -165,6 +174,10 @@ class FinalTables:
 
     m = property(lambda self: self._t("matches"))
     r = property(lambda self: self._t("results"))
+    rc = r
     rw = property(lambda self: self._t(WIDE))
     p = property(lambda self: self._t("players_raw"))
     ev = property(lambda self: self._t("events"))
+    ps = property(lambda self: self.p.withColumnRenamed("match_date", "date"))
+    e = property(lambda self: self._t("economy"))
+    picks = property(lambda self: self._t("picks"))

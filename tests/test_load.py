@@ -61,6 +61,9 @@ def test_csv_sources_to_final_tables_to_question(spark, tmp_path):
     assert f.p.first()["player_name"] == "José"
     assert sorted(map(tuple, Q.overtime_teams(f.r, f.m, k=None).collect())) == [("Envy", 1), ("Fnatic", 1)]
     assert [r["best_of"] for r in f.m.orderBy("match_id").collect()] == [3, None]
+    assert sorted(map(tuple, Q.pistol_rounds(f.e, k=None).collect())) == [
+        (2208, "Astralis", 1), (2208, "Envy", 1), (2208, "Fnatic", 2)]  # staged rows count as often as they come
+    assert len(f.r.columns) == 16 and len(f.p.columns) == 13
 
 
 def test_wide_results_answer_like_the_join(spark, tmp_path):
@@ -100,3 +103,21 @@ def test_late_match_completes_its_results(spark, tmp_path):
     load_wide_results(spark, folder, 1)
     wide = read_final(spark, folder, WIDE)
     assert sorted((r["match_id"], r["map"]) for r in wide.collect()) == [(1, "m"), (1, "n"), (2, "m")]
+
+
+def test_declared_key_makes_a_reload_add_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    staged = {"results": spark.createDataFrame(
+        [(1, 7, "m", 1, 2), (1, 7, "n", 3, 4)], "match_id long, event_id int, map string, result_1 int, result_2 int")}
+    for version in (0, 1):
+        load_final_tables(spark, None, folder, version, tables=["results"], staged=staged,
+                          declared_keys={"results": ["match_id", "map"]})
+    assert read_final(spark, folder, "results").count() == 2
+
+
+def test_unreadable_table_is_no_empty_table(spark, tmp_path):
+    import pytest
+    (tmp_path / "matches" / "version=0").mkdir(parents=True)
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA|infer"):
+        read_final(spark, str(tmp_path), "matches")
+    assert read_final(spark, str(tmp_path), "results") is None

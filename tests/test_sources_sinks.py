@@ -87,3 +87,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert out["rows"]["__total__"] == sum(v for k, v in out["rows"].items() if k != "__total__")
     assert main(["load", "--data", SF_SMALL, "--out", str(tmp_path / "f")]) == 0
     assert spark.read.parquet(str(tmp_path / "f" / "matches" / "version=0")).count() > 0
+    capsys.readouterr()
+    assert main(["questions", "--final", str(tmp_path / "f"), "--out", str(tmp_path / "n"), "--event", "2210",
+                 "--names", "pistol_rounds,team_pool,winrate_on_map"]) == 0
+    capsys.readouterr()
+    one = spark.read.option("header", True).csv(str(tmp_path / "n" / "pistol_rounds")).collect()
+    assert [r["event_id"] for r in one] == ["2210"]
+    assert main(["report", "--final", str(tmp_path / "f"), "--out", str(tmp_path / "s")]) == 0
+    stored = json.loads(capsys.readouterr().out)["rows"]
+    assert sorted(stored.values()) == sorted(out["rows"].values())  # names differ: the ETL knows no event names
