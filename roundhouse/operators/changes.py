@@ -29,8 +29,10 @@ def time_bucket(log: DataFrame, column: str) -> Column:
     """Bucket of a sequence column: its day, or ``NUMBERS`` numbers."""
     kind = log.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.floor(F.col(column).cast("timestamp").cast("long") / DAY)
-    return F.floor(F.col(column) / NUMBERS)
+        number = F.floor(F.col(column).cast("timestamp").cast("long") / DAY)
+    else:
+        number = F.floor(F.col(column) / NUMBERS).cast("long")
+    return F.coalesce(number, F.lit(-(1 << 63)).cast("long"))  # no time: before all others
 
 
 def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
@@ -46,8 +48,17 @@ def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
     log meets in one task.
     """
     b = time_bucket(log, seq[0]) if bucket is None else bucket
+    return fold(summarise(log, key, seq, op, value, carry, b), key, out, carry)
+
+
+def summarise(log: DataFrame, key: str, seq: tuple, op: str, value: str, carry: tuple, bucket: Column) -> DataFrame:
+    """What each (key, bucket) of the log does: (_k, _b, reset, _ins, _all, _add).
+
+    ``reset``: it deletes; ``_ins``: the first insert after its last delete; ``_all`` and
+    ``_add``: sums of the updates after that delete and after that insert.
+    """
     s = F.struct(*[F.col(c) for c in seq])
-    ev = log.select(F.col(key).alias("_k"), b.alias("_b"), s.alias("_s"), F.col(op).alias("_op"),
+    ev = log.select(F.col(key).alias("_k"), bucket.alias("_b"), s.alias("_s"), F.col(op).alias("_op"),
                     F.col(value).alias("_v"), *[F.col(c) for c in carry]) \
         .filter(F.col("_op").isin("insert", "update", "delete"))
     chunk = ["_k", "_b"]
@@ -60,15 +71,14 @@ def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
     opened = alive.filter("_ins IS NOT NULL").select(*chunk, F.col("_ins._s").alias("_at"))
     added = (after.filter(F.col("_op") == "update").join(opened, chunk).filter(F.col("_s") > F.col("_at"))
              .groupBy(*chunk).agg(F.sum("_v").alias("_add")))
-    chunks = last.join(alive, chunk, "left").join(added, chunk, "left").select(
-        "_k", F.struct("_b", F.col("_del").isNotNull().alias("reset"), "_ins", "_all", "_add").alias("c"))
-    return _fold(chunks, alive.schema["_all"].dataType, carry).select(
-        F.col("_k").alias(key), F.col("_row.value").alias(out), *[F.col("_row")[c].alias(c) for c in carry])
+    return last.join(alive, chunk, "left").join(added, chunk, "left").select(
+        *chunk, F.col("_del").isNotNull().alias("reset"), "_ins", "_all", "_add")
 
 
-def _fold(chunks: DataFrame, number: T.DataType, carry: tuple) -> DataFrame:
-    """Each key's bucket summaries applied in order: (_k, _row); one entry per bucket of a key."""
-    kinds = {f.name: f.dataType for f in chunks.schema["c"].dataType["_ins"].dataType}
+def fold(chunks: DataFrame, key: str, out: str, carry: tuple = ()) -> DataFrame:
+    """Each key's bucket summaries applied in order; one entry per bucket of a key."""
+    number = chunks.schema["_all"].dataType
+    kinds = {f.name: f.dataType for f in chunks.schema["_ins"].dataType}
 
     def row(present: Column, value: Column, kept: list[Column]) -> Column:
         return F.struct(present.alias("present"), value.cast(number).alias("value"),
@@ -82,5 +92,8 @@ def _fold(chunks: DataFrame, number: T.DataType, carry: tuple) -> DataFrame:
         return row(stays | opens, value, [F.when(stays, now[x]).when(opens, c["_ins"][x]) for x in carry])
 
     absent = row(F.lit(False), F.lit(None), [F.lit(None)] * len(carry))
-    return (chunks.groupBy("_k").agg(F.sort_array(F.collect_list("c")).alias("cs"))
-            .select("_k", F.aggregate("cs", absent, step).alias("_row")).filter("_row.present"))
+    c = F.struct("_b", "reset", "_ins", "_all", "_add")
+    return (chunks.groupBy("_k").agg(F.sort_array(F.collect_list(c)).alias("cs"))
+            .select(F.col("_k").alias(key), F.aggregate("cs", absent, step).alias("_row"))
+            .filter("_row.present")
+            .select(key, F.col("_row.value").alias(out), *[F.col("_row")[x].alias(x) for x in carry]))

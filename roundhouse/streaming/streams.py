@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changes import apply_changes
+from ..operators.changes import fold, summarise, time_bucket
 from ..session import scratch_path
 
 
@@ -83,18 +83,47 @@ def _batch_writer(target: str, rows_per_file: int = ROWS_PER_FILE, sized: bool =
     return write
 
 
+def _versions(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.option("basePath", target).parquet(f"{target}/batch_id=*")
+
+
 def latest_versions(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """The newest written row of each key (versions are ordered by batch id)."""
-    df = spark.read.option("basePath", target).parquet(f"{target}/batch_id=*")
+    df = _versions(spark, target)
     cols = [c for c in df.columns if c not in keys and c != "batch_id"]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
 
 
+def compact(spark: SparkSession, target: str, keys: list[str]) -> None:
+    """Fold all batch folders of a versioned table into the newest one.
+
+    Run it while no stream writes the table and nobody reads it: the newest
+    rows are written beside the table first, then take the place of the newest
+    batch before the older folders go. A run that breaks off leaves every
+    newest row readable.
+    """
+    newest = _versions(spark, target).agg(F.max("batch_id")).first()[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    merged = f"{target}/_merged"
+    latest_versions(spark, target, keys).write.mode("overwrite").parquet(merged)
+    old = [f.getPath() for f in fs.globStatus(path(f"{target}/batch_id=*"))]
+    # a name above the newest batch's until that one is gone
+    fs.rename(path(merged), path(f"{target}/batch_id={newest}.5"))
+    for p in old:
+        fs.delete(p, True)
+    fs.rename(path(f"{target}/batch_id={newest}.5"), path(f"{target}/batch_id={newest}"))
+
+
 def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
-                         target: str, checkpoint: str, trigger_every: str | None = None):
+                         target: str, checkpoint: str, trigger_every: str | None = None,
+                         stored: DataFrame | None = None):
     """Continuous INSERT ... ON CONFLICT (keys) DO NOTHING into the Parquet table ``target``.
 
+    Keys that ``stored`` (e.g. a table that the ETL loaded) holds when the stream
+    starts are not inserted again (a stream-static anti join).
+
     The state store remembers, per key, the smallest (batch time, row): the
     batch time is the micro-batch timestamp (recorded in the offset log, so a
     replay sees the same value), hence the first batch that brought a key wins
@@ -107,6 +136,8 @@ def stream_insert_ignore(stream: DataFrame, keys: list[str], columns: list[str],
     written as they come: one file per state partition that has updates.
     """
     rest = [c for c in columns if c not in keys]
+    if stored is not None:
+        stream = stream.join(stored.select(*keys), keys, "left_anti")
     arrived = stream.select(*columns).withColumn("_arrival", F.current_timestamp())
     agg = arrived.groupBy(*keys).agg(F.min(F.struct("_arrival", *rest)).alias("_r"))
     out = agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
@@ -157,31 +188,35 @@ def stream_standings(results_stream: DataFrame, matches: DataFrame, target: str,
 
 def stream_apply_changes(stream: DataFrame, key: str, seq: tuple, op: str, value: str,
                          log_target: str, state_target: str, checkpoint: str, out: str = "value",
-                         buckets: int = 64, trigger_every: str | None = None):
+                         trigger_every: str | None = None):
     """Keep the change-log state current.
 
-    Each batch appends its events to the log table, sorted by a hash bucket
-    of the key so that Parquet row groups cluster by bucket, then recomputes
-    the rows of the keys it touched from their whole log (late events need no
-    special case): the ``_bucket IN (...)`` filter is pushed to the reader and
-    skips the row groups of untouched buckets. (key, value, present) is
+    Each batch appends its events to the log table, sorted by time bucket so
+    that Parquet row groups cluster by it, and summarises anew the (key, bucket)
+    pairs it touched from their part of the log (late events need no special
+    case): the ``_b IN (...)`` filter is pushed to the reader and skips the row
+    groups of other buckets, so a batch in time order reads recent events only.
+    The summaries of the touched keys are folded, and (key, value, present) is
     written as a new version of those keys.
     """
     spark = stream.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    summaries = f"{log_target}_summaries"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("_bucket", bucket).persist()
+        batch = batch.withColumn("_b", time_bucket(batch, seq[0])).persist()
         files = max(1, -(-batch.count() // ROWS_PER_FILE))
-        (batch.repartition(files).sortWithinPartitions("_bucket").write.mode("overwrite")
+        (batch.repartition(files).sortWithinPartitions("_b").write.mode("overwrite")
          .parquet(f"{log_target}/batch_id={batch_id}"))
-        touched = batch.select(key, "_bucket").distinct()
-        hit = [r[0] for r in touched.select("_bucket").distinct().collect()]  # at most `buckets` ints
+        touched = batch.select(key, "_b").distinct()
+        hit = [r[0] for r in touched.select("_b").distinct().collect()]  # the batch's days
         log = (spark.read.option("basePath", log_target).parquet(f"{log_target}/batch_id=*")
-               .filter((F.col("batch_id") <= batch_id) & F.col("_bucket").isin(hit)))
-        state = apply_changes(log.join(touched, [key, "_bucket"], "left_semi"), key=key, seq=seq,
-                              op=op, value=value, out=out)
-        versions = (touched.select(key).join(state, key, "left")
+               .filter((F.col("batch_id") <= batch_id) & F.col("_b").isin(hit)))
+        _batch_writer(summaries)(
+            summarise(log.join(touched, [key, "_b"], "left_semi"), key, seq, op, value, (), F.col("_b")), batch_id)
+        keys = touched.select(key).distinct()
+        known = latest_versions(spark, summaries, ["_k", "_b"]).join(
+            keys.withColumnRenamed(key, "_k"), "_k", "left_semi")
+        versions = (keys.join(fold(known, key, out), key, "left")
                     .withColumn("present", F.col(out).isNotNull()))
         _batch_writer(state_target)(versions, batch_id)
         batch.unpersist()

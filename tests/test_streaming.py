@@ -124,3 +124,43 @@ def test_event_stream_reads_a_folder_of_part_files(spark, tmp_path):
     run_available(event_stream(spark, str(tmp_path)).writeStream.foreachBatch(
         lambda df, i: seen.append(df.count())).option("checkpointLocation", f"{tmp_path}/c"), "folder_stream")
     assert sum(seen) == 100
+
+
+def test_stored_keys_are_not_inserted_again(spark, split_events):
+    folder, _ = split_events
+    events = spark.read.parquet(f"{folder}/events_*.parquet")
+    stored = events.filter("user_id % 3 = 0")
+    target, ckpt = ST.fresh_paths(spark, "t_stored")
+    keys = ["user_id", "event_type"]
+    ST.stream_insert_ignore(ST.event_stream(spark, folder, files_per_batch=1), keys, keys + ["ts"],
+                            target, ckpt, stored=stored)
+    got = ST.latest_versions(spark, target, keys)
+    want = events.select(*keys).distinct().join(stored.select(*keys).distinct(), keys, "left_anti")
+    assert sorted(rows(got.select(*keys))) == sorted(rows(want))
+
+
+def test_change_log_batches_read_their_days(spark, tmp_path):
+    """Twenty days as twenty batches: every batch summarises its own day, whatever came before."""
+    import datetime as dt
+    source = tmp_path / "log"
+    source.mkdir()
+    import pyarrow as pa
+    for day in range(20):
+        at = [dt.datetime(2024, 1, 1 + day, h) for h in range(6)]
+        pq.write_table(pa.table({
+            "id": [0, 0, 0, day, day, 0], "ts": pa.array(at, pa.timestamp("us")), "seq": list(range(6)),
+            "op": ["insert", "update", "delete" if day % 5 == 0 else "update", "insert", "update", "insert"],
+            "v": [day, 1, 2, 3, 4, 5]}), str(source / f"log_{day:02}.parquet"))
+    log_t, ckpt = ST.fresh_paths(spark, "t_days")
+    state_t, _ = ST.fresh_paths(spark, "t_days_state")
+    schema = spark.read.parquet(str(source)).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", log_t, state_t, ckpt, out="n")
+    done = spark.read.option("basePath", f"{log_t}_summaries").parquet(f"{log_t}_summaries/batch_id=*")
+    assert {r["count"] for r in done.groupBy("batch_id").count().collect()} <= {1, 2}
+    want = C.apply_changes(spark.read.parquet(str(source)), key="id", seq=("ts", "seq"), out="n")
+    state = lambda: ST.latest_versions(spark, state_t, ["id"]).filter("present").select("id", "n")
+    assert sorted(rows(state())) == sorted(rows(want))
+    ST.compact(spark, state_t, ["id"])
+    assert sorted(rows(state())) == sorted(rows(want))
+    assert len([d for d in os.listdir(state_t.removeprefix("file:")) if d.startswith("batch_id=")]) == 1
