@@ -17,7 +17,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 EAGER = {"stream_insert_ignore", "stream_window_counts", "stream_apply_changes", "stream_standings",
-         "load_then_query", "assign_match_ids", "column_anchors", "colour_position"}
+         "load_then_query", "pistol_rounds_final", "team_pool_final", "assign_match_ids", "column_anchors", "colour_position"}
 
 
 def summarise(plan: str) -> dict:
