@@ -21,16 +21,19 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int = 15, digits: in
 
     Every bin appears, empty ones with 0. A single distinct value puts all rows
     in bin 1 instead of dividing by zero. ``digits`` rounds the edges. Output: bin,
-    bin_lo, bin_hi, n.
+    bin_lo, bin_hi, n. Bounds and bins both read the counts per distinct value; as
+    both plans are alike below, Spark reuses the shuffles of the input.
     """
-    x = F.col(column)
-    bounds = df.select(F.struct(F.min(x).cast("double").alias("lo"),
-                                F.max(x).cast("double").alias("hi")).alias("b")).scalar()
+    x = F.col("x")
+    values = (df.select(F.col(column).alias("x")).filter(x.isNotNull())
+              .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
+    bounds = values.select(F.struct(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"),
+                                    F.sum("c").alias("rows")).alias("b")).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = hi - lo
     raw = F.floor((x.cast("double") - lo) * bins / width) + 1
     b = F.when(width == 0, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
-    counts = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy(b.alias("bin")).agg(F.sum("c").alias("n"))
     spark = df.sparkSession
     every = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     out = every.join(counts, "bin", "left")
