@@ -343,6 +343,41 @@ def test_pseudo_likelihood(spark, empty):
     assert pseudo.score(empty).count() == 0
 
 
+def test_pseudo_scores_every_word_by_its_own_count(spark):
+    from roundhouse.llm import text as T
+    hashed = collections.defaultdict(list)
+    for k in range(200):
+        w = "r%d" % k
+        h, _, _, _ = T.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))
+        hashed[int(h[0]) % pseudo.OTHER].append(w)
+    often, some, once, other = max(hashed.values(), key=len)[:4]  # words of one hashed class
+    rows = [(i, "a b " * 10 + often + " a b") for i in range(40)] + [(100 + i, "a b " * 10 + some + " a b") for i in range(5)]
+    rows += [(200, "a b " * 10 + once + " a b"), (201, "a b " * 10 + once + " a b " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for lookup in (pseudo.LOOKUP, 1, 0):  # held by the tasks, or joined
+        got = {r["doc_id"]: r["log_likelihood"] for r in pseudo.score(df, words=2, least=1000, lookup=lookup).collect()}
+        assert abs(got[0] - got[200] - np.log(40 / 2)) < 1e-3
+        assert abs(got[100] - got[200] - np.log(5 / 2)) < 1e-3
+    counts = pseudo.word_counts(df)
+    vocab = pseudo.vocabulary(counts, 2, 1000)
+    held = pseudo.held_counts(counts, vocab)
+    words = np.array([r["w"] for r in counts.collect()], dtype=np.int64).view(np.uint64)
+    classes = vocab.class_of[vocab.ids_of(words)]
+    within, rare = held.within(words, classes, vocab.own)
+    assert not rare.any()
+    assert np.allclose(np.bincount(classes, weights=np.exp(within))[np.unique(classes)], 1)
+
+
+def test_pseudo_vocabulary_grows_with_the_corpus(spark):
+    def size(texts, words):
+        rows = [(i, " ".join("w%d" % k for k in range(words))) for i in range(texts)]
+        vocab = pseudo.vocabulary(pseudo.word_counts(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert vocab.own == pseudo.WORDS
+        return len(vocab.words)
+    assert size(pseudo.MIN_COUNT, 300) == 300 and size(pseudo.MIN_COUNT, 3000) == 3000
+    assert size(pseudo.MIN_COUNT - 1, 300) == pseudo.WORDS
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     import corpus_pipeline as P
     from roundhouse.llm.common import Written
