@@ -378,6 +378,12 @@ def test_pseudo_vocabulary_grows_with_the_corpus(spark):
     assert size(pseudo.MIN_COUNT - 1, 300) == pseudo.WORDS
 
 
+def test_pseudo_trains_on_every_position(spark):
+    rows = [(i, "p q c d e f g h") for i in range(20_000)]  # as long as the former stride
+    got = pseudo.score(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert got["mean_log_likelihood"] > -0.5
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     import corpus_pipeline as P
     from roundhouse.llm.common import Written
