@@ -84,11 +84,13 @@ def fit(rows: DataFrame, d: int, k: int, fit_rows: int = FIT_ROWS, **options) ->
 
 
 def adaptive_scan(columns: np.ndarray, query: np.ndarray, bound: float, k: int,
-                  step: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
+                  step: int = COLUMNS, epsilon: float = EPSILON, ids: np.ndarray | None = None,
+                  own: int | None = None) -> np.ndarray:
     """Candidates (column indices) that survive the test within one block.
 
     ``columns`` is D x rows, rotated; ``bound`` a squared distance that the
-    k-th neighbour is known not to exceed.
+    k-th neighbour is known not to exceed. Columns of equal ``ids`` are one
+    neighbour, those of id ``own`` none.
     """
     d = columns.shape[0]
     alive = np.arange(columns.shape[1])
@@ -105,9 +107,16 @@ def adaptive_scan(columns: np.ndarray, query: np.ndarray, bound: float, k: int,
         alive, partial = alive[keep], partial[keep]
         if not len(alive):
             break
-    if len(alive) > 4 * k:  # enough here: the k-th of them bounds the rest (ties stay)
-        cut = np.partition(partial, k - 1)[k - 1]
-        alive = alive[partial <= cut + 1e-9]
+    if ids is not None:
+        other = ids[alive] != own
+        alive, partial = alive[other], partial[other]
+    if len(alive) > 4 * k:  # enough here: the k-th neighbour of them bounds the rest (ties stay)
+        least = partial
+        if ids is not None:
+            order = np.lexsort((partial, ids[alive]))
+            least = partial[order[np.unique(ids[alive][order], return_index=True)[1]]]
+        if len(least) > k:
+            alive = alive[partial <= np.partition(least, k - 1)[k - 1] + 1e-9]
     return alive
 
 
@@ -129,7 +138,7 @@ def search(emb: DataFrame, is_query: Column, k: int = 5, scratch: Written | None
     d = dimension(emb)
     if d == 0:
         return spark.createDataFrame([], schema)
-    rows = scratch.put(packed(emb, d), "vectors")
+    rows = scratch.put(packed(emb, d).distinct(), "vectors")
     index = fit(rows, d, k, **options)
     shared = spark.sparkContext.broadcast(index)
 
@@ -188,10 +197,10 @@ def search(emb: DataFrame, is_query: Column, k: int = 5, scratch: Written | None
             q = unpack(right["packed"], d)
             turned = ix.place(q)
             for i, (qid, bound) in enumerate(zip(right["query_id"].to_numpy(), right["bound"].to_numpy())):
-                found = adaptive_scan(columns, turned[i], bound, k + 1)  # one may be the query itself
-                found = found[ids[found] != qid]
+                found = adaptive_scan(columns, turned[i], bound, k, ids=ids, own=qid)
                 score = cosines(x[found], q[i])
-                best = np.lexsort((ids[found], -score))[:k]
+                best = np.lexsort((ids[found], -score))
+                best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])[:k]]  # the best row of each id
                 out["query_id"] += [qid] * len(best)
                 out["vec_id"] += ids[found][best].tolist()
                 out["score"] += score[best].tolist()

@@ -188,6 +188,25 @@ def test_search(vectors):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_counts_rows_of_one_id_once(spark):
+    rng = np.random.default_rng(4)
+    at = rng.normal(size=24)
+    near = [(i, at + (0.02 * i + 0.001) * rng.normal(size=24)) for i in range(2, 9)]
+    rows = [(0, at), *[(0, at + 1e-3 * rng.normal(size=24)) for _ in range(50)],
+            *[(1, at + 5e-3 * rng.normal(size=24)) for _ in range(60)], *near, *[(2, near[0][1])] * 40,
+            *[(100 + i, rng.normal(size=24)) for i in range(200)]]
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    q = np.array(min(tuple(np.array(x, "<f8").tobytes() for i, x in rows if i == 0)))
+    q = np.frombuffer(q.tobytes().ljust(192, b"\0"), "<f8")
+    score = {}
+    for i, x in rows:
+        if i:
+            score[i] = max(score.get(i, -2), float(x @ q / np.linalg.norm(x) / np.linalg.norm(q)))
+    want = sorted(score, key=lambda i: -score[i])[:5]
+    got = ann.search(df, F.col("vec_id") == 0, 5, fit_rows=60, list_rows=10_000).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def test_mix(docs, empty):
     rows = mixing.mix(docs).collect()
     size = {i: len(WORD.findall(t or "")) for i, t in pairs(docs)}
