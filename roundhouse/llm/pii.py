@@ -167,7 +167,7 @@ def bootstrap(occurrences: DataFrame, scratch: Written, rounds: int = ROUNDS, su
     links = scratch.put(_patterns(free(occurrences)), "links")
     graph = scratch.put(links.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
     number = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    seeds = graph.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("trust")).distinct()
+    seeds = graph.filter("kind >= 0").select("value", "kind", F.lit(1.0).alias("trust"), F.lit(True).alias("seed")).distinct()
     trusted = seeds
     patterns = None
     for i in range(rounds):
@@ -180,10 +180,10 @@ def bootstrap(occurrences: DataFrame, scratch: Written, rounds: int = ROUNDS, su
                .agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("trust"))
                .filter(F.col("trust") >= confidence))
         best = new.groupBy("value").agg(F.max(F.struct("trust", -F.col("kind"))).alias("b")) \
-            .select("value", (-F.col("b")["col2"]).alias("kind"), F.col("b.trust").alias("trust"))
+            .select("value", (-F.col("b")["col2"]).alias("kind"), F.col("b.trust").alias("trust"), F.lit(False).alias("seed"))
         trusted = scratch.put(seeds.unionByName(best), f"trusted-{i}")
     found = (links.filter("kind < 0").drop("kind").join(patterns, "pattern")
-             .join(trusted.filter("trust < 1").select("value", "kind"), ["value", "kind"]))
+             .join(trusted.filter(~F.col("seed")).select("value", "kind"), ["value", "kind"]))
     return found.select("row", "start", "end", "kind").distinct()
 
 

@@ -348,6 +348,15 @@ def test_pii_learns_from_context(spark):
     assert text[50] == "please write to [EMAIL] today thanks" and text[51] == rows[-1][1]
 
 
+def test_pii_reports_values_of_many_patterns(spark):
+    word = lambda k: chr(97 + k % 26) + "xyz"[k // 26]
+    rows = [(100 * k + i, f"on{word(k)} to{word(k)} user{k}n{i}@mail{i}.org at{word(k)}") for k in range(30) for i in range(10)]
+    rows += [(100 * k + 50, f"on{word(k)} to{word(k)} hidden7(at)mail at{word(k)}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    assert all([tuple(x) for x in got[100 * k + 50]] == [(10, 0, 25)] for k in range(30))
+
+
 def test_pseudo_likelihood(spark, empty):
     rnd = random.Random(2)
     rows = []
