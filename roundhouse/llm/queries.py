@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, mixing, neardup, packing, pii, pseudo, quality, substring, suffix
+from . import (ann, jaccard, merkle, mixing, neardup, packing, pii, pseudo, quality, substring, suffix,
+               tiers, variants)
 from .common import table
 
 
@@ -67,10 +68,27 @@ def op10_partitioned_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op11_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of 7 code points and 2 occurrences, with their forms and roots."""
+    return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents"), delete_every=31))
+
+
+def op12_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents packed into full windows of 2048 tokens and of lower powers of two."""
+    return tiers.pack_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+def op13_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents and the check of a tampered copy against it."""
+    return merkle.manifest_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_adaptive_scan_ann, op2_super_kmer_dedup, op3_subspace_near_dedup, op4_subset_sum_mix,
-        op5_ftrl_quality, op6_pseudo_likelihood, op7_best_fit_packing, op8_difference_cover_dedup, op9_bootstrapped_pii, op10_partitioned_jaccard)
+        op5_ftrl_quality, op6_pseudo_likelihood, op7_best_fit_packing, op8_difference_cover_dedup, op9_bootstrapped_pii,
+        op10_partitioned_jaccard, op11_pivotal_variants, op12_tiered_packing, op13_butterfly_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {}
