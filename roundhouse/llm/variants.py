@@ -36,6 +36,7 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10          # a form is at least this many times as frequent as its word
 PREFIX = 3          # bigrams: width * edits + 1
+SHORT = 5           # code points; a shorter equal part is not selective enough as a key
 BUCKETS = 1 << 16   # classes of bigrams; the table of their counts has at most so many rows
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 
@@ -121,6 +122,31 @@ def pivots(places: list[int], costs: list[int], count: int = 2, width: int = 2)
     return list(best[count][1])
 
 
+def _keys(size: np.ndarray, e_left: np.ndarray, e_right: np.ndarray, target: np.ndarray, prefix, suffix):
+    """(keys, which of them exist), up to four for each gram, against partners of ``target`` code points.
+
+    Two assume that the edit lies right of the gram (equal up to ``e_left``), two
+    that it lies left of it (equal for the last ``e_right``). Where the equal part is
+    shorter than ``SHORT``, the rest of the partner is halved: the edit leaves one
+    half as it is, and the key takes that half in, too.
+    """
+    keys, there = [], []
+    for side, e in ((0, e_left), (1, e_right)):
+        rest = target - e
+        half = np.where(e < SHORT, np.maximum(rest, 0) // 2, 0)
+        for far in (0, 1):
+            near, other = (e, rest - half) if far else (e + half, np.zeros_like(e))
+            use = (rest >= 0) & (np.maximum(near, other) <= size)
+            if far:
+                use &= e < SHORT
+            a, b = (other, near) if side else (near, other)
+            a, b = np.where(use, a, 0), np.where(use, b, 0)
+            tag = (target * 4 + side * 2 + far).astype(np.uint64) << np.uint64(32) | e.astype(np.uint64)
+            keys.append(T.mix(T.mix(prefix(a) ^ T.mix(tag)) + suffix(b)))
+            there.append(use)
+    return np.stack(keys, axis=1), np.stack(there, axis=1)
+
+
 def signatures(words: DataFrame, counts: np.ndarray) -> DataFrame:
     """(word, n, last, index, probes): the place in the gram order where the word's prefix
     ends, the keys of its prefix grams and those of its pivots.
@@ -139,36 +165,32 @@ def signatures(words: DataFrame, counts: np.ndarray) -> DataFrame:
         last = rank[by][first + PREFIX - 1]
         use = np.flatnonzero(rank <= last[word])
         gram, place, word = gram[use], place[use], word[use]
-        # hashes of the words' parts that reach from a gram to the start and to the end
         up, down = T.powers(_BASE, len(codes) + 1)
         total = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum(T.mix(codes.astype(np.uint64)) * up[:len(codes)], out=total[1:])
-        begin, end = offsets[word], offsets[word + 1]
-        left = T.mix((total[place + 2] - total[begin]) * down[begin] + (place - begin + 2).astype(np.uint64))
-        right = T.mix(~((total[end] - total[place]) * down[place] + (end - place).astype(np.uint64)))
-        parts = np.stack([left, right], axis=1)
-        size = (end - begin).astype(np.uint64)
-        index = T.mix(parts ^ size[:, None])
-        cost = counts[gram]
-        groups = np.searchsorted(word, np.arange(len(offsets)))
-        chosen = np.fromiter((groups[w] + i for w in range(len(offsets) - 1) for i in pivots(
-            place[groups[w]:groups[w + 1]].tolist(), cost[groups[w]:groups[w + 1]].tolist())), dtype=np.int64)
-        # the partner is as long, or one code point shorter or longer
-        probes = np.concatenate([T.mix(parts[chosen] ^ (size[chosen] + np.uint64(1) - np.uint64(d))[:, None])
-                                 for d in (0, 1, 2)], axis=1)
-        n_index, n_probes = 2 * groups, 12 * np.arange(len(offsets))
+
+        def made(of: np.ndarray, targets: tuple) -> pa.Array:
+            w, p = word[of], place[of]
+            begin, end = offsets[w], offsets[w + 1]
+            span = lambda a, b: T.mix((total[b] - total[a]) * down[a])
+            parts = [_keys(end - begin, p - begin + 2, end - p, end - begin + d,
+                           lambda k: span(begin, begin + k), lambda k: span(end - k, end)) for d in targets]
+            keys, there = (np.concatenate(x, axis=1) for x in zip(*parts))
+            n = np.bincount(w, weights=there.sum(axis=1), minlength=len(offsets) - 1).astype(np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()),
+                                            pa.array(T.signed(keys[there])))
+
+        cost, at = counts[gram], np.searchsorted(word, np.arange(len(offsets)))
+        chosen = np.fromiter((at[w] + i for w in range(len(offsets) - 1) for i in pivots(
+            place[at[w]:at[w + 1]].tolist(), cost[at[w]:at[w + 1]].tolist())), dtype=np.int64)
         return {"word": batch.column("word"), "n": batch.column("n"), "last": last,
-                "index": _lists(index, n_index), "probes": _lists(probes, n_probes)}
+                "index": made(np.arange(len(word)), (0,)),
+                "probes": made(chosen, (-1, 0, 1))}  # the partner is as long, or one code point off
 
     return map_batches(words.select("word", "n"),
                        "word string, n long, last int, index array<long>, probes array<long>", run)
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                    pa.array(T.signed(np.ascontiguousarray(values).reshape(-1))))
-
-
 def near_pairs(words: DataFrame, scratch: Written) -> DataFrame:
     """(a, na, b, nb), a < b: all pairs of ``words`` (word, n; distinct, stored) at edit distance 1.
 
