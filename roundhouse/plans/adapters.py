@@ -71,8 +71,8 @@ def order_facts(src: TableSource) -> DataFrame:
     )
 
 
-def _match_base(src: TableSource) -> DataFrame:
-    o = src.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+def _match_base(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
+    o = (src.orders if orders is None else orders).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = src.customer.select("c_custkey", "c_nationkey")
     n1 = src.nation.select(F.col("n_nationkey").alias("_n1"), F.col("n_name").alias("team_1"))
     n2 = src.nation.select(F.col("n_nationkey").alias("_n2"), F.col("n_name").alias("team_2"))
@@ -89,9 +89,10 @@ def _match_base(src: TableSource) -> DataFrame:
     )
 
 
-def matches(src: TableSource) -> DataFrame:
-    """matches(match_id, event_id, match_date, team_1, team_2, best_of)."""
-    b = _match_base(src)
+def matches(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
+    """matches(match_id, event_id, match_date, team_1, team_2, best_of); ``orders``
+    may be a stream (customers and nations joined static)."""
+    b = _match_base(src, orders)
     return b.select("match_id", "event_id", "match_date", "team_1", "team_2",
                     clean_best_of("best_of_text").alias("best_of"))
 
@@ -259,16 +260,20 @@ def change_log_rows(ev: DataFrame, extra: tuple = ()) -> DataFrame:
 SOURCE_PRIORITY = {"click": 1, "purchase": 2, "view": 3}
 
 
-def source_readings(src: TableSource) -> DataFrame:
-    """One reading (usd, eur) per (hourly poll, source): the source's first event of the hour."""
-    ev = src.events.filter(F.col("event_type").isin(*SOURCE_PRIORITY))
+def reading_rows(ev: DataFrame) -> DataFrame:
+    """Readings (poll, priority, usd, eur, ts, event_id) of any events frame, batch or streaming."""
+    ev = ev.filter(F.col("event_type").isin(*SOURCE_PRIORITY))
     pr = F.when(F.col("event_type") == "click", F.lit(1)) \
         .when(F.col("event_type") == "purchase", F.lit(2)).otherwise(F.lit(3))
     k = _k()
-    rd = ev.select(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("poll"), pr.alias("priority"),
-                   F.col("value").alias("usd"),
-                   F.when(k >= 10, k.cast("double")).alias("eur"), "ts", "event_id")
-    first = rd.groupBy("poll", "priority").agg(
+    return ev.select(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("poll"), pr.alias("priority"),
+                     F.col("value").alias("usd"),
+                     F.when(k >= 10, k.cast("double")).alias("eur"), "ts", "event_id")
+
+
+def source_readings(src: TableSource) -> DataFrame:
+    """One reading (usd, eur) per (hourly poll, source): the source's first event of the hour."""
+    first = reading_rows(src.events).groupBy("poll", "priority").agg(
         F.min_by(F.struct("usd", "eur"), F.struct("ts", "event_id")).alias("_r"))
     return first.select("poll", "priority", "_r.usd", "_r.eur")
 

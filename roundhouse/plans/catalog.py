@@ -19,6 +19,7 @@ from ..operators import samples as W
 from ..operators.shape import two_sided
 from ..operators.topk import random_pick
 from ..sources import sinks as S
+from ..sources.dated import read_retained, retain_stored, write_dated
 from ..sources.files import payload_fields
 from ..sources.tables import TableSource
 from ..streaming import streams as ST
@@ -563,16 +564,59 @@ def _(t: Tables):
     return ST.latest_versions(spark, target, ["team"])
 
 
+@register("stream_standings_live")
+def _(t: Tables):
+    """Standings with matches and results both live."""
+    spark = t.spark
+    target, ckpt = ST.fresh_paths(spark, "standings_live")
+    lines = ST.event_stream(spark, t.src.root, table="lineitem")
+    orders = ST.event_stream(spark, t.src.root, table="orders")
+    ST.stream_standings_live(A.results_of_lines(lines, t.src), A.matches(t.src, orders), target, ckpt)
+    return ST.standings(spark, target)
+
+
 @register("stream_apply_changes")
 def _(t: Tables):
     spark = t.spark
-    log_target, ckpt = ST.fresh_paths(spark, "change_log")
-    state_target, _ = ST.fresh_paths(spark, "change_state")
+    target, ckpt = ST.fresh_paths(spark, "change_state")
     stream = A.change_log_rows(ST.event_stream(spark, t.src.root))
-    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", log_target, state_target,
-                            ckpt, out="kills")
-    state = ST.latest_versions(spark, state_target, ["id"])
-    return state.filter("present").select("id", "kills")
+    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", target, ckpt, out="kills")
+    return ST.latest_versions(spark, target, ["id"]).filter("present").select("id", "kills")
+
+
+@register("stream_asof")
+def _(t: Tables):
+    """The scraper's view as a stream: every tick up to the watermark."""
+    target, ckpt = ST.fresh_paths(t.spark, "asof")
+    stream = ST.event_stream(t.spark, t.src.root).withColumnRenamed("event_type", "metric")
+    ST.stream_asof(stream, P.SCRAPE_SECONDS, target, ckpt, seq=("event_id",))
+    return ST.held_ticks(t.spark, target)
+
+
+@register("stream_fallback")
+def _(t: Tables):
+    target, ckpt = ST.fresh_paths(t.spark, "fallback")
+    ST.stream_fallback(A.reading_rows(ST.event_stream(t.spark, t.src.root)), target, ckpt, "1 hour",
+                       seq=("ts", "event_id"), last_priority=3)
+    return ST.read_batches(t.spark, target).drop("batch_id")
+
+
+@register("retain_stored")
+def _(t: Tables):
+    """Samples stored by day, expired days removed, then read."""
+    target, _ = ST.fresh_paths(t.spark, "retained")
+    write_dated(A.samples(t.src).select("event_id", "ts", "metric", "value"), target)
+    retain_stored(t.spark, target, "7 days")
+    return read_retained(t.spark, target, "7 days")
+
+
+@register("stream_retained")
+def _(t: Tables):
+    target, ckpt = ST.fresh_paths(t.spark, "retained")
+    stream = ST.event_stream(t.spark, t.src.root).select(
+        "event_id", "ts", F.col("event_type").alias("metric"), "value")
+    ST.stream_retained(stream, target, ckpt, "7 days")
+    return read_retained(t.spark, target, "7 days").drop("batch_id")
 
 
 def queries() -> dict[str, Query]:

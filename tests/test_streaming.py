@@ -1,6 +1,8 @@
 """Streaming forms over several micro-batches equal their batch forms."""
 
+import datetime as dt
 import os
+import random
 
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -10,6 +12,7 @@ from conftest import SF_SMALL, rows
 from roundhouse.operators import changes as C
 from roundhouse.plans import adapters as A
 from roundhouse.streaming import streams as ST
+from roundhouse.streaming import tables as TB
 
 
 @pytest.fixture(scope="module")
@@ -25,13 +28,10 @@ def split_events(tmp_path_factory):
 
 def test_stream_apply_changes_three_batches(spark, split_events):
     folder, _ = split_events
-    log_t, ckpt = ST.fresh_paths(spark, "t_log")
-    state_t, _ = ST.fresh_paths(spark, "t_state")
+    state_t, ckpt = ST.fresh_paths(spark, "t_state")
     stream = A.change_log_rows(ST.event_stream(spark, folder, files_per_batch=1))
-    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", log_t, state_t, ckpt, out="kills")
-    batches = (spark.read.option("basePath", log_t).parquet(f"{log_t}/batch_id=*")
-               .select("batch_id").distinct().count())
-    assert batches == 3
+    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", state_t, ckpt, out="kills")
+    assert TB.committed(spark, state_t) == (None, [0, 1, 2])
     state = ST.latest_versions(spark, state_t, ["id"]).filter("present").select("id", "kills")
     batch = spark.read.parquet(f"{folder}/events_*.parquet")
     want = C.apply_changes(A.change_log_rows(batch), key="id", seq=("ts", "seq"), out="kills")
@@ -139,28 +139,304 @@ def test_stored_keys_are_not_inserted_again(spark, split_events):
     assert sorted(rows(got.select(*keys))) == sorted(rows(want))
 
 
-def test_change_log_batches_read_their_days(spark, tmp_path):
-    """Twenty days as twenty batches: every batch summarises its own day, whatever came before."""
-    import datetime as dt
-    source = tmp_path / "log"
-    source.mkdir()
-    import pyarrow as pa
-    for day in range(20):
-        at = [dt.datetime(2024, 1, 1 + day, h) for h in range(6)]
-        pq.write_table(pa.table({
-            "id": [0, 0, 0, day, day, 0], "ts": pa.array(at, pa.timestamp("us")), "seq": list(range(6)),
-            "op": ["insert", "update", "delete" if day % 5 == 0 else "update", "insert", "update", "insert"],
-            "v": [day, 1, 2, 3, 4, 5]}), str(source / f"log_{day:02}.parquet"))
-    log_t, ckpt = ST.fresh_paths(spark, "t_days")
-    state_t, _ = ST.fresh_paths(spark, "t_days_state")
-    schema = spark.read.parquet(str(source)).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    ST.stream_apply_changes(stream, "id", ("ts", "seq"), "op", "v", log_t, state_t, ckpt, out="n")
-    done = spark.read.option("basePath", f"{log_t}_summaries").parquet(f"{log_t}_summaries/batch_id=*")
-    assert {r["count"] for r in done.groupBy("batch_id").count().collect()} <= {1, 2}
-    want = C.apply_changes(spark.read.parquet(str(source)), key="id", seq=("ts", "seq"), out="n")
-    state = lambda: ST.latest_versions(spark, state_t, ["id"]).filter("present").select("id", "n")
-    assert sorted(rows(state())) == sorted(rows(want))
-    ST.compact(spark, state_t, ["id"])
-    assert sorted(rows(state())) == sorted(rows(want))
-    assert len([d for d in os.listdir(state_t.removeprefix("file:")) if d.startswith("batch_id=")]) == 1
+def put(spark, folder, name, rows, schema):
+    """One file of a stream's source, by name (each file is a batch of its own)."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/_{name}")
+    part = next(p for p in os.listdir(f"{folder}/_{name}") if p.startswith("part-"))
+    os.replace(f"{folder}/_{name}/{part}", f"{folder}/{name}.parquet")
+
+
+def files(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+LOG = "id long, ts timestamp_ntz, seq int, op string, v int"
+AT = dt.datetime(2024, 1, 1)
+
+
+def log_of(rnd, n, keys=6, days=12):
+    ops = ["insert", "update", "update", "update", "delete"]
+    return [(rnd.randrange(keys), AT + dt.timedelta(hours=rnd.randrange(24 * days)), i, rnd.choice(ops),
+             rnd.choice([None, *range(9)])) for i in range(n)]
+
+
+def test_change_log_in_any_order_of_arrival(spark, tmp_path):
+    """Events late by days, over a restart: after every run the batch answer of what has come."""
+    rnd = random.Random(11)
+    log = log_of(rnd, 240)
+    log += [(9, AT, 1, op, 5) for op in ("delete", "insert", "update")]      # one sequence value
+    rnd.shuffle(log)
+    target, ckpt = ST.fresh_paths(spark, "t_any")
+    seen = []
+    for part in range(4):
+        rows_ = log[part::4]
+        seen += rows_
+        put(spark, tmp_path, f"log_{part}", rows_, LOG)
+        ST.stream_apply_changes(files(spark, tmp_path, LOG), "id", ("ts", "seq"), "op", "v", target, ckpt, out="n")
+        state = ST.latest_versions(spark, target, ["id"]).filter("present").select("id", "n")
+        want = C.apply_changes(spark.createDataFrame(seen, LOG), key="id", seq=("ts", "seq"), out="n")
+        assert sorted(rows(state), key=repr) == sorted(rows(want), key=repr)
+
+
+def test_change_log_reads_only_its_batch(spark, tmp_path):
+    """Ten days as ten batches: a batch reads its own rows and writes its keys' newest
+    bucket, whatever came before; with a horizon the state does not grow with the days."""
+    sizes = {}
+    for day in range(10):
+        at = lambda h: AT + dt.timedelta(days=day, hours=h)
+        put(spark, tmp_path, f"log_{day:02}", [
+            (0, at(0), 0, "insert", day), (0, at(1), 1, "update", 1), (0, at(2), 2, "update", 2),
+            (day, at(3), 3, "insert", 3), (day, at(4), 4, "update", 4), (0, at(5), 5, "insert", 5)], LOG)
+    for horizon in (None, "2 days"):
+        target, ckpt = ST.fresh_paths(spark, "t_days")
+        q = ST.stream_apply_changes(files(spark, tmp_path, LOG), "id", ("ts", "seq"), "op", "v", target, ckpt,
+                                    out="n", horizon=horizon)
+        done = [p for p in q.recentProgress if p["numInputRows"]]
+        assert len(done) == 10 and {p["numInputRows"] for p in done} == {6}
+        assert max(p["stateOperators"][0]["numRowsUpdated"] for p in done) <= 6
+        state = ST.latest_versions(spark, target, ["id"]).filter("present").select("id", "n")
+        want = C.apply_changes(spark.read.parquet(*[f"{tmp_path}/log_{d:02}.parquet" for d in range(10)]), key="id",
+                               seq=("ts", "seq"), out="n")
+        assert sorted(rows(state)) == sorted(rows(want))
+        sizes[horizon] = ST.state_size(q)["rows"]
+    assert sizes["2 days"] < sizes[None]
+
+
+def test_replay_of_a_compacted_batch_keeps_all_rows(spark, tmp_path):
+    """The stream restarts before it noted batch 1 as done and hands it over again."""
+    t = f"{tmp_path}/t"
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, v int")
+    write = ST._batch_writer(t)
+    write(frame((1, 10), (3, 5)), 0)
+    write(frame((2, 20), (3, 6)), 1)
+    ST.compact(spark, t, ["k"])
+    write(frame((2, 20), (3, 6)), 1)
+    assert sorted(rows(ST.latest_versions(spark, t, ["k"]), "k", "v")) == [(1, 10), (2, 20), (3, 6)]
+    write(frame((1, 11)), 2)
+    assert sorted(rows(ST.latest_versions(spark, t, ["k"]), "k", "v")) == [(1, 11), (2, 20), (3, 6)]
+    assert sorted(os.listdir(t)) == ["_commits", "batch_id=2", "compacted=1"]
+
+
+def test_a_crash_at_any_step_leaves_the_table_readable(spark, tmp_path, monkeypatch):
+    """Every file operation of a batch and of a compaction breaks off once; the rows stay."""
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, v int")
+    mark, remove, crashes = TB.Folder.mark, TB.Folder.remove, 0
+    for step in range(20):
+        t = f"{tmp_path}/t{step}"
+        for i in range(3):
+            TB.write_batch(frame((1, i), (10 + i, i)), t, i)
+        left = [step]
+
+        def breaks(plain):
+            def run(self, name):
+                if left[0] == 0:
+                    raise OSError("lost")
+                left[0] -= 1
+                return plain(self, name)
+            return run
+
+        monkeypatch.setattr(TB.Folder, "mark", breaks(mark))
+        monkeypatch.setattr(TB.Folder, "remove", breaks(remove))
+        want, broke = [(1, 2), (10, 0), (11, 1), (12, 2)], False
+        try:
+            ST.compact(spark, t, ["k"])
+            TB.write_batch(frame((1, 3)), t, 3)
+            want = [(1, 3), *want[1:]]
+        except OSError:
+            broke = True
+        monkeypatch.setattr(TB.Folder, "mark", mark)
+        monkeypatch.setattr(TB.Folder, "remove", remove)
+        assert sorted(rows(ST.latest_versions(spark, t, ["k"]), "k", "v")) == want
+        TB.write_batch(frame((1, 3)), t, 3)           # the stream hands it over again
+        ST.compact(spark, t, ["k"])
+        assert sorted(rows(ST.latest_versions(spark, t, ["k"]), "k", "v")) == [(1, 3), (10, 0), (11, 1), (12, 2)]
+        crashes += broke
+        if not broke:
+            break
+    assert crashes == 8  # the compaction's marker, its six removals, the batch's marker
+
+
+def test_a_table_belongs_to_one_checkpoint(spark, split_events):
+    folder, _ = split_events
+    target, ckpt = ST.fresh_paths(spark, "t_own")
+    run = lambda c: ST.stream_window_counts(
+        ST.event_stream(spark, folder).withColumnRenamed("event_type", "metric"), "1 day", ["metric"], "ts", ["ts"],
+        "value", target, c)
+    run(ckpt)
+    run(ckpt)
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run(f"{ckpt}-other")
+
+
+MATCH = "match_id long, team_1 string, team_2 string, ts timestamp_ntz"
+RESULT = "match_id long, match_winner int, ts timestamp_ntz"
+
+
+@pytest.mark.parametrize("horizon", [None, "2 days"])
+def test_live_standings_in_any_order_over_a_restart(spark, tmp_path, horizon):
+    """Results before, with and after their match; a match inserted twice counts once."""
+    ms, rs = tmp_path / "m", tmp_path / "r"
+    ms.mkdir(), rs.mkdir()
+    target, ckpt = ST.fresh_paths(spark, "t_live_all")
+    at = lambda h: AT + dt.timedelta(hours=h)
+
+    def run():
+        ST.stream_standings_live(files(spark, rs, RESULT), files(spark, ms, MATCH), target, ckpt, horizon=horizon)
+        return dict(rows(ST.standings(spark, target), "team", "wins"))
+
+    put(spark, ms, "m0", [(1, "A", "B", at(0)), (None, "N", "N", at(0))], MATCH)
+    put(spark, rs, "r0", [(1, 1, at(1)), (1, 1, at(1)), (2, 2, at(1)), (None, 1, at(1)), (1, None, at(1))], RESULT)
+    assert run() == {"A": 2}
+    put(spark, ms, "m1", [(2, "A", "C", at(2)), (1, "X", "Y", at(2))], MATCH)       # match 1 again
+    put(spark, rs, "r1", [(1, 2, at(2)), (3, 1, at(2))], RESULT)
+    assert run() == {"A": 2, "B": 1, "C": 1}
+    put(spark, ms, "m2", [(3, "D", "A", at(3)), (4, "A", "D", at(3))], MATCH)
+    ST.compact_standings(spark, target)
+    assert run() == {"A": 2, "B": 1, "C": 1, "D": 1}
+    put(spark, rs, "r2", [(4, 1, at(4)), (3, 2, at(4))], RESULT)
+    assert run() == {"A": 4, "B": 1, "C": 1, "D": 1}
+
+
+def test_live_standings_state_is_bounded_by_the_horizon(spark, tmp_path):
+    ms, rs = tmp_path / "m", tmp_path / "r"
+    ms.mkdir(), rs.mkdir()
+    for day in range(7):
+        at = AT + dt.timedelta(days=3 * day)
+        put(spark, ms, f"m{day:02}", [(10 * day + i, "A", "B", at) for i in range(5)], MATCH)
+        put(spark, rs, f"r{day:02}", [(10 * day + i, 1, at) for i in range(5)], RESULT)
+    held = {}
+    for horizon in (None, "1 day"):
+        target, ckpt = ST.fresh_paths(spark, "t_live_state")
+        q = ST.stream_standings_live(files(spark, rs, RESULT), files(spark, ms, MATCH), target, ckpt, horizon=horizon)
+        assert rows(ST.standings(spark, target)) == [("A", 35)]
+        held[horizon] = ST.state_size(q)["rows"]
+    assert held["1 day"] <= held[None] / 2
+
+
+KEYED = "a int, b string, ts timestamp_ntz, v int"
+
+
+def test_insert_ignore_null_keys_and_stored_keys_in_state(spark, tmp_path):
+    put(spark, tmp_path, "f0", [(1, "x", AT, 5), (1, "x", AT, 4), (None, "x", AT, 1), (None, "x", AT, 1), (7, "y", AT, 1)],
+        KEYED)
+    put(spark, tmp_path, "f1", [(1, "x", AT, 0), (2, "x", AT, 9), (None, "x", AT, 2), (7, "y", AT, 0)], KEYED)
+    stored = spark.createDataFrame([(7, "y"), (7, "y"), (8, None)], "a int, b string")
+    target, ckpt = ST.fresh_paths(spark, "t_null")
+    q = ST.stream_insert_ignore(files(spark, tmp_path, KEYED), ["a", "b"], ["a", "b", "ts", "v"], target, ckpt,
+                                stored=stored)
+    got = rows(ST.latest_versions(spark, target, ["a", "b"]), "a", "b", "v")
+    assert sorted(got, key=repr) == sorted([(1, "x", 4), (2, "x", 9), (None, "x", 1), (None, "x", 1), (None, "x", 2)],
+                                           key=repr)
+    assert ST.state_size(q)["rows"] == 3                   # 1x, 2x and the stored 7y
+    put(spark, tmp_path, "f2", [(7, "y", AT, 3), (2, "x", AT, 1)], KEYED)
+    ST.stream_insert_ignore(files(spark, tmp_path, KEYED), ["a", "b"], ["a", "b", "ts", "v"], target, ckpt,
+                            stored=stored.limit(0))       # restarted: the state has them
+    assert len(rows(ST.latest_versions(spark, target, ["a", "b"]))) == 5
+
+
+def test_insert_ignore_with_a_horizon_bounds_its_state(spark, tmp_path):
+    """Keys seen once a day: only those of the last days are held; the rows are those of the batch form."""
+    every = []
+    for day in range(10):
+        at = AT + dt.timedelta(days=day)
+        every += (part := [(day * 10 + i, "k", at + dt.timedelta(hours=h), h) for i in range(5) for h in (5, 3, 4)])
+        put(spark, tmp_path, f"f{day}", part, KEYED)
+    stored = spark.createDataFrame([(30, "k", AT + dt.timedelta(days=3))], "a int, b string, ts timestamp_ntz")
+    target, ckpt = ST.fresh_paths(spark, "t_horizon")
+    q = ST.stream_insert_ignore(files(spark, tmp_path, KEYED), ["a", "b"], ["a", "b", "ts", "v"], target, ckpt,
+                                stored=stored, horizon="2 days")
+    from roundhouse.operators.etl import insert_ignore
+    want = insert_ignore(spark.createDataFrame(every, KEYED), None, ["a", "b"]).filter("a <> 30")
+    assert sorted(rows(ST.latest_versions(spark, target, ["a", "b"]))) == sorted(rows(want))
+    assert ST.state_size(q)["rows"] <= 4 * 5 * 2           # keys of about three days and their timers
+
+
+SAMPLE = "metric string, ts timestamp_ntz, n int, value double"
+
+
+def test_held_ticks_equal_the_batch_read_up_to_the_watermark(spark, tmp_path):
+    rnd = random.Random(4)
+    samples, end = [], {}
+    for part in range(4):
+        new = [(rnd.choice("ab"), AT + dt.timedelta(seconds=600 * part + rnd.randrange(600)), rnd.randrange(99),
+                rnd.random()) for _ in range(25)]
+        new += [("c", AT + dt.timedelta(seconds=600 * part), part, float(part))]
+        samples += new
+        put(spark, tmp_path, f"s{part}", new, SAMPLE)
+        end[part] = max(r[1] for r in samples)
+    target, ckpt = ST.fresh_paths(spark, "t_asof")
+    ST.stream_asof(files(spark, tmp_path, SAMPLE), 15, target, ckpt, seq=("n", "value"), delay="600 seconds")
+    got = rows(ST.held_ticks(spark, target), "metric", "tick", "sample_ts", "value")
+    from roundhouse.operators.samples import asof_sample
+    want = asof_sample(spark.createDataFrame(samples, SAMPLE), 15, seq=("ts", "n", "value"))
+    mark = end[3] - dt.timedelta(seconds=600)
+    want = [r for r in rows(want, "metric", "tick", "sample_ts", "value") if r[1] <= mark]
+    assert sorted(got) == sorted(want) and len(want) > 200
+
+
+READING = "poll timestamp_ntz, priority int, usd double, eur double, n int"
+
+
+def test_fallback_with_a_deadline_in_any_order_of_arrival(spark, tmp_path):
+    rnd = random.Random(12)
+    readings = []
+    for i in range(40):
+        poll = AT + dt.timedelta(seconds=20 * i)
+        for p in (1, 2, 3):
+            if rnd.random() < 0.6:
+                readings.append((poll, p, rnd.choice([None, 0.0, 1.5]), rnd.choice([None, 0.0, 2.5]), p))
+        readings.append((poll, None, None, None, 0))                       # the poll began
+    order = [r for i in range(0, len(readings), 12) for r in rnd.sample(readings[i:i + 12], len(readings[i:i + 12]))]
+    for part in range(4):
+        put(spark, tmp_path, f"r{part}", order[part * len(order) // 4:(part + 1) * len(order) // 4], READING)
+    target, ckpt = ST.fresh_paths(spark, "t_fallback")
+    q = ST.stream_fallback(files(spark, tmp_path, READING), target, ckpt, "200 seconds", seq=("n",), last_priority=3)
+    from roundhouse.operators.samples import source_fallback
+    want = source_fallback(spark.createDataFrame(readings, READING).drop("n"), last_priority=3)
+    last = AT + dt.timedelta(seconds=20 * 39 - 200)
+    cols = ("poll", "source", "usd", "eur", "ok")
+    want = [r for r in rows(want, *cols) if r[0] <= last]
+    got = rows(TB.read_batches(spark, target), *cols)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r[-1] for r in got} == {0, 1} and ST.state_size(q)["rows"] <= 2 * 11   # open polls and their timers
+
+
+def test_retention_removes_days_without_reading_files(spark, tmp_path):
+    from roundhouse.operators.samples import retain_recent
+    from roundhouse.sources import dated
+    folder = f"{tmp_path}/dated"
+    samples = [("m", AT + dt.timedelta(hours=7 * i), i, float(i)) for i in range(80)] + [("none", None, 1, 1.0)]
+    df = spark.createDataFrame(samples, SAMPLE)
+    dated.write_dated(df, folder)
+    want = sorted(rows(retain_recent(df, "7 days")), key=repr)
+    assert sorted(rows(dated.read_retained(spark, folder), *df.columns), key=repr) == want
+    days = [d for d in os.listdir(folder) if d.startswith("day=2")]
+    kept = {}
+    for d in days:                                        # no file can be read any more
+        for f in os.listdir(f"{folder}/{d}"):
+            p = f"{folder}/{d}/{f}"
+            kept[p] = open(p, "rb").read()
+            with open(p, "wb") as out:
+                out.write(b"not a table")
+    gone = dated.retain_stored(spark, folder, "7 days")
+    assert len(gone) == len(days) - 8 and not any(os.path.exists(f"{folder}/day={d}") for d in gone)
+    for p, data in kept.items():
+        if os.path.exists(os.path.dirname(p)):
+            with open(p, "wb") as out:
+                out.write(data)
+    assert sorted(rows(dated.read_retained(spark, folder), *df.columns), key=repr) == want
+    assert dated.retain_stored(spark, folder, "7 days") == [] == dated.retain_stored(spark, f"{tmp_path}/no", "7 days")
+
+
+def test_retained_stream_frees_expired_days(spark, tmp_path):
+    from roundhouse.operators.samples import retain_recent
+    from roundhouse.sources.dated import read_retained
+    samples = [("m", AT + dt.timedelta(hours=9 * i), i, float(i)) for i in range(60)]
+    for part in range(4):
+        put(spark, tmp_path, f"s{part}", samples[15 * part:15 * part + 15], SAMPLE)
+    target, ckpt = ST.fresh_paths(spark, "t_retained")
+    ST.stream_retained(files(spark, tmp_path, SAMPLE), target, ckpt, "3 days")
+    got = read_retained(spark, target, "3 days")
+    want = retain_recent(spark.createDataFrame(samples, SAMPLE), "3 days")
+    assert sorted(rows(got, "metric", "ts", "n", "value")) == sorted(rows(want))
+    assert len([d for d in os.listdir(target.removeprefix("file:")) if d.startswith("day=")]) <= 4
