@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.rounding import round_ratio
 from ..session import materialize
+from .quantiles import column_quantiles
 
 
 def equal_width_histogram(df: DataFrame, column: str, bins: int = 15, digits: int | None = None) -> DataFrame:
@@ -140,25 +141,14 @@ def _value_at(values: DataFrame, rank: int, n: int, final_rows: int, accuracy: i
     return values.orderBy("v").offset(rank - below).first()[0]
 
 
-def _anchors(df: DataFrame, columns: list[str], written: bool = False) -> list[tuple]:
-    """(column, min, median, max) per column: one pass for min/max/count, then the medians.
-
-    The anchors take several jobs, so the projected columns are written once
-    (below the shared checkpoint folder) instead of re-running the plan that
-    produced ``df`` for each of them.
-    """
-    if not written:
-        df = materialize(df.select(*columns), "anchors")
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [F.min(x), F.max(x), F.count(x)]
-    row = df.agg(*aggs).first()
-    out = []
-    for i, c in enumerate(columns):
-        lo, hi, n = row[3 * i], row[3 * i + 1], row[3 * i + 2]
-        out.append((c, lo, exact_quantile(df, c, 0.5, n=n), hi))
-    return out
+def _anchors(df: DataFrame, columns: list[str]) -> list[tuple]:
+    """(column, min, median, max) per column, in the given order, by a number of jobs that
+    does not depend on the number of columns; a column without a value has nulls."""
+    if not columns:
+        return []
+    found = {r["column"]: (r["min_value"], r["quantiles"][0], r["max_value"])
+             for r in column_quantiles(df, columns).collect()}
+    return [(c, *found.get(c, (None, None, None))) for c in columns]
 
 
 def column_anchors(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -171,9 +161,7 @@ def column_anchors(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     if columns is None:
         df = materialize(df, "sheet")
         columns = numeric_columns(df)
-        data = _anchors(df, columns, written=True)
-    else:
-        data = _anchors(df, columns)
+    data = _anchors(df, columns)
     return spark.createDataFrame(
         data, "column string, min_value double, median_value double, max_value double")
 

@@ -105,12 +105,24 @@ CSV_SOURCES = {
 }
 
 
-def staging_from_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The four source CSV files (header line, columns by position) in final-table shape."""
+def staging_from_csv(spark: SparkSession, folder: str, quarantine: str | None = None,
+                     max_bad_share: float = 0.01) -> dict[str, DataFrame]:
+    """The four source CSV files (header line, columns by position) in final-table shape.
+
+    A line that does not fit ends the load, unless ``quarantine`` names a folder: then such
+    lines are written there, one table (file, line, reason) per source, and the load goes on
+    as long as no source has more than ``max_bad_share`` of them.
+    """
     from .. import schemas
-    from ..sources.files import read_csv_table
-    read = {name: read_csv_table(spark, f"{folder}/{fname}", getattr(schemas, f"{name.upper()}_STAGE"), enc)
-            for name, (fname, enc) in CSV_SOURCES.items()}
+    from ..sources.files import read_csv_quarantined, read_csv_table
+    read = {}
+    for name, (fname, enc) in CSV_SOURCES.items():
+        schema = getattr(schemas, f"{name.upper()}_STAGE")
+        if quarantine is None:
+            read[name] = read_csv_table(spark, f"{folder}/{fname}", schema, enc)
+        else:
+            read[name], bad = read_csv_quarantined(spark, f"{folder}/{fname}", schema, enc, max_bad_share)
+            bad.write.mode("overwrite").parquet(f"{quarantine}/{name}")
     results = read["results"]
     return {
         "events": results.select("event_id").distinct()
