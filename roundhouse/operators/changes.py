@@ -7,7 +7,7 @@ deletes random rows. As a log, per key and in sequence order:
 * update(d): adds d when the row exists, else ignored
 * delete:    removes the row
 
-The log is cut into time buckets. Within one (key, bucket) only the events after
+The log of a hot key is cut into time buckets. Within one (key, bucket) only the events after
 the bucket's last delete count: the first insert there, the updates after it and
 the sum of all updates. That takes aggregations and joins on (key, bucket),
 so the events of a key with a third of the log are dealt over its buckets. What is
@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 
 DAY = 86_400
-NUMBERS = 1 << 16  # sequence numbers of a bucket
+NUMBERS = 1 << 16    # sequence numbers of a bucket
+HOT_EVENTS = 1_000_000
+HOT_SHARE = 1_000    # a key is dealt over buckets if it has a thousandth of the log, too; so at most as many are
 
 
 def time_bucket(log: DataFrame, column: str) -> Column:
@@ -35,6 +37,18 @@ def time_bucket(log: DataFrame, column: str) -> Column:
     return F.coalesce(number, F.lit(-(1 << 63)).cast("long"))  # no time: before all others
 
 
+def hot_bucket(log: DataFrame, key: str, column: str, events: int = HOT_EVENTS, share: int = HOT_SHARE) -> Column:
+    """``time_bucket`` for keys with more than ``events`` events and a ``share``-th of the log, one
+    bucket for every other key, so that the log of a key with few events is combined map-side.
+
+    The hot keys (fewer than ``share``) are a scalar subquery over counts per key.
+    """
+    counts = log.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    least = F.greatest(F.lit(events), counts.select(F.sum("_c") / share).scalar())
+    hot = counts.filter(F.col("_c") > least).agg(F.collect_list("_k")).scalar()
+    return F.when(F.array_contains(hot, F.col(key)), time_bucket(log, column)).otherwise(F.lit(0).cast("long"))
+
+
 def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
                   op: str = "op", value: str = "v", out: str = "value",
                   carry: tuple = (), bucket: Column | None = None) -> DataFrame:
@@ -44,10 +58,10 @@ def apply_changes(log: DataFrame, key: str = "id", seq: tuple = ("ts", "seq"),
     (compared as a tuple, so input order never matters). ``carry`` columns are
     set by the insert that created the row and not changed by updates (like
     a score stored on insert). ``bucket`` must not decrease with ``seq``
-    (default: by the first of its columns); it bounds how much of one key's
-    log meets in one task.
+    (default: ``hot_bucket``, i.e. by the first of its columns for hot keys only); it bounds
+    how much of one key's log meets in one task.
     """
-    b = time_bucket(log, seq[0]) if bucket is None else bucket
+    b = hot_bucket(log, key, seq[0]) if bucket is None else bucket
     return fold(summarise(log, key, seq, op, value, carry, b), key, out, carry)
 
 

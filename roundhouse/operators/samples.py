@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_ratio
+from ..session import materialize
 
 
 def _order(seq):
@@ -104,7 +105,8 @@ def asof_sample(samples: DataFrame, every_seconds: int, keys=("metric",), seq=("
     overall, the latest sample with ts <= t (a sample exactly at a tick
     counts for it). Samples are first reduced to the latest one per (key,
     tick) - a map-side aggregate - then ticks without samples take the
-    previous tick's value by the two-level forward fill. The grid is built
+    previous tick's value by the two-level forward fill. The reduced samples are
+    written once, as the bounds, the grid and the fill all read them. The grid is built
     chunk by chunk, so no row expands into more than ``chunk_ticks`` ticks.
     """
     keys = list(keys)
@@ -112,9 +114,9 @@ def asof_sample(samples: DataFrame, every_seconds: int, keys=("metric",), seq=("
     step = every_seconds * 1_000_000
     span = step * chunk_ticks
     tick = micros + F.pmod(-micros, F.lit(step))  # first tick >= ts (exact for any sign)
-    per_tick = (samples.withColumn("_tick", tick).groupBy(*keys, "_tick")
-                .agg(F.max_by(F.struct(F.col(ts).alias("sample_ts"), F.col(value).alias("value")),
-                              _order(seq)).alias("_st")))
+    per_tick = materialize(samples.withColumn("_tick", tick).groupBy(*keys, "_tick")
+                           .agg(F.max_by(F.struct(F.col(ts).alias("sample_ts"), F.col(value).alias("value")),
+                                         _order(seq)).alias("_st")), "ticks")
     last_tick = per_tick.select(F.max("_tick")).scalar()
     first = per_tick.groupBy(*keys).agg(F.min("_tick").alias("_from"))
     # floor(c / span): c - pmod(c, span) is an exact multiple of span for any sign

@@ -31,6 +31,7 @@ FINAL_TABLES = [
 ]
 # derived at load time: results joined once with their match (teams, date)
 WIDE = "results_wide"
+WAITING = "results_waiting"  # results whose match has not been loaded yet
 
 
 def read_final(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
@@ -161,15 +162,32 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     least one arrived in this version, so a match that comes after its results
     completes them and no pair is written twice. Questions over it need no
     join and no shuffle by match id; it is partitioned by event like the
-    other tables."""
+    other tables.
+
+    Results whose match is still missing are kept aside (results_waiting, whole in
+    each version): a load reads its own results, those waiting and the keys of matches,
+    not the results loaded before. Match ids are unique in matches, so a result that
+    has its match gets no other one.
+    """
     results, matches = read_final(spark, folder, "results"), read_final(spark, folder, "matches")
     if results is None or matches is None:
         return
     cols = ["match_id", "team_1", "team_2", "match_date"]
-    new, old = F.col("version") == version, F.col("version") < version
-    wide = (results.filter(new).drop("version").join(matches.filter(new | old).select(*cols), "match_id")
-            .unionByName(results.filter(old).drop("version").join(matches.filter(new).select(*cols), "match_id")))
+    fresh = results.filter(F.col("version") == version).drop("version")
+    known = matches.filter(F.col("version") <= version).select(*cols)
+    arrived = matches.filter(F.col("version") == version).select(*cols)
+    before = read_final(spark, folder, WAITING)
+    if before is None:  # results loaded before any match was there, or by an earlier form of this load
+        waiting = results.filter(F.col("version") < version).drop("version")
+        earlier = matches.filter(F.col("version") < version).select("match_id")
+        waiting = waiting.join(earlier, "match_id", "left_anti")
+    else:
+        newest = before.filter(F.col("version") < version).select(F.max("version")).scalar()
+        waiting = before.filter(F.col("version") == newest).drop("version")
+    wide = fresh.join(known, "match_id").unionByName(waiting.join(arrived, "match_id"))
+    still = fresh.join(known, "match_id", "left_anti").unionByName(waiting.join(arrived, "match_id", "left_anti"))
     _write_by_event(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
+    still.write.mode("overwrite").parquet(f"{folder}/{WAITING}/version={version}")
 
 
 class FinalTables:

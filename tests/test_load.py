@@ -121,3 +121,29 @@ def test_unreadable_table_is_no_empty_table(spark, tmp_path):
     with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA|infer"):
         read_final(spark, str(tmp_path), "matches")
     assert read_final(spark, str(tmp_path), "results") is None
+
+
+def test_waiting_results_over_several_loads(spark, tmp_path):
+    """Results before, with and after their match, a version loaded again: each pair once."""
+    from roundhouse.plans.load import WAITING, WIDE, load_final_tables, read_final
+    folder = str(tmp_path)
+    match = "match_id long, event_id int, match_date date, team_1 string, team_2 string"
+    result = "match_id long, event_id int, map string, result_1 int, result_2 int"
+    loads = [([(99, 7, None, "Q", "R")], [(1, 7, "a", 1, 2), (2, 7, "a", 1, 2)]), ([(1, 7, None, "A", "B")], [(3, 8, "a", 1, 2)]),
+             ([(2, 9, None, "C", "D"), (1, 7, None, "X", "Y")], [(1, 7, "b", 3, 4)]), ([(98, 7, None, "Q", "R")], [(2, 7, "b", 5, 6)]),
+             ([(3, 8, None, "E", "F")], [(99, 7, "c", 0, 1)])]
+
+    def load(version):
+        m, r = loads[version]
+        load_final_tables(spark, None, folder, version, tables=["matches", "results"], staged={
+            "matches": spark.createDataFrame(m, match), "results": spark.createDataFrame(r, result)})
+
+    for version in range(5):
+        load(version)
+        if version == 2:
+            load(version)
+            left = read_final(spark, folder, WAITING).filter("version = 2")
+            assert [r["match_id"] for r in left.collect()] == [3]
+    wide = sorted((r["match_id"], r["map"], r["team_1"]) for r in read_final(spark, folder, WIDE).collect())
+    assert wide == [(1, "a", "A"), (1, "b", "A"), (2, "a", "C"), (2, "b", "C"), (3, "a", "E"), (99, "c", "Q")]
+    assert read_final(spark, folder, WAITING).filter("version = 4").count() == 0

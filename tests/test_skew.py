@@ -91,6 +91,24 @@ def test_hot_key_change_log_without_windows(spark):
     assert sorted(rows(whole)) == sorted(state.items())
 
 
+def test_only_hot_keys_are_dealt_over_buckets(spark):
+    """The same state whether no key, one or every key counts as hot; cold keys have one bucket."""
+    log = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40).alias("id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("id") % 900).cast("int"))).alias("ts"),
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 13 == 0, F.lit("delete")).when(F.col("id") % 4 == 0, F.lit("insert"))
+         .otherwise(F.lit("update")).alias("op"), (F.col("id") % 9).cast("int").alias("v"))
+    want = sorted(rows(C.apply_changes(log, bucket=C.time_bucket(log, "ts"))))
+    dealt = {}
+    for events in (0, 500, 10**6):
+        bucket = C.hot_bucket(log, "id", "ts", events=events)
+        dealt[events] = {r[0] for r in rows(log.select("id", bucket.alias("b")).filter("b <> 0").select("id").distinct())}
+        assert sorted(rows(C.apply_changes(log, bucket=bucket))) == want
+    assert len(dealt[0]) == 40 and dealt[500] == {0} and dealt[10**6] == set()
+    assert sorted(rows(C.apply_changes(log))) == want
+
+
 def test_forward_fill_windows_are_chunked(spark):
     import datetime as dt
     data = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=3 * i), "hot", float(i), i) for i in range(40)]
