@@ -167,18 +167,24 @@ def _single(strings: DataFrame, window: int, scratch: Written) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, scratch: Written, window: int = WINDOW, kmer: int = KMER,
-                    hot_windows: int = HOT_WINDOWS) -> DataFrame:
+                    hot_windows: int = HOT_WINDOWS, originals: DataFrame | None = None) -> DataFrame:
     """Word ranges of ``docs`` (doc_id, t, text) that repeat a smaller document's window.
 
-    ``docs`` holds each distinct text once, under its smallest doc_id.
+    ``originals`` (doc_id, t) names each distinct text under its smallest doc_id; only
+    those make strings (their windows have the smallest documents of all). Rows that
+    repeat one are combined where they lie, so g of them make the strings of one.
     """
-    found = scratch.put(_find(docs, window, kmer), "superkmers")
+    found = _find(docs, window, kmer)
+    if originals is not None:
+        found = found.join(originals, ["doc_id", "t"], "left_semi")
+    found = scratch.put(found.distinct(), "superkmers")
     shared = scratch.put(
         found.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n"))
         .filter("lo < hi").select("m", (F.col("n") > hot_windows).alias("hot")), "shared")
     spans = (found.join(shared, "m").groupBy("doc_id", "t")
              .agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("spans")))
-    source = docs.join(spans, ["doc_id", "t"]).select("doc_id", "t", "text", "spans")
+    once = docs.groupBy("doc_id", "t").agg(F.any_value("text").alias("text"))
+    source = once.join(spans, ["doc_id", "t"]).select("doc_id", "t", "text", "spans")
     strings = scratch.put(_cut(source, window), "strings")
     scratch.drop("superkmers")
     return _count(strings.filter("not hot"), window).unionByName(_single(strings.filter("hot"), window, scratch))
@@ -202,8 +208,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot_win
     least = keys.groupBy("t", "t2").agg(F.min("doc_id").alias("least"))
     keys = scratch.put(keys.join(least, ["t", "t2"]).select("doc_id", "t", (F.col("doc_id") > F.col("least"))
                                                             .alias("copy")), "copies")
-    ranges = scratch.put(repeated_ranges(rows.select("doc_id", "t", "text"), scratch, window, kmer, hot_windows),
-                         "ranges")
+    ranges = scratch.put(repeated_ranges(rows.select("doc_id", "t", "text"), scratch, window, kmer, hot_windows,
+                                         keys.filter("NOT copy").select("doc_id", "t")), "ranges")
     scratch.drop("strings", "shared")
     per = ranges.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     source = (rows.select("doc_id", "t", "text").join(keys, ["doc_id", "t"]).join(per, ["doc_id", "t"], "left")

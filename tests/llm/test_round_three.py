@@ -316,3 +316,65 @@ def test_manifest_proofs_and_other_fanout(spark):
 def test_manifest_query_on_its_table(spark):
     rows = [r.asDict() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert told(queries.QUERIES["op13_butterfly_manifest"](spark, SMALL)) == plain_manifest(rows)
+
+
+# ---- repeated rows and clashing names in earlier operators and stages
+
+def test_repeated_rows_make_the_strings_of_one(spark):
+    """g rows of one document and c copies of its text: packed strings do not grow with either."""
+    from roundhouse.llm import substring
+    from roundhouse.llm.common import Written
+    rnd = random.Random(1)
+    text = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    a, b = text(300), text(200)
+    both = f"{b} {' '.join(a.split()[40:240])}"
+    made = {}
+    for g in (1, 60):
+        rows = [(1, a)] * g + [(2, both)] * g + [(3 + i, a) for i in range(g)] + [(None, b)] * g
+        scratch = Written(spark, "strings")
+        drop, scratch.drop = scratch.drop, lambda *names: drop(*[n for n in names if n != "strings"])
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = substring.deduplicate(docs, scratch=scratch).collect()
+        made[g] = spark.read.parquet(f"{scratch.base}/strings").count()
+        removed = {r["doc_id"]: {x["n_removed"] for x in got if x["doc_id"] == r["doc_id"]} for r in got}
+        assert removed[1] == {0} and removed[2] == {200} and removed[3] == {300} and removed[None] == {200}
+        assert len(got) == len(rows)
+    assert made[1] == made[60] > 0
+
+
+STAGE_COLUMNS = ("doc_id long, text string, lang string, source string, n_chars long, spans string, base string, "
+                 "score string, _text string, copies string, _row long, _copy string, u_0 string, u string, row long")
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+    rnd = random.Random(2)
+    good, bad = ["the", "river", "was", "quiet", "and", "old"], ["click", "WIN", "$$$", "free", "now", "!!!"]
+    texts = [" ".join(rnd.choice(good if i % 2 else bad) for _ in range(60)) + f" id{i}" for i in range(60)]
+    texts[3] = "write to ann@example.org or +49 30 1234567 soon " + texts[3]
+    rows = [(i if i else None, t, "en", f"s{i % 3}", len(t or ""), "sp", "ba", "sc", "te", "co", i, "cp", "u0", "u", i)
+            for i, t in enumerate([None, "", *texts])]
+    docs = spark.createDataFrame(rows + rows[5:7], STAGE_COLUMNS).repartition(3)
+    spark.createDataFrame([(i, int(i % 2 == 1), 0) for i in range(2, 62)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = {(r[10], r[5:10] + r[11:]) for r in rows}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        found = out.collect()
+        assert found and {(r["_row"], tuple(r)[5:10] + tuple(r)[11:]) for r in found} <= extra, name
+        if name == "personal_data":
+            assert "ann@example.org" not in "".join(r["text"] or "" for r in found) and len(found) == len(rows) + 2
+        if name == "quality":
+            odd = [r["doc_id"] % 2 for r in found if r["doc_id"] and r["doc_id"] > 1]
+            assert sum(odd) > 0.8 * len(odd)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(rows)
+
+
+def test_pipeline_runs_on_its_table(spark):
+    import corpus_pipeline as P
+    out = P.run(spark, SMALL)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    per = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+    assert 0 < out.select("doc_id").distinct().count() < docs and per <= 4096
