@@ -142,9 +142,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
 
 
 def apply(docs: DataFrame, scratch: Written | None = None, **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it (0, 1 or 2 times)."""
+    """``docs`` with every row as often as the mix takes it (0, 1 or 2 times).
+
+    Extra columns travel in one struct, whatever their names.
+    """
     scratch = scratch or Written(docs.sparkSession, "mix")
-    rows = scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # fixes the row numbers
-    taken = mix(rows, scratch=scratch, keep=("_row",), **options).filter("copies > 0").select("_row", "copies")
-    return (rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+    rows = scratch.put(docs.select(F.struct(*docs.columns).alias("u"), F.monotonically_increasing_id().alias("_row")),
+                       "rows")  # fixes the row numbers
+    plain = rows.select(*[F.col("u")[c].alias(c) for c in ("doc_id", "source", "text")], "_row")
+    taken = mix(plain, scratch=scratch, keep=("_row",), **options).filter("copies > 0").select("_row", "copies")
+    return (rows.join(taken, "_row").select("u", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select(*[F.col("u")[c].alias(c) for c in docs.columns]))

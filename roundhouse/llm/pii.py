@@ -213,9 +213,13 @@ def find(docs: DataFrame, keep: list[str] | None = None, scratch: Written | None
 def redact(docs: DataFrame, scratch: Written | None = None, **options) -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets.
 
-    Overlapping spans become one, named after the first.
+    Overlapping spans become one, named after the first. Extra columns stay, whatever
+    their names.
     """
-    found = find(docs, list(docs.columns), scratch, **options)
+    mine = [f"u_{i}" for i in range(len(docs.columns))]
+    found = find(docs.select(F.col("text"), *[F.col(c).alias(u) for c, u in zip(docs.columns, mine)
+                                              if c != "text"]),
+                 ["text", *[u for c, u in zip(docs.columns, mine) if c != "text"]], scratch, **options)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -228,4 +232,4 @@ def redact(docs: DataFrame, scratch: Written | None = None, **options) -> DataFr
     cut = F.aggregate("spans", start, step)
     rest = F.substring("text", (cut["at"] + 1).cast("int"), F.length("text"))
     text = F.when(F.size("spans") > 0, F.concat(F.array_join(cut["out"], ""), rest)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.select(*[(text if c == "text" else F.col(u)).alias(c) for c, u in zip(docs.columns, mine)])
