@@ -15,10 +15,15 @@ from roundhouse.llm.common import Written, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Null and empty texts are judged by the bias."""
-    weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, weights)
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    """Documents that the quality classifier accepts. Null and empty texts are judged by the bias.
+
+    Extra columns stay, whatever their names.
+    """
+    weights = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    mine = [f"u_{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(c).alias(u) for c, u in zip(docs.columns, mine)], "text")
+    scored = quality.score(named, weights, keep=mine).filter(F.col("score") >= quality.THRESHOLD)
+    return scored.select(*[F.col(u).alias(c) for c, u in zip(docs.columns, mine)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
