@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, jaccard, merkle, mixing, neardup, packing, pii, pseudo, quality, substring, suffix,
+from . import (ann, jaccard, merkle, mixing, neardup, oracle, packing, pii, pseudo, quality, substring, suffix,
                tiers, variants)
 from .common import table
 
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_partitioned_jaccard, op11_pivotal_variants, op12_tiered_packing, op13_butterfly_manifest)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
