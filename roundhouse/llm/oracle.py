@@ -168,5 +168,23 @@ counts AS (SELECT a, COUNT(*) AS n FROM links GROUP BY a)
 SELECT c.id AS vec_id, COALESCE(n, 0) AS n_links, component_id, c.id = component_id AS kept
 FROM classes c LEFT JOIN counts ON counts.a = c.id"""
 
-SQL = {"op2_super_kmer_dedup": SUBSTRINGS, "op3_subspace_near_dedup": NEAR_VECTORS, "op10_partitioned_jaccard": JACCARD,
-       "op11_pivotal_variants": VARIANTS, "op13_butterfly_manifest": MANIFEST}
+BYTE_STRINGS = """
+WITH docs AS (SELECT doc_id, encode(COALESCE(text, '')) AS b, strlen(COALESCE(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, k, array_slice(b, k + 1, k + 200) AS win
+  FROM (SELECT doc_id, b, unnest(range(n - 199)) AS k FROM docs WHERE n >= 200) x),
+repeats AS (SELECT doc_id, k, COUNT(*) OVER (PARTITION BY win) > 1 AS again FROM windows),
+bytes AS (SELECT doc_id, i, hex(array_slice(b, i + 1, i + 1)) AS x
+          FROM (SELECT doc_id, b, unnest(range(n)) AS i FROM docs) y),
+judged AS (
+  SELECT w.doc_id, w.i, w.x, COALESCE(MAX(CAST(r.again AS INTEGER)) OVER (
+           PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM bytes w LEFT JOIN repeats r ON r.doc_id = w.doc_id AND r.k = w.i),
+edges AS (SELECT *, gone AND NOT COALESCE(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM judged)
+SELECT d.doc_id, COUNT(e.i) AS n_bytes, CAST(COALESCE(SUM(CAST(e.gone AS INTEGER)), 0) AS BIGINT) AS n_removed,
+       CAST(COALESCE(SUM(CAST(e.begins AS INTEGER)), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(COALESCE(string_agg(e.x, '' ORDER BY e.i) FILTER (WHERE NOT e.gone), ''))) AS kept_sha256
+FROM docs d LEFT JOIN edges e ON e.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+SQL = {"op2_super_kmer_dedup": SUBSTRINGS, "op3_subspace_near_dedup": NEAR_VECTORS, "op8_difference_cover_dedup": BYTE_STRINGS,
+       "op10_partitioned_jaccard": JACCARD, "op11_pivotal_variants": VARIANTS, "op13_butterfly_manifest": MANIFEST}
