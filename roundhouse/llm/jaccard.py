@@ -28,6 +28,7 @@ SLACK = 1.12      # segments over the needed H + 1
 DELETIONS = 32    # every so-manieth segment also indexes its one-deletion neighbourhood
 SMALL_BUCKET = 8  # buckets up to this size pair directly, larger ones around a centre first
 GROUP = 256       # partners of a centre that are verified in one task
+FIRST_KEYS = 16   # smallest keys a set carries, so that a pair is made once and not in every bucket it shares
 SKETCH = 8        # 64-bit words of the parity sketch
 SID_BITS = 40
 
@@ -317,6 +318,46 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", F.col("l_node").alias("node_a"), F.col("r_node").alias("node_b"), "maybe"))
 
 
+def _open_pairs(pairs: DataFrame, first: DataFrame, sets: DataFrame, comp: DataFrame, scratch: Written,
+                carried: int = FIRST_KEYS) -> DataFrame:
+    """Distinct node pairs (a, b) of different classes that large buckets still hold and sketches allow.
+
+    Sets that are similar but not linked share most of their buckets, so a
+    pair would be made once per shared bucket. Each set carries the
+    ``carried`` smallest of the open keys it probes: a bucket leaves a pair out
+    if both carry the same smaller key, whose bucket makes it. The pair's
+    smallest shared key is never left out, so no pair is lost.
+    """
+    classes = comp.select(F.col("id").alias("node"), "component_id")
+    of = lambda side: classes.select(F.col("node").alias(f"node_{side}"),
+                                     F.col("component_id").alias(f"class_{side}"))
+    open_pairs = (first.join(of("a"), "node_a", "left").join(of("b"), "node_b", "left")
+                  .filter(F.coalesce("class_a", "node_a") != F.coalesce("class_b", "node_b"))
+                  .select("a", "b").distinct())
+    large = pairs.filter("key is not null")
+    open_keys = large.join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
+    rest = large.join(open_keys, "key", "left_semi")
+    members = scratch.put(
+        rest.select("key", F.col("b").alias("sid"), "probe")
+        .unionByName(rest.select("key", F.col("a").alias("sid"), F.col("centre_probe").alias("probe")))
+        .groupBy("key", "sid").agg(F.max("probe").alias("probe")), "members")
+    told = members.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("probe"), F.col("key")))),
+                                              1, carried).alias("early"))
+    told = (sets.join(told, "sid").join(classes, "node", "left")
+            .withColumn("component_id", F.coalesce("component_id", "node")))
+    wide = scratch.put(members.join(told, "sid"), "open")
+    cols = ["key", "probe", "early", "component_id", "node", "n"] + [f"k{i}" for i in range(SKETCH)]
+    x, y = (wide.select(*[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "xy")
+    differ = sum((F.bit_count(F.col(f"x_k{i}").bitwiseXOR(F.col(f"y_k{i}"))) for i in range(1, SKETCH)),
+                 F.bit_count(F.col("x_k0").bitwiseXOR(F.col("y_k0"))))
+    made_before = F.coalesce(F.array_min(F.array_intersect("x_early", "y_early")) < F.col("x_key"), F.lit(False))
+    made = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_node") < F.col("y_node"))
+                  & (F.col("x_probe") | F.col("y_probe")) & (F.col("x_component_id") != F.col("y_component_id"))
+                  & (5 * F.col("x_n") >= 4 * F.col("y_n")) & (5 * F.col("y_n") >= 4 * F.col("x_n"))
+                  & (differ <= F.floor((F.col("x_n") + F.col("y_n")) / 9)) & ~made_before)
+    return made.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """Those of the distinct node pairs (a, b) whose whole sets have Jaccard >= 0.8.
 
@@ -387,28 +428,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, scratch: Written
     same = same.join(per, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     links = links.unionByName(same)
     comp = components(links, scratch, "near")
-    # large buckets whose members are not all one class yet: every pair of different classes
-    open_pairs = first.join(comp.select(F.col("id").alias("node_a"), F.col("component_id").alias("ca")), "node_a", "left") \
-        .join(comp.select(F.col("id").alias("node_b"), F.col("component_id").alias("cb")), "node_b", "left") \
-        .filter(F.coalesce("ca", "node_a") != F.coalesce("cb", "node_b")).select("a", "b").distinct()
-    large = pairs.filter("key is not null")
-    open_keys = large.join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
-    rest = large.join(open_keys, "key", "left_semi")
-    members = (rest.select("key", F.col("b").alias("sid"), "probe")
-               .unionByName(rest.select("key", F.col("a").alias("sid"), F.col("centre_probe").alias("probe")))
-               .groupBy("key", "sid").agg(F.max("probe").alias("probe")))
-    wide = scratch.put(members.join(sets, "sid").join(
-        comp.select(F.col("id").alias("node"), "component_id"), "node", "left")
-        .withColumn("component_id", F.coalesce("component_id", "node")), "open")
-    cols = ["key", "probe", "component_id", "node", "n"] + [f"k{i}" for i in range(SKETCH)]
-    x, y = (wide.select(*[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "xy")
-    differ = sum((F.bit_count(F.col(f"x_k{i}").bitwiseXOR(F.col(f"y_k{i}"))) for i in range(1, SKETCH)),
-                 F.bit_count(F.col("x_k0").bitwiseXOR(F.col("y_k0"))))
-    second = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_node") < F.col("y_node"))
-                    & (F.col("x_probe") | F.col("y_probe")) & (F.col("x_component_id") != F.col("y_component_id"))
-                    & (differ <= F.floor((F.col("x_n") + F.col("y_n")) / 9)))
-    second = second.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    second = scratch.put(second.join(tested, ["a", "b"], "left_anti"), "second")
+    second = scratch.put(_open_pairs(pairs, first, sets, comp, scratch).join(tested, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         more = scratch.put(verify(second, docs, shingle), "more")
         comp = components(links.unionByName(more), scratch, "all")

@@ -142,6 +142,36 @@ def test_jaccard_large_buckets_stream_through_the_centre(spark):
     assert got == roots(list(sets), links)
 
 
+def test_jaccard_open_buckets_make_each_pair_once(spark, monkeypatch):
+    rnd = random.Random(12)
+    t = [f"z{i}" for i in range(150)]
+    rows = []
+    for i in range(90):  # similar sets on both sides of the threshold, in shared buckets
+        u = list(t)
+        for _ in range(rnd.randint(1, 7)):
+            u[rnd.randrange(150)] = f"y{rnd.randrange(9999)}"
+        rows.append((i, " ".join(u)))
+    sets = {i: shingles(x) for i, x in rows}
+    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = roots(list(sets), links)
+    assert 3 < len(set(want.values())) < 90
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, made = jaccard._open_pairs, {}
+
+    def watched(pairs, first, *rest):
+        # with no link known yet every pair of a large bucket is open
+        none = rest[1].filter("false")
+        for carried in (0, 3, jaccard.FIRST_KEYS):
+            scratch = jaccard.Written(spark, "test")
+            made[carried] = {tuple(r) for r in plain(pairs, first, rest[0], none, scratch, carried).collect()}
+        return plain(pairs, first, *rest)
+
+    monkeypatch.setattr(jaccard, "_open_pairs", watched)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(df).collect()}
+    assert got == want
+    assert made[0] and made[0] == made[3] == made[jaccard.FIRST_KEYS]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
