@@ -129,8 +129,8 @@ def search(emb: DataFrame, is_query: Column, k: int = 5, scratch: Written | None
 
     Null, zero and non-finite vectors, those of another length than most, and
     rows without an id take no part. Rows that share a vec_id are one
-    candidate (its best score); a query never finds its own vec_id. An empty
-    table gives no row, a table of fewer rows gives all of them.
+    candidate (its best score), dealt over the parts of their lists; a query
+    never finds its own vec_id. An empty table gives no row, a table of fewer rows gives all of them.
     """
     spark = emb.sparkSession
     scratch = scratch or Written(spark, "ann")
@@ -182,7 +182,7 @@ def search(emb: DataFrame, is_query: Column, k: int = 5, scratch: Written | None
                    "list"))
     sizes = F.broadcast(scratch.put(sizes, "sizes"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    blocks = (indexed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    blocks = (indexed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "packed"), F.col("parts")).cast("int"))
               .select("list", "part", every("asks").alias("ask"), "vec_id", "packed"))
     asks = (asks.join(sizes, "list").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int"))
             .select("list", every("parts").alias("part"), "ask", "query_id", "packed", "bound"))
