@@ -81,14 +81,16 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
     """Weights fitted on at most ``rows`` labelled rows outside the held-out fold.
 
     The sample is the ``rows`` labels of smallest seeded hash. Each shard of it
-    runs FTRL in a task of its own and the shards' weights are averaged. With
-    no usable label all weights are 0 (every score 0.5).
+    runs FTRL in a task of its own and the weights of the shards that have rows
+    are averaged. Rows that repeat a labelled doc_id teach once, by their smallest
+    text. With no usable label all weights are 0 (every score 0.5).
     """
     usable = (labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0))
               .select("doc_id", F.col("quality").cast("double").alias("y"),
                       F.xxhash64("doc_id", F.lit("quality")).alias("_h")))
     sample = usable.orderBy("_h", "doc_id", "y").limit(rows)  # at most `rows` small rows: safe to broadcast
     joined = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+              .groupBy("doc_id", "_h", "y").agg(F.min("text").alias("text"))  # at most `rows`, however often an id repeats
               .withColumn("shard", F.pmod(F.col("_h"), F.lit(shards)).cast("int")))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,13 +101,15 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
             ids, start = features(buf, offsets, bits)
             data += [(ids[start[k]:start[k + 1]], ys[lo + k]) for k in range(hi - lo)]
         w = ftrl(data, bits, epochs)
-        keep = np.flatnonzero(w)
-        return pd.DataFrame({"feature": keep, "w": w[keep]})
+        keep = np.append(np.flatnonzero(w), -1)  # and one row that counts the shard
+        return pd.DataFrame({"feature": keep, "w": np.append(w[keep[:-1]], 1.0)})
 
     models = joined.groupBy("shard").applyInPandas(fit, "feature long, w double")
     weights = np.zeros((1 << bits) + 1)
-    rows_ = models.groupBy("feature").agg((F.sum("w") / shards).alias("w")).toPandas()  # at most 2**bits rows
-    weights[rows_["feature"].to_numpy(dtype=np.int64)] = rows_["w"].to_numpy(dtype=float)
+    rows_ = models.groupBy("feature").agg(F.sum("w").alias("w")).toPandas()  # at most 2**bits + 2 rows
+    total = dict(zip(rows_["feature"], rows_["w"])).pop(-1, 1.0)  # shards with rows
+    rows_ = rows_[rows_["feature"] >= 0]
+    weights[rows_["feature"].to_numpy(dtype=np.int64)] = rows_["w"].to_numpy(dtype=float) / total
     return weights
 
 

@@ -303,6 +303,21 @@ def test_quality(spark, docs, empty):
     assert {r["score"] for r in quality.classify(docs, lab.limit(0)).collect()} == {0.5}
 
 
+def test_quality_learns_one_row_of_an_id_and_averages_filled_shards(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = [(1, "good calm text"), (2, "buy buy now"), (3, "other")]
+    same = [(1, "good calm text and more"), (1, "good calm text"), (2, None)] * 40
+    held = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert not held
+    schema = "doc_id long, text string"
+    plain = quality.train(spark.createDataFrame(rows, schema), labels)
+    again = quality.train(spark.createDataFrame(rows + same, schema).repartition(4), labels)
+    assert plain.any() and np.array_equal(plain, again)
+    one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    few, many = (quality.train(spark.createDataFrame(rows, schema), one, shards=n) for n in (1, 64))
+    assert few.any() and np.array_equal(few, many)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
