@@ -1,22 +1,30 @@
 """Masked pseudo-likelihood scores from a small bidirectional window network.
 
-Every word of the corpus is counted. The vocabulary, which grows with the
-corpus, is every word of at least ``MIN_COUNT`` occurrences (and the most
-frequent ones of a small corpus): each has an embedding of its own. The
-network sees two words on either side of a position and predicts the class of
-the word there: the most frequent words are classes of their own, all others
-are dealt to hashed classes by
-
-    log p(word | both sides) = log p(class | both sides) + log(count of word / count of class)
-
-It is trained in numpy on every partition and averaged over the partitions by
-their number of positions, for a few rounds. A text's score sums the above.
+Every word of the corpus is counted. Words of at least ``least`` occurrences
+are leaves of their own, rarer ones are dealt by hash to leaves of about as
+many occurrences, so the leaves grow with the corpus. The leaves, the most
+frequent first, hang on a binary tree. The network sees two words on either
+side of a position and predicts the word there by the turns on the way to its
+leaf:
+
+    log odds of a right turn = log(count right / count left) + network(both sides) . vector of the turn
+    log p(word | both sides) = sum of its turns + log(count of word / count of leaf)
+
+so an untrained network gives every word its share of the corpus, and what it
+learns moves every leaf. Each turn is normalised by itself: no sum over a
+vocabulary is needed, neither in training nor in scoring.
+
+The texts are encoded once. Documents are dealt to shards by a hash of their
+id and text and trained in the order of that hash, in numpy; the shards'
+weights are summed by Spark as integers, row by row. So the model does not
+depend on how the input is partitioned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +32,18 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import Written, map_batches
 
-WORDS, OTHER = 112, 16   # words that are classes of their own, hashed classes of all others
-MIN_COUNT = 256          # occurrences of a word with an embedding of its own
+WORDS = 4096             # so many words are leaves of their own in a small corpus, too
+MIN_COUNT = 256          # occurrences of a leaf, at least
+MAX_LEAVES = 1 << 20     # beyond MIN_COUNT * MAX_LEAVES words of text, a leaf's occurrences grow instead
 LOOKUP = 1 << 18         # counts held by each task; those of rarer words are joined (same result)
+SHARD = 1 << 21          # words of a training shard
+CHUNK = 1 << 17          # words held at once
 SIDE, EMBED, HIDDEN = 2, 8, 16
-STRIDE = 1      # every position is trained in each round
+TOP, FOLD = 5, 4         # every turn of TOP levels has a vector, lower levels FOLD vectors each
 ROUNDS = 2
 RATE = 0.05
-BATCH = 4096
+BATCH, SCORE_BATCH = 512, 4096
+UNIT = 1 << 24           # weights are summed in these fractions
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -44,73 +56,76 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Sorted hashes of the words with an embedding, and the class of each."""
-
-    def __init__(self, words: np.ndarray, own: np.ndarray):
-        """``words``: unsigned hashes; ``own``: which of them are classes of their own."""
-        order = np.argsort(words)
-        self.words, own = words[order], own[order]
-        self.own = int(own.sum())
-        self.classes = self.own + OTHER
-        self.pad = len(words) + OTHER  # stands beyond a text's ends
-        # of all ids: vocabulary, then hashed ones
-        self.class_of = np.concatenate([np.where(own, np.cumsum(own) - 1, self.own + self.other(self.words)),
-                                        self.own + np.arange(OTHER)])
-
-    @staticmethod
-    def other(hashes: np.ndarray) -> np.ndarray:
-        return (hashes % np.uint64(OTHER)).astype(np.int64)
-
-    def ids_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of each word: its place in the vocabulary, else a hashed one after it."""
-        other = len(self.words) + self.other(hashes)
-        if not len(self.words):
-            return other
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, other)
-
-
-def vocabulary(counts: DataFrame, words: int = WORDS, least: int = MIN_COUNT) -> Vocabulary:
-    """The words of at least ``least`` occurrences and the ``words`` most frequent ones, from all counts."""
-    top = counts.orderBy(F.desc("n"), "w").limit(words).toPandas()["w"].to_numpy(dtype=np.int64)
-    some = counts.filter(F.col("n") >= least).select("w").toPandas()["w"].to_numpy(dtype=np.int64)
-    every = np.union1d(top, some)
-    return Vocabulary(every.view(np.uint64), np.isin(every, top))
-
-
-class Counts:
-    """Logarithms of the counts of the classes and of the most frequent words (sorted hashes)."""
-
-    def __init__(self, vocab: Vocabulary, words: np.ndarray, n: np.ndarray, hashed: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.logs = words[order], np.log(n[order]).astype(float)
-        self.totals = np.concatenate([np.zeros(vocab.own), np.log(np.maximum(hashed, 1))])
-
-    def within(self, hashes: np.ndarray, classes: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """log p(word | class) of each word, and whether its count is still to be added."""
-        out, rare = -self.totals[classes], np.zeros(len(hashes), dtype=bool)
-        rest = np.flatnonzero(classes >= own)
-        if len(rest):
-            word, inverse = np.unique(hashes[rest], return_inverse=True)
-            at = np.minimum(np.searchsorted(self.words, word), max(len(self.words) - 1, 0))
-            held = self.words[at] == word if len(self.words) else np.zeros(len(word), dtype=bool)
-            out[rest] += np.where(held, self.logs[at], 0.0)[inverse] if len(self.words) else 0.0
-            rare[rest] = ~held[inverse]
-        return out, rare
-
-
-def held_counts(counts: DataFrame, vocab: Vocabulary, lookup: int = LOOKUP) -> Counts:
-    """Counts of at most ``lookup`` words, the most frequent, and of the hashed classes."""
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toPandas()
-    sizes = sizes[sizes["words"].cumsum() <= lookup]
-    least = int(sizes["n"].min()) if len(sizes) else 1 << 62
-    some = counts.filter(F.col("n") >= least).toPandas()
-    own = vocab.words[vocab.class_of[:len(vocab.words)] < vocab.own].view(np.int64)
-    rest = counts.filter(~F.col("w").isin([int(w) for w in own])) if len(own) else counts
-    total = np.zeros(OTHER)
-    for r in rest.groupBy(F.expr(f"w & {OTHER - 1}").alias("c")).agg(F.sum("n").alias("n")).collect():
-        total[r["c"]] = r["n"]
-    return Counts(vocab, some["w"].to_numpy(dtype=np.int64).view(np.uint64), some["n"].to_numpy(), total)
+    """The leaf of every word, and how often each leaf occurs."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, hashed: np.ndarray):
+        """``words``: unsigned hashes with a leaf of their own; ``hashed``: counts of the 2**k leaves of all others."""
+        order = np.lexsort((words, -counts))
+        leaf = np.empty(len(words), dtype=np.int32)
+        leaf[order] = np.arange(len(words))
+        by_hash = np.argsort(words)
+        self.words, self.leaf, self.own = words[by_hash], leaf[by_hash], len(words)
+        self.mass = np.concatenate([counts[order], hashed]).astype(float)
+        self.hashed = np.uint64(len(hashed) - 1)
+        self.leaves = self.pad = len(self.mass)  # the pad stands beyond a text's ends
+        # a place for most words, so that few are searched
+        self.slots = np.uint64((1 << (4 * len(words) + 1).bit_length()) - 1)
+        self.place = np.zeros(int(self.slots) + 1, dtype=np.int32)
+        self.place[(self.words & self.slots).astype(np.int64)] = np.arange(len(words))
+
+    def leaves_of(self, hashes: np.ndarray) -> np.ndarray:
+        out = (self.own + (hashes & self.hashed).astype(np.int64)).astype(np.int32)
+        if self.own and len(hashes):
+            at = self.place[(hashes & self.slots).astype(np.int64)]
+            hit = self.words[at] == hashes
+            out[hit] = self.leaf[at[hit]]
+            rest = np.flatnonzero(~hit)
+            at = np.minimum(np.searchsorted(self.words, hashes[rest]), self.own - 1)
+            same = self.words[at] == hashes[rest]
+            out[rest[same]] = self.leaf[at[same]]
+        return out
+
+
+def vocabulary(counts: DataFrame, words: int = WORDS, least: int = MIN_COUNT, most: int = MAX_LEAVES) -> Vocabulary:
+    """Leaves from all counts: at most ``most`` + ``words`` of single words and ``most`` hashed ones."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(least, -(-total // most))
+    top = counts.orderBy(F.desc("n"), "w").limit(words)
+    own = counts.filter(F.col("n") >= least).unionByName(top).distinct().toPandas()
+    rare = max(total - int(own["n"].sum()), 0)
+    leaves = 1 << max((rare // least).bit_length() - 1, 0)
+    hashed = np.zeros(leaves)
+    # of words without a leaf of their own: those below ``least`` that are not in ``top``
+    rest = counts.filter(F.col("n") < least).join(top.select("w"), "w", "left_anti")
+    some = rest.groupBy(F.expr(f"w & {leaves - 1}").alias("leaf")).agg(F.sum("n").alias("n")).toPandas()
+    hashed[some["leaf"].to_numpy(dtype=np.int64)] = some["n"].to_numpy(dtype=float)
+    return Vocabulary(own["w"].to_numpy(dtype=np.int64).view(np.uint64), own["n"].to_numpy(dtype=np.int64), hashed)
+
+
+class Tree:
+    """Leaves in order below a complete binary tree; node 1 is the root, 2k and 2k + 1 are below k."""
+
+    def __init__(self, mass: np.ndarray):
+        self.depth = max(1, (len(mass) - 1).bit_length())
+        sums = np.zeros(2 << self.depth)
+        sums[1 << self.depth:(1 << self.depth) + len(mass)] = mass
+        for d in range(self.depth - 1, -1, -1):
+            k = np.arange(1 << d, 2 << d)
+            sums[k] = sums[2 * k] + sums[2 * k + 1]
+        logs = np.log(np.maximum(sums, 1e-9))
+        self.odds = (logs[1::2] - logs[0::2])[:1 << self.depth].clip(-30, 30).astype(np.float32)  # of a right turn, by node
+        levels = np.arange(self.depth, dtype=np.int32)
+        self.shift, self.first = self.depth - levels, (1 << levels).astype(np.int32)
+        top = min(TOP, self.depth)
+        self.columns = (1 << top) + FOLD * (self.depth - top)
+        self.mask = np.where(levels < top, (1 << top) - 1, FOLD - 1).astype(np.int32)
+        self.base = np.where(levels < top, 0, (1 << top) + FOLD * (levels - top)).astype(np.int32)
+
+    def turns(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """On the way to each leaf: signs of the turns (right is 1), their log odds, columns of their vectors."""
+        below = leaf[:, None].astype(np.int32) >> (self.shift - 1)
+        node = (below >> 1) + self.first
+        return (((below & 1) << 1) - 1).astype(np.float32), self.odds[node], (node & self.mask) + self.base
 
 
 STEPS = np.array([s for s in range(-SIDE, SIDE + 1) if s])
@@ -127,47 +142,55 @@ def padded(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np
 
 
 class Network:
-    def __init__(self, ids: int, classes: int, seed: int = 3):
+    """Weights: embeddings of the leaves (and the pad), hidden layer, vectors of the turns."""
+
+    def __init__(self, leaves: int, columns: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         put = lambda n, *s: (rng.normal(size=s) / np.sqrt(n)).astype(np.float32)
-        self.parts = [put(min(ids, WORDS + OTHER) + 1, ids + 1, EMBED), put(2 * SIDE * EMBED, 2 * SIDE * EMBED, HIDDEN),
-                      np.zeros(HIDDEN, np.float32), put(HIDDEN, HIDDEN, classes), np.zeros(classes, np.float32)]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for i, p in enumerate(self.parts):
+        self.parts = [put(EMBED, leaves + 1, EMBED), put(2 * SIDE * EMBED, 2 * SIDE * EMBED, HIDDEN),
+                      np.zeros(HIDDEN, np.float32), put(HIDDEN, HIDDEN, columns), np.zeros(columns, np.float32)]
+
+    def copy(self) -> Network:
+        out = Network.__new__(Network)
+        out.parts = [p.copy() for p in self.parts]
+        return out
+
+    def dense(self) -> np.ndarray:
+        """All but the embeddings, as rows of their width."""
+        flat = np.concatenate([p.ravel() for p in self.parts[1:]])
+        return np.pad(flat, (0, -len(flat) % EMBED)).reshape(-1, EMBED)
+
+    def load_dense(self, rows: np.ndarray) -> None:
+        at, flat = 0, rows.ravel()
+        for i, p in enumerate(self.parts[1:], 1):
             self.parts[i] = flat[at:at + p.size].reshape(p.shape).astype(np.float32)
             at += p.size
 
-    def forward(self, ctx: np.ndarray):
-        """Inputs, hidden layer and scores up to a shift of each row, safe to raise to a power."""
+    def forward(self, ctx: np.ndarray, turns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, hidden layer, places of the turns in a (positions, columns) array, and their signed log odds."""
         e, w, b, v, c = self.parts
+        sign, odds, column = turns
         x = e.take(ctx, axis=0).reshape(len(ctx), -1)
         h = np.tanh(x @ w + b)
         z = h @ v
         z += c
-        if (np.abs(c) + np.abs(v).sum(axis=0)).max() > 80:  # else no score can leave the range of floats
-            z -= z.max(axis=1, keepdims=True)
-        return x, h, z
+        at = column + (np.arange(len(ctx)) * len(c))[:, None]
+        return x, h, at, (z.ravel().take(at) + odds) * sign
 
-    def log_probs(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, z = self.forward(ctx)
-        out = z[np.arange(len(target)), target]
-        return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+    def log_probs(self, ctx: np.ndarray, turns) -> np.ndarray:
+        t = self.forward(ctx, turns)[3].astype(float)
+        return -np.logaddexp(0, -t).sum(axis=1)
 
-    def step(self, ctx: np.ndarray, target: np.ndarray, sums: list[np.ndarray], slot: np.ndarray, rate: float) -> None:
-        """One Adagrad step on a batch; ``slot``: an int per id, for use in here."""
+    def step(self, ctx: np.ndarray, turns, sums: list[np.ndarray], slot: np.ndarray, rate: float) -> None:
+        """One Adagrad step on a batch; ``slot``: an int per leaf, for use in here."""
         e, w, b, v, c = self.parts
-        x, h, z = self.forward(ctx)
-        g = np.exp(z, out=z)
-        g *= (1 / (g @ np.ones(g.shape[1], np.float32) * len(target)))[:, None]
-        g[np.arange(len(target)), target] -= np.float32(1 / len(target))
+        x, h, at, t = self.forward(ctx, turns)
+        g = np.zeros((len(ctx), len(c)), dtype=np.float32)
+        g.ravel()[at] = -turns[0] / (1 + np.exp(np.minimum(t, 80)))  # a position has each column once
         gh = (g @ v.T) * (1 - h * h)
         gx = gh @ w.T
         for p, s, d in zip(self.parts[1:], sums[1:], (x.T @ gh, gh.sum(0), h.T @ g, g.sum(0))):
+            d /= np.float32(len(ctx))
             s += d * d
             p -= rate * d / (np.sqrt(s) + 1e-6)
         # only the embeddings of words in the batch move: one place of each stands for all of its places
@@ -181,102 +204,162 @@ class Network:
         word, ge = flat[at], ge[at].astype(np.float32)
         s = sums[0][word] + ge * ge
         sums[0][word] = s
-        e[word] -= rate * ge / (np.sqrt(s) + 1e-6)
+        e[word] -= rate * ge / np.sqrt(s)
+
+
+class Counts:
+    """Logarithms of the counts of the most frequent words that have no leaf of their own."""
 
+    def __init__(self, words: np.ndarray, n: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.logs = words[order], np.log(n[order].astype(float))
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """Averages the partitions' networks, weighted by positions, each round."""
-    net = Network(vocab.pad, vocab.classes)
-    schema = "part int, positions long, block int, weights array<float>"
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each word's count where it is held (else 0), and whether it is."""
+        if not len(self.words):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        held = self.words[at] == hashes
+        return np.where(held, self.logs[at], 0.0), held
 
-    def fit(shared, turn: int):
+
+def held_counts(counts: DataFrame, vocab: Vocabulary, lookup: int = LOOKUP) -> Counts:
+    """Counts of at most ``lookup`` words, the most frequent of those below the vocabulary."""
+    least = vocab.mass[vocab.own - 1] if vocab.own else 1 << 62
+    rest = counts.filter(F.col("n") <= int(least))
+    sizes = rest.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toPandas()
+    sizes = sizes[sizes["words"].cumsum() <= lookup]
+    some = rest.filter(F.col("n") >= (int(sizes["n"].min()) if len(sizes) else 1 << 62)).toPandas()
+    return Counts(some["w"].to_numpy(dtype=np.int64).view(np.uint64), some["n"].to_numpy(dtype=np.int64))
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, known: Counts, shards: int) -> DataFrame:
+    """doc_id, the leaves of each text's words, ``share``: the sum of log(count of word / count of leaf)
+    but for the counts of the words in ``rare``, and the document's place in training (shard, turn)."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    shared = spark.sparkContext.broadcast((vocab, known))
+
+    def run(batch):
+        vocab, known = shared.value
+        log_mass = np.log(np.maximum(vocab.mass, 1))
+        for lo, hi, buf, offsets in T.slices(batch.column("text")):
+            hashes, first, _, _ = T.word_hashes(buf, offsets)
+            leaf = vocab.leaves_of(hashes)
+            other = np.flatnonzero(leaf >= vocab.own)
+            log, held = known.of(hashes[other])
+            share = np.zeros(len(hashes) + 1)
+            share[other + 1] = log - log_mass[leaf[other]]
+            share = np.cumsum(share)
+            more = other[~held]
+            yield {"doc_id": batch.column("doc_id")[lo:hi], "turn": batch.column("turn")[lo:hi],
+                   "leaves": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(leaf)),
+                   "share": share[first[1:]] - share[first[:-1]],
+                   "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(more, first).astype(np.int32)),
+                                                    pa.array(T.signed(hashes[more])))}
+
+    out = map_batches(docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("turn")),
+                      f"doc_id {kind}, turn long, leaves array<int>, share double, rare array<long>", run)
+    return out.withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int")).withColumn(
+        "row", F.monotonically_increasing_id())
+
+
+def chunks(column: pa.ListArray, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, values, offsets) of runs of lists of about ``most`` values; a longer list is its own."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values, lo = column.values.to_numpy(zero_copy_only=False), 0
+    while lo < len(column):
+        hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
+        hi = min(max(hi, lo + 1), len(column))
+        yield lo, hi, values[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        lo = hi
+
+
+def train(texts: DataFrame, vocab: Vocabulary, tree: Tree, shards: int, rounds: int = ROUNDS) -> Network:
+    """Each round trains every shard on all its positions and averages the weights over the shards
+    (an embedding: over the shards that hold its word)."""
+    net = Network(vocab.leaves, tree.columns)
+    names = [f"w{i}" for i in range(EMBED)]
+    schema = ", ".join(["id int"] + [f"{c} int" for c in names])
+    dealt = texts.select("shard", "turn", "leaves").filter(F.size("leaves") > 0).repartitionById(
+        shards, "shard").sortWithinPartitions("turn")
+
+    def fit(shared):
         def run(batches):
-            from pyspark import TaskContext
-            vocab, flat = shared.value
-            own = Network(vocab.pad, vocab.classes)
-            own.load(flat)
-            sums = [np.full(p.shape, 1e-4, dtype=np.float32) for p in own.parts]
+            vocab, tree, net = shared.value
+            own = net.copy()
+            sums = [np.full(p.shape, 0.1 if i == 0 else 1e-4, dtype=np.float32) for i, p in enumerate(own.parts)]
             slot = np.empty(vocab.pad + 1, dtype=np.int64)
-            seen = 0
+            met = np.zeros(vocab.pad + 1, dtype=bool)
             for batch in batches:
-                for _, _, buf, offsets in T.slices(batch.column("text")):
-                    hashes, first, _, _ = T.word_hashes(buf, offsets)
-                    ids = vocab.ids_of(hashes)
-                    target = vocab.class_of[ids]
-                    wide, place = padded(ids, first, vocab.pad)
-                    at = np.arange(turn % stride, len(ids), stride)
-                    for a in range(0, len(at), 512):
-                        now = at[a:a + 512]
-                        own.step(wide[place[now, None] + STEPS], target[now], sums, slot, RATE)
-                    seen += len(at)
-            out = own.flat()
-            blocks = [out[a:a + 1024] for a in range(0, len(out), 1024)]
-            n = len(blocks) if seen else 0
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([TaskContext.get().partitionId()] * n, pa.int32()),
-                "positions": pa.array([seen] * n, pa.int64()), "block": pa.array(range(n), pa.int32()),
-                "weights": pa.array(blocks[:n], pa.list_(pa.float32()))})
+                for _, _, leaf, first in chunks(batch.column("leaves")):
+                    wide, place = padded(leaf, first, vocab.pad)
+                    met[wide] = True
+                    for a in range(0, len(leaf), BATCH):
+                        now = slice(a, a + BATCH)
+                        own.step(wide[place[now, None] + STEPS], tree.turns(leaf[now]), sums, slot, RATE)
+            if met.any():
+                word, dense = np.flatnonzero(met), own.dense()
+                ids = np.concatenate([word, -1 - np.arange(len(dense))]).astype(np.int32)
+                rows = np.concatenate([own.parts[0][word], dense]).clip(-100, 100)
+                rows = np.rint(rows * UNIT).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.array(rows[:, i].copy()) for i in range(EMBED)],
+                                                 names=["id"] + names)
         return run
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        n = pdf["positions"].to_numpy(dtype=float)
-        w = np.stack(pdf["weights"].to_list()).astype(float)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "positions": [int(n.sum())],
-                             "block": [int(pdf["block"].iloc[0])],
-                             "weights": [((n @ w) / n.sum()).astype(np.float32)]})
-
-    for turn in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat()))
-        local = docs.select("text").mapInArrow(fit(shared, turn), schema)
-        # in two levels, so that no task gathers a row from every partition
-        some = local.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(
-            lambda key, pdf: merge(pdf), schema)
-        rows = some.groupBy("block").applyInPandas(merge, schema).toPandas().sort_values("block")  # one small model
-        if len(rows):
-            net.load(np.concatenate(rows["weights"].to_list()))
+    for _ in range(rounds):
+        shared = texts.sparkSession.sparkContext.broadcast((vocab, tree, net))
+        rows = dealt.select("leaves").mapInArrow(fit(shared), schema).groupBy("id").agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).toPandas()  # one row per leaf
+        ids = rows["id"].to_numpy()
+        means = (rows[names].to_numpy(dtype=float) / rows["n"].to_numpy(dtype=float)[:, None] / UNIT).astype(np.float32)
+        word = ids >= 0
+        net = net.copy()
+        net.parts[0][ids[word]] = means[word]
+        dense = net.dense()
+        dense[-1 - ids[~word]] = means[~word]
+        net.load_dense(dense)
     return net
 
 
 def score(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS, scratch: Written | None = None,
-          least: int = MIN_COUNT, lookup: int = LOOKUP) -> DataFrame:
+          least: int = MIN_COUNT, lookup: int = LOOKUP, shard: int = SHARD) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood of every document.
 
     Null and empty texts have 0 tokens, log-likelihood 0 and a null mean.
-    Repeated rows are scored each; extra columns are ignored.
+    Repeated rows are trained and scored each; extra columns are ignored. The
+    model is the same however the rows are partitioned (scores then differ by
+    the rounding of floats only).
     """
     scratch = scratch or Written(docs.sparkSession, "pseudo")
     counts = scratch.put(word_counts(docs), "counts")
     vocab = vocabulary(counts, words, least)
-    net = train(docs, vocab, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net, held_counts(counts, vocab, lookup)))
+    tree = Tree(vocab.mass)
+    shards = int(vocab.mass.sum()) // shard + 1
+    texts = scratch.put(encode(docs, vocab, held_counts(counts, vocab, lookup), shards), "texts")
+    net = train(texts, vocab, tree, shards, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.pad, tree, net))
 
     def run(batch):
-        vocab, net, known = shared.value
-        n, total, rare = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows), []
-        for lo, hi, buf, offsets in T.slices(batch.column("text")):
-            hashes, first, _, _ = T.word_hashes(buf, offsets)
-            ids = vocab.ids_of(hashes)
-            target = vocab.class_of[ids]
-            wide, place = padded(ids, first, vocab.pad)
-            logp, more = known.within(hashes, target, vocab.own)
-            for a in range(0, len(ids), BATCH):
-                now = slice(a, a + BATCH)
-                logp[now] += net.log_probs(wide[place[now, None] + STEPS], target[now])
-            sums = np.concatenate([[0.0], np.cumsum(logp)])
-            n[lo:hi], total[lo:hi] = np.diff(first), sums[first[1:]] - sums[first[:-1]]
-            at = np.concatenate([[0], np.cumsum(more)])[first]
-            rare += np.split(T.signed(hashes[more]), at[1:-1])
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "log_likelihood": total,
-                "rare": pa.array(rare, pa.list_(pa.int64()))}
+        pad, tree, net = shared.value
+        total = batch.column("share").to_numpy().copy()
+        n = np.zeros(batch.num_rows, dtype=np.int64)
+        for lo, hi, leaf, first in chunks(batch.column("leaves")):
+            wide, place = padded(leaf, first, pad)
+            sums = np.zeros(len(leaf) + 1)
+            for a in range(0, len(leaf), SCORE_BATCH):
+                now = slice(a, a + SCORE_BATCH)
+                sums[1:][now] = net.log_probs(wide[place[now, None] + STEPS], tree.turns(leaf[now]))
+            sums = np.cumsum(sums)
+            n[lo:hi] = np.diff(first)
+            total[lo:hi] += sums[first[1:]] - sums[first[:-1]]
+        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": n, "log_likelihood": total}
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = map_batches(docs.select("doc_id", "text"),
-                      f"doc_id {kind}, n_tokens long, log_likelihood double, rare array<long>", run)
-    out = scratch.put(out.withColumn("row", F.monotonically_increasing_id()), "scored")
+    out = map_batches(texts.select("row", "doc_id", "leaves", "share"),
+                      f"row long, doc_id {kind}, n_tokens long, log_likelihood double", run)
     # the counts of words that no task holds; once is log 1 = 0
-    more = (out.select("row", F.explode("rare").alias("w")).join(counts.filter("n > 1"), "w")
+    more = (texts.select("row", F.explode("rare").alias("w")).join(counts.filter("n > 1"), "w")
             .groupBy("row").agg(F.sum(F.log("n")).alias("more")))
-    out = out.drop("rare").join(more, "row", "left").withColumn(
+    out = out.join(more, "row", "left").withColumn(
         "log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).drop("row", "more")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

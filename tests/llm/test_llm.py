@@ -417,38 +417,144 @@ def test_pseudo_likelihood(spark, empty):
 
 
 def test_pseudo_scores_every_word_by_its_own_count(spark):
-    from roundhouse.llm import text as T
-    hashed = collections.defaultdict(list)
-    for k in range(200):
-        w = "r%d" % k
-        h, _, _, _ = T.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))
-        hashed[int(h[0]) % pseudo.OTHER].append(w)
-    often, some, once, other = max(hashed.values(), key=len)[:4]  # words of one hashed class
-    rows = [(i, "a b " * 10 + often + " a b") for i in range(40)] + [(100 + i, "a b " * 10 + some + " a b") for i in range(5)]
-    rows += [(200, "a b " * 10 + once + " a b"), (201, "a b " * 10 + once + " a b " + other)]
+    rows = [(i, "a b " * 10 + "often a b") for i in range(40)] + [(100 + i, "a b " * 10 + "some a b") for i in range(5)]
+    rows += [(200, "a b " * 10 + "once a b"), (201, "a b " * 10 + "another a b other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for lookup in (pseudo.LOOKUP, 1, 0):  # held by the tasks, or joined
         got = {r["doc_id"]: r["log_likelihood"] for r in pseudo.score(df, words=2, least=1000, lookup=lookup).collect()}
-        assert abs(got[0] - got[200] - np.log(40 / 2)) < 1e-3
-        assert abs(got[100] - got[200] - np.log(5 / 2)) < 1e-3
+        assert abs(got[0] - got[200] - np.log(40)) < 1e-3
+        assert abs(got[100] - got[200] - np.log(5)) < 1e-3
+
+
+def _pseudo_words(n):
+    """The words of one text and of n rare ones, most frequent first, with their counts."""
+    return {"w%d" % k: 1 + 3000 // (k + 1) for k in range(n)}
+
+
+def test_pseudo_leaves_share_the_corpus_out(spark):
+    """Whatever its weights, the network's probabilities of all words sum to 1; untrained turns give every word its share."""
+    from roundhouse.llm import text as T
+    words = _pseudo_words(700)
+    df = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(words.items())], "doc_id long, text string")
     counts = pseudo.word_counts(df)
-    vocab = pseudo.vocabulary(counts, 2, 1000)
-    held = pseudo.held_counts(counts, vocab)
-    words = np.array([r["w"] for r in counts.collect()], dtype=np.int64).view(np.uint64)
-    classes = vocab.class_of[vocab.ids_of(words)]
-    within, rare = held.within(words, classes, vocab.own)
-    assert not rare.any()
-    assert np.allclose(np.bincount(classes, weights=np.exp(within))[np.unique(classes)], 1)
+    vocab = pseudo.vocabulary(counts, words=5, least=64)
+    tree = pseudo.Tree(vocab.mass)
+    assert vocab.own < 700 and vocab.mass.sum() == sum(words.values()) and len(vocab.mass) > vocab.own + 1
+    every = pseudo.held_counts(counts, vocab)
+    hashes = []
+    for w in words:
+        hashes.append(T.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    hashes = np.array(hashes, dtype=np.uint64)
+    leaf = vocab.leaves_of(hashes)
+    assert sorted(leaf[leaf < vocab.own]) == list(range(vocab.own))
+    log, held = every.of(hashes)
+    n = np.array(list(words.values()), dtype=float)
+    assert held[leaf >= vocab.own].all()
+    assert np.allclose(np.where(leaf < vocab.own, vocab.mass[leaf], np.exp(log)), n)
+    within = np.log(n) - np.log(vocab.mass[leaf])
+    net = pseudo.Network(vocab.leaves, tree.columns)
+    rnd = np.random.default_rng(1)
+    for scale in (0.0, 1.0, 3.0):
+        net.parts[3] = (scale * rnd.normal(size=net.parts[3].shape)).astype(np.float32)
+        net.parts[4] = (scale * rnd.normal(size=net.parts[4].shape)).astype(np.float32)
+        ctx = np.repeat(rnd.integers(0, vocab.leaves, size=(1, 4)), len(leaf), axis=0)
+        logp = net.log_probs(ctx, tree.turns(leaf)) + within
+        assert abs(np.exp(logp).sum() - 1) < 1e-4
+        if scale == 0:
+            assert np.allclose(logp, np.log(n / n.sum()), atol=1e-4)
+            first = logp
+        else:  # both sides move words of every frequency, those of hashed leaves too
+            moved = np.abs(logp - first)
+            assert (moved > 0.05).mean() > 0.8 and (moved[leaf >= vocab.own] > 0.05).mean() > 0.8
+
+
+def test_pseudo_likelihood_of_a_given_network(spark):
+    """Sums over positions of the turns, word by word in plain Python."""
+    import math
+    mass = np.array([50, 30, 9, 7, 3], dtype=float)
+    tree = pseudo.Tree(mass)
+    net = pseudo.Network(len(mass), tree.columns, seed=5)
+    e, w, b, v, c = [p.astype(float) for p in net.parts]
+    text, pad = [0, 3, 1, 4, 0, 2], len(mass)
+    want = 0.0
+    for i, leaf in enumerate(text):
+        sides = [text[i + s] if 0 <= i + s < len(text) else pad for s in (-2, -1, 1, 2)]
+        h = np.tanh(np.concatenate([e[k] for k in sides]) @ w + b)
+        lo, hi = 0, 8  # leaves below the node
+        for d in range(3):
+            mid, node = (lo + hi) // 2, (1 << d) + lo * (1 << d) // 8
+            odds = math.log(mass[mid:hi].sum() or 1e-9) - math.log(mass[lo:mid].sum())
+            z = min(max(odds, -30), 30) + h @ v[:, node] + c[node]
+            right = leaf >= mid
+            want -= math.log1p(math.exp(-z if right else z))
+            lo, hi = (mid, hi) if right else (lo, mid)
+    ids, first = np.array(text, dtype=np.int32), np.array([0, len(text)])
+    wide, place = pseudo.padded(ids, first, pad)
+    got = net.log_probs(wide[place[:, None] + pseudo.STEPS], tree.turns(ids)).sum()
+    assert abs(got - want) < 1e-4
+
+
+def test_pseudo_gradient_lowers_the_loss_everywhere():
+    """One step's weights move against the numeric gradient of each part."""
+    rnd = np.random.default_rng(4)
+    mass = rnd.integers(1, 90, size=300).astype(float)
+    tree = pseudo.Tree(mass)
+    net = pseudo.Network(300, tree.columns)
+    ctx, turns = rnd.integers(0, 301, size=(64, 4)), tree.turns(rnd.integers(0, 300, size=64))
+    after = net.copy()
+    after.step(ctx, turns, [np.full(p.shape, 1e6, dtype=np.float32) for p in net.parts], np.empty(301, np.int64), 1e3)
+    for i, part in enumerate(net.parts):  # with large sums the step is the gradient
+        moved = (part - after.parts[i]).ravel()
+        for k in np.argsort(-np.abs(moved))[:5]:
+            loss = []
+            for d in (-1e-2, 1e-2):
+                other = net.copy()
+                other.parts[i] = other.parts[i].copy()
+                other.parts[i].ravel()[k] += d
+                loss.append(-other.log_probs(ctx, turns).sum())
+            numeric = (loss[1] - loss[0]) / 2e-2 / (1 if i == 0 else 64)
+            assert abs(numeric - moved[k]) < 0.05 * abs(numeric) + 1e-3
+
+
+def test_pseudo_model_does_not_depend_on_partitions(spark):
+    rnd = random.Random(8)
+    words = ["w%d" % k for k in range(60)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 80)))) for i in range(200)] + [(7, "w1 w2"), (None, "w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [sorted((r["doc_id"] or -1, r["n_tokens"], r["log_likelihood"]) for r in pseudo.score(
+        df.repartition(n, "text"), words=8, least=20, shard=1000).collect()) for n in (1, 6)]
+    assert [x[:2] for x in made[0]] == [x[:2] for x in made[1]]
+    assert max(abs(x[2] - y[2]) for x, y in zip(*made)) < 1e-3
+
+
+def test_pseudo_order_of_words_counts(spark):
+    """Texts score above themselves shuffled where neighbours tell a word."""
+    rnd = random.Random(3)
+    follows = {k: [(7 * k + j) % 100 for j in (1, 2)] for k in range(100)}
+    rows = []
+    for i in range(3000):
+        k, t = rnd.randrange(100), []
+        for _ in range(60):
+            t.append("w%d" % k)
+            k = rnd.choice(follows[k])
+        rows.append((i, " ".join(t)))
+    for i in range(200):
+        t = rows[i][1].split()
+        rnd.shuffle(t)
+        rows.append((10_000 + i, " ".join(t)))
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudo.score(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[i] > got[10_000 + i] for i in range(200)]) >= 0.9
 
 
 def test_pseudo_vocabulary_grows_with_the_corpus(spark):
     def size(texts, words):
         rows = [(i, " ".join("w%d" % k for k in range(words))) for i in range(texts)]
-        vocab = pseudo.vocabulary(pseudo.word_counts(spark.createDataFrame(rows, "doc_id long, text string")))
-        assert vocab.own == pseudo.WORDS
-        return len(vocab.words)
-    assert size(pseudo.MIN_COUNT, 300) == 300 and size(pseudo.MIN_COUNT, 3000) == 3000
-    assert size(pseudo.MIN_COUNT - 1, 300) == pseudo.WORDS
+        return pseudo.vocabulary(pseudo.word_counts(spark.createDataFrame(rows, "doc_id long, text string")), words=112)
+    assert size(pseudo.MIN_COUNT, 300).own == 300 and size(pseudo.MIN_COUNT, 3000).own == 3000
+    small, large = size(pseudo.MIN_COUNT - 1, 300), size(pseudo.MIN_COUNT - 1, 3000)
+    assert small.own == large.own == 112
+    assert large.leaves - large.own == 2048 and small.leaves - small.own == 128  # leaves of rarer words
 
 
 def test_pseudo_trains_on_every_position(spark):
