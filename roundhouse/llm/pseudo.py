@@ -17,7 +17,10 @@ vocabulary is needed, neither in training nor in scoring.
 The texts are encoded once. Documents are dealt to shards by a hash of their
 id and text and trained in the order of that hash, in numpy; the shards'
 weights are summed by Spark as integers, row by row. So the model does not
-depend on how the input is partitioned.
+depend on how the input is partitioned. The most frequent leaves, as many as
+the square root of the corpus, have an embedding each; the others share. With
+the square root of the corpus as the number of shards, too, the rows that all
+shards return grow in proportion to the corpus.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ WORDS = 4096             # so many words are leaves of their own in a small corp
 MIN_COUNT = 256          # occurrences of a leaf, at least
 MAX_LEAVES = 1 << 20     # beyond MIN_COUNT * MAX_LEAVES words of text, a leaf's occurrences grow instead
 LOOKUP = 1 << 18         # counts held by each task; those of rarer words are joined (same result)
-SHARD = 1 << 21          # words of a training shard
+SPREAD = 256             # the square root of the words of a corpus over the number of its training shards
 CHUNK = 1 << 17          # words held at once
 SIDE, EMBED, HIDDEN = 2, 8, 16
 TOP, FOLD = 5, 4         # every turn of TOP levels has a vector, lower levels FOLD vectors each
@@ -67,7 +70,11 @@ class Vocabulary:
         self.words, self.leaf, self.own = words[by_hash], leaf[by_hash], len(words)
         self.mass = np.concatenate([counts[order], hashed]).astype(float)
         self.hashed = np.uint64(len(hashed) - 1)
-        self.leaves = self.pad = len(self.mass)  # the pad stands beyond a text's ends
+        self.leaves = len(self.mass)
+        # embeddings: of the most frequent leaves, shared by the others, and the pad beyond a text's ends
+        self.known = min(self.leaves, max(WORDS, int(self.mass.sum() ** 0.5)))
+        self.shared = min(self.leaves - self.known, self.known // 4)
+        self.pad = self.known + self.shared
         # a place for most words, so that few are searched
         self.slots = np.uint64((1 << (4 * len(words) + 1).bit_length()) - 1)
         self.place = np.zeros(int(self.slots) + 1, dtype=np.int32)
@@ -86,6 +93,13 @@ class Vocabulary:
         return out
 
 
+    def seen_as(self, leaf: np.ndarray) -> np.ndarray:
+        """The embedding of each leaf."""
+        if not self.shared:
+            return leaf
+        return np.where(leaf < self.known, leaf, self.known + leaf % self.shared)
+
+
 def vocabulary(counts: DataFrame, words: int = WORDS, least: int = MIN_COUNT, most: int = MAX_LEAVES) -> Vocabulary:
     """Leaves from all counts: at most ``most`` + ``words`` of single words and ``most`` hashed ones."""
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -142,12 +156,12 @@ def padded(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np
 
 
 class Network:
-    """Weights: embeddings of the leaves (and the pad), hidden layer, vectors of the turns."""
+    """Weights: embeddings (the last of the pad), hidden layer, vectors of the turns."""
 
-    def __init__(self, leaves: int, columns: int, seed: int = 3):
+    def __init__(self, pad: int, columns: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         put = lambda n, *s: (rng.normal(size=s) / np.sqrt(n)).astype(np.float32)
-        self.parts = [put(EMBED, leaves + 1, EMBED), put(2 * SIDE * EMBED, 2 * SIDE * EMBED, HIDDEN),
+        self.parts = [put(EMBED, pad + 1, EMBED), put(2 * SIDE * EMBED, 2 * SIDE * EMBED, HIDDEN),
                       np.zeros(HIDDEN, np.float32), put(HIDDEN, HIDDEN, columns), np.zeros(columns, np.float32)]
 
     def copy(self) -> Network:
@@ -178,18 +192,22 @@ class Network:
         return x, h, at, (z.ravel().take(at) + odds) * sign
 
     def log_probs(self, ctx: np.ndarray, turns) -> np.ndarray:
-        t = self.forward(ctx, turns)[3].astype(float)
-        return -np.logaddexp(0, -t).sum(axis=1)
+        t = self.forward(ctx, turns)[3]
+        low = np.minimum(t, -80) + 80  # so far below, log p is the log odds themselves
+        u = np.exp(-np.maximum(t, -80))
+        u += 1
+        return low.sum(axis=1, dtype=float) - np.log(u, out=u) @ np.ones(t.shape[1], np.float32)
 
     def step(self, ctx: np.ndarray, turns, sums: list[np.ndarray], slot: np.ndarray, rate: float) -> None:
-        """One Adagrad step on a batch; ``slot``: an int per leaf, for use in here."""
+        """One Adagrad step on a batch; ``slot``: an int per embedding, for use in here."""
         e, w, b, v, c = self.parts
         x, h, at, t = self.forward(ctx, turns)
         g = np.zeros((len(ctx), len(c)), dtype=np.float32)
         g.ravel()[at] = -turns[0] / (1 + np.exp(np.minimum(t, 80)))  # a position has each column once
         gh = (g @ v.T) * (1 - h * h)
         gx = gh @ w.T
-        for p, s, d in zip(self.parts[1:], sums[1:], (x.T @ gh, gh.sum(0), h.T @ g, g.sum(0))):
+        ones = np.ones(len(ctx), np.float32)
+        for p, s, d in zip(self.parts[1:], sums[1:], (x.T @ gh, ones @ gh, h.T @ g, ones @ g)):
             d /= np.float32(len(ctx))
             s += d * d
             p -= rate * d / (np.sqrt(s) + 1e-6)
@@ -276,8 +294,8 @@ def chunks(column: pa.ListArray, most: int = CHUNK) -> Iterator[tuple[int, int,
 
 def train(texts: DataFrame, vocab: Vocabulary, tree: Tree, shards: int, rounds: int = ROUNDS) -> Network:
     """Each round trains every shard on all its positions and averages the weights over the shards
-    (an embedding: over the shards that hold its word)."""
-    net = Network(vocab.leaves, tree.columns)
+    (an embedding: over the shards that hold one of its words)."""
+    net = Network(vocab.pad, tree.columns)
     names = [f"w{i}" for i in range(EMBED)]
     schema = ", ".join(["id int"] + [f"{c} int" for c in names])
     dealt = texts.select("shard", "turn", "leaves").filter(F.size("leaves") > 0).repartitionById(
@@ -292,7 +310,7 @@ def train(texts: DataFrame, vocab: Vocabulary, tree: Tree, shards: int, rounds:
             met = np.zeros(vocab.pad + 1, dtype=bool)
             for batch in batches:
                 for _, _, leaf, first in chunks(batch.column("leaves")):
-                    wide, place = padded(leaf, first, vocab.pad)
+                    wide, place = padded(vocab.seen_as(leaf), first, vocab.pad)
                     met[wide] = True
                     for a in range(0, len(leaf), BATCH):
                         now = slice(a, a + BATCH)
@@ -309,7 +327,7 @@ def train(texts: DataFrame, vocab: Vocabulary, tree: Tree, shards: int, rounds:
     for _ in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((vocab, tree, net))
         rows = dealt.select("leaves").mapInArrow(fit(shared), schema).groupBy("id").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).toPandas()  # one row per leaf
+            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).toPandas()  # one row per embedding
         ids = rows["id"].to_numpy()
         means = (rows[names].to_numpy(dtype=float) / rows["n"].to_numpy(dtype=float)[:, None] / UNIT).astype(np.float32)
         word = ids >= 0
@@ -322,7 +340,7 @@ def train(texts: DataFrame, vocab: Vocabulary, tree: Tree, shards: int, rounds:
 
 
 def score(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS, scratch: Written | None = None,
-          least: int = MIN_COUNT, lookup: int = LOOKUP, shard: int = SHARD) -> DataFrame:
+          least: int = MIN_COUNT, lookup: int = LOOKUP, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood of every document.
 
     Null and empty texts have 0 tokens, log-likelihood 0 and a null mean.
@@ -334,17 +352,17 @@ def score(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS, scratch: Wr
     counts = scratch.put(word_counts(docs), "counts")
     vocab = vocabulary(counts, words, least)
     tree = Tree(vocab.mass)
-    shards = int(vocab.mass.sum()) // shard + 1
+    shards = int(vocab.mass.sum() ** 0.5) // spread + 1
     texts = scratch.put(encode(docs, vocab, held_counts(counts, vocab, lookup), shards), "texts")
     net = train(texts, vocab, tree, shards, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab.pad, tree, net))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, tree, net))
 
     def run(batch):
-        pad, tree, net = shared.value
+        vocab, tree, net = shared.value
         total = batch.column("share").to_numpy().copy()
         n = np.zeros(batch.num_rows, dtype=np.int64)
         for lo, hi, leaf, first in chunks(batch.column("leaves")):
-            wide, place = padded(leaf, first, pad)
+            wide, place = padded(vocab.seen_as(leaf), first, vocab.pad)
             sums = np.zeros(len(leaf) + 1)
             for a in range(0, len(leaf), SCORE_BATCH):
                 now = slice(a, a + SCORE_BATCH)

@@ -452,12 +452,12 @@ def test_pseudo_leaves_share_the_corpus_out(spark):
     assert held[leaf >= vocab.own].all()
     assert np.allclose(np.where(leaf < vocab.own, vocab.mass[leaf], np.exp(log)), n)
     within = np.log(n) - np.log(vocab.mass[leaf])
-    net = pseudo.Network(vocab.leaves, tree.columns)
+    net = pseudo.Network(vocab.pad, tree.columns)
     rnd = np.random.default_rng(1)
     for scale in (0.0, 1.0, 3.0):
         net.parts[3] = (scale * rnd.normal(size=net.parts[3].shape)).astype(np.float32)
         net.parts[4] = (scale * rnd.normal(size=net.parts[4].shape)).astype(np.float32)
-        ctx = np.repeat(rnd.integers(0, vocab.leaves, size=(1, 4)), len(leaf), axis=0)
+        ctx = np.repeat(rnd.integers(0, vocab.pad + 1, size=(1, 4)), len(leaf), axis=0)
         logp = net.log_probs(ctx, tree.turns(leaf)) + within
         assert abs(np.exp(logp).sum() - 1) < 1e-4
         if scale == 0:
@@ -522,7 +522,7 @@ def test_pseudo_model_does_not_depend_on_partitions(spark):
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 80)))) for i in range(200)] + [(7, "w1 w2"), (None, "w3")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     made = [sorted((r["doc_id"] or -1, r["n_tokens"], r["log_likelihood"]) for r in pseudo.score(
-        df.repartition(n, "text"), words=8, least=20, shard=1000).collect()) for n in (1, 6)]
+        df.repartition(n, "text"), words=8, least=20, spread=20).collect()) for n in (1, 6)]
     assert [x[:2] for x in made[0]] == [x[:2] for x in made[1]]
     assert max(abs(x[2] - y[2]) for x, y in zip(*made)) < 1e-3
 
