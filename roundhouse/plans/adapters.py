@@ -71,22 +71,29 @@ def order_facts(src: TableSource) -> DataFrame:
     )
 
 
-def _match_base(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
+def match_lines(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
+    """What matches and economy rows are made of (see ``with_teams``), as narrow as they travel."""
     o = (src.orders if orders is None else orders).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = src.customer.select("c_custkey", "c_nationkey")
-    n1 = src.nation.select(F.col("n_nationkey").alias("_n1"), F.col("n_name").alias("team_1"))
-    n2 = src.nation.select(F.col("n_nationkey").alias("_n2"), F.col("n_name").alias("team_2"))
-    j = o.join(c, o.o_custkey == c.c_custkey)
-    # nation has a fixed 25 rows: AQE broadcasts it from its measured size
-    j = j.join(n1, j.c_nationkey == n1._n1)
-    j = j.join(n2, ((j.c_nationkey + 1 + j.o_orderkey % 24) % 25) == n2._n2)
-    return j.select(
+    return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("match_id"),
         event_of(F.col("o_custkey")).alias("event_id"),
         F.col("o_orderdate").cast("date").alias("match_date"),
-        "team_1", "team_2",
-        _best_of_text(F.col("o_orderpriority")).alias("best_of_text"),
-    )
+        _best_of_text(F.col("o_orderpriority")).alias("best_of_text"), "c_nationkey")
+
+
+def with_teams(lines: DataFrame, src: TableSource) -> DataFrame:
+    """The two teams of ``match_lines``."""
+    n1 = src.nation.select(F.col("n_nationkey").alias("_n1"), F.col("n_name").alias("team_1"))
+    n2 = src.nation.select(F.col("n_nationkey").alias("_n2"), F.col("n_name").alias("team_2"))
+    # nation has a fixed 25 rows: AQE broadcasts it from its measured size
+    j = lines.join(n1, F.col("c_nationkey") == F.col("_n1"))
+    j = j.join(n2, ((F.col("c_nationkey") + 1 + F.col("match_id") % 24) % 25) == F.col("_n2"))
+    return j.drop("c_nationkey", "_n1", "_n2")
+
+
+def _match_base(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
+    return with_teams(match_lines(src, orders), src)
 
 
 def matches(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
@@ -99,9 +106,13 @@ def matches(src: TableSource, orders: DataFrame | None = None) -> DataFrame:
 
 def economy(src: TableSource) -> DataFrame:
     """economy / economy_stage: one row per match with the two pistol-round winners."""
-    b = _match_base(src)
+    return economy_columns(match_lines(src), src)
+
+
+def economy_columns(lines: DataFrame, src: TableSource) -> DataFrame:
+    """economy from ``match_lines``."""
     k = F.col("match_id")
-    return b.select(
+    return with_teams(lines, src).select(
         "match_id", "event_id", F.col("match_date").alias("date"), "team_1", "team_2",
         F.col("best_of_text").alias("best_of"),
         _round_flag(k % 3).alias("1_winner"),
@@ -129,6 +140,11 @@ def results(src: TableSource, with_map: bool = True, detail: bool = False) -> Da
     exactly the same rows without the lineitem-sized join for questions that
     never look at the map.
     """
+    return result_columns(result_lines(src, with_map, detail), detail)
+
+
+def result_lines(src: TableSource, with_map: bool = True, detail: bool = False) -> DataFrame:
+    """What results are made of (see ``result_columns``), as narrow as they travel."""
     li = src.lineitem.select("l_orderkey", "l_partkey", "l_quantity", *["l_suppkey"] * detail)
     o = src.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     j = li
@@ -138,8 +154,6 @@ def results(src: TableSource, with_map: bool = True, detail: bool = False) -> Da
     # orders last: the output stays partitioned by the order key, which is the
     # key every later join with matches uses
     j = j.join(o, F.col("l_orderkey") == o.o_orderkey)
-    r1 = (_whole("l_quantity") % 20).cast("int")
-    r2 = (F.col("l_partkey") % 20).cast("int")
     cols = [F.col("l_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id")]
     if with_map:
         bucket = F.col("l_partkey") % 23
@@ -147,45 +161,60 @@ def results(src: TableSource, with_map: bool = True, detail: bool = False) -> Da
                    .when(bucket == 2, F.lit(MAP_NAMES[2])).when(bucket == 3, F.lit(None).cast("string"))
                    .otherwise(F.col("p_type")))
         cols.append(map_col.alias("map"))
-    cols += [r1.alias("result_1"), r2.alias("result_2"), derive_winner(r1, r2).alias("map_winner"),
-             _winner_of_status(F.col("o_orderstatus")).alias("match_winner")]
+    return j.select(*cols, (_whole("l_quantity") % 20).cast("int").alias("result_1"),
+                    _winner_of_status(F.col("o_orderstatus")).alias("match_winner"),
+                    "l_partkey", *["l_suppkey"] * detail)
+
+
+def result_columns(lines: DataFrame, detail: bool = False, keep: tuple = ()) -> DataFrame:
+    """results from ``result_lines``; the columns named in ``keep`` are passed through."""
+    r1, r2 = F.col("result_1"), (F.col("l_partkey") % 20).cast("int")
+    cols = ["match_id", "event_id", *["map"] * ("map" in lines.columns), "result_1", r2.alias("result_2"),
+            derive_winner(r1, r2).alias("map_winner"), "match_winner"]
     if detail:
         supplier, part = F.col("l_suppkey"), F.col("l_partkey")
         more = {"starting_ct": supplier % 2 + 1, "ct_1": F.floor(r1 / 2), "t_1": r1 - F.floor(r1 / 2),
                 "ct_2": F.floor(r2 / 2), "t_2": r2 - F.floor(r2 / 2), "rank_1": supplier % 100 + 1,
                 "rank_2": part % 100 + 1, "map_wins_1": supplier % 3, "map_wins_2": part % 3}
         cols += [x.cast("int").alias(name) for name, x in more.items()]
-    return j.select(*cols)
+    return lines.select(*cols, *keep)
 
 
 def players_stage(src: TableSource, detail: bool = False) -> DataFrame:
     """players_stage: one player line per lineitem, the date column still named ``date``;
     with ``detail`` also opponent, country, adr and kast, which no question reads."""
+    return player_columns(player_lines(src), src, detail)
+
+
+def player_lines(src: TableSource) -> DataFrame:
+    """What player rows are made of (see ``player_columns``), as narrow as they travel."""
     li = src.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     o = src.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     s = src.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    j = li.join(s, li.l_suppkey == s.s_suppkey).join(o, F.col("l_orderkey") == o.o_orderkey)
+    return j.select(F.col("l_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id"),
+                    F.col("o_orderdate").cast("date").alias("date"), F.col("s_name").alias("player_name"),
+                    "s_nationkey", "l_partkey", _whole("l_quantity").cast("int").alias("kills"))
+
+
+def player_columns(lines: DataFrame, src: TableSource, detail: bool = False) -> DataFrame:
+    """players_stage from ``player_lines``: only region (5 rows) and nation (25) are joined."""
     n = src.nation.select("n_nationkey", "n_name", *["n_regionkey"] * detail)
-    j = (li.join(s, li.l_suppkey == s.s_suppkey)
-         .join(n, F.col("s_nationkey") == n.n_nationkey)
-         .join(o, F.col("l_orderkey") == o.o_orderkey))
-    kills = _whole("l_quantity").cast("int")
-    deaths = (F.col("l_partkey") % 30).cast("int")
+    j = lines.join(n, F.col("s_nationkey") == n.n_nationkey)
+    kills, deaths = F.col("kills"), (F.col("l_partkey") % 30).cast("int")
     rating = ((F.col("l_partkey") % 200).cast("decimal(4,0)") / 100).cast("decimal(4,2)")
     more = []
-    if detail:  # region has 5 rows, nation 25
+    if detail:
         other = src.nation.select(F.col("n_nationkey").alias("_other"), F.col("n_name").alias("opponent"))
         region = src.region.select("r_regionkey", F.col("r_name").alias("country"))
         j = (j.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-             .join(other, (F.col("s_nationkey") + 1 + F.col("l_orderkey") % 24) % 25 == F.col("_other")))
+             .join(other, (F.col("s_nationkey") + 1 + F.col("match_id") % 24) % 25 == F.col("_other")))
         tenths = {"adr": 1500, "kast": 1000}
         more = ["opponent", "country", *[
             ((F.col("l_partkey") % top).cast("decimal(5,0)") / 10).cast("decimal(6,2)").alias(name)
             for name, top in tenths.items()]]
     return j.select(
-        F.col("l_orderkey").alias("match_id"),
-        event_of(F.col("o_custkey")).alias("event_id"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.col("s_name").alias("player_name"),
+        "match_id", "event_id", "date", "player_name",
         F.col("n_name").alias("team"),
         kills.alias("kills"), deaths.alias("deaths"),
         (kills - deaths).alias("kddiff"),
@@ -210,16 +239,25 @@ def event_table(src: TableSource) -> DataFrame:
 
 def picks_stage(src: TableSource) -> DataFrame:
     """picks: veto columns cycle through 'pool map 1' .. 'pool map 7' by o_orderkey."""
-    o = src.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    return pick_columns(pick_lines(src))
+
+
+def pick_lines(src: TableSource) -> DataFrame:
+    """What picks are made of: rows of one match are in the order of their picks."""
+    o = src.orders
+    return o.select(F.col("o_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id"),
+                    F.col("o_orderpriority").alias("system"))
+
+
+def pick_columns(lines: DataFrame) -> DataFrame:
+    """picks from ``pick_lines``."""
     cols = ["t1_removed_1", "t1_removed_2", "t1_removed_3", "t2_removed_1", "t2_removed_2",
             "t2_removed_3", "t1_picked_1", "t2_picked_1", "left_over"]
-    out = [F.col("o_orderkey").alias("match_id"), event_of(F.col("o_custkey")).alias("event_id"),
-           (F.col("o_orderkey") % 2).cast("int").alias("inverted_teams"),
-           F.col("o_orderpriority").alias("system")]
+    out = ["match_id", "event_id", (F.col("match_id") % 2).cast("int").alias("inverted_teams"), "system"]
     for i, c in enumerate(cols):
-        number = (F.col("o_orderkey") + i) % POOL_SIZE + 1
+        number = (F.col("match_id") + i) % POOL_SIZE + 1
         out.append(F.concat(F.lit("pool map "), number.cast("string")).alias(c))
-    return o.select(*out)
+    return lines.select(*out)
 
 
 # --- the live parts, over the driver's ``events`` table -------------------

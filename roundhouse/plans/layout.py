@@ -18,6 +18,7 @@ from .load import FinalTables, read_final
 TABLES = ("results", "matches", "players_raw")
 KEY = "match_id"
 PLACE = "by_match"
+FILES_PER_TASK = 32  # up to so many buckets, a scan task writes a part of each: its split holds 4 MiB of one
 
 
 def buckets_for(input_bytes: int, target_bytes: int = 256 << 20) -> int:
@@ -32,6 +33,9 @@ def cluster_by_match(spark: SparkSession, folder: str, buckets: int) -> int:
     The marker of the snapshot comes last and names the number of buckets; a run that
     breaks off leaves the snapshot before it in use. Older snapshots stay until they
     are removed (readers may hold them).
+
+    Few buckets are written where the rows are read, a file per task and bucket, without
+    a shuffle; many (they grow with the tables) would leave small files, so rows are dealt first.
     """
     place = Folder(spark, f"{folder}/{PLACE}")
     number = max((s for s, _ in _snapshots(place)), default=-1) + 1
@@ -40,7 +44,9 @@ def cluster_by_match(spark: SparkSession, folder: str, buckets: int) -> int:
         if df is None:
             raise FileNotFoundError(f"{folder}/{name}")
         view = f"layout_{uuid.uuid4().hex}"
-        (df.drop("version").repartition(buckets, KEY).write.mode("overwrite").bucketBy(buckets, KEY).sortBy(KEY)
+        df = df.drop("version")
+        dealt = df if buckets <= FILES_PER_TASK else df.repartition(buckets, KEY)
+        (dealt.write.mode("overwrite").bucketBy(buckets, KEY).sortBy(KEY)
          .option("path", f"{folder}/{PLACE}/snapshot={number}/{name}").saveAsTable(view))
         spark.sql(f"DROP TABLE {view}")  # the catalogue entry only: the files stay at their path
     place.mark(f"snapshot={number}.buckets={buckets}")

@@ -11,11 +11,15 @@ one partition (partition pruning).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_best_of
 from ..operators.etl import insert_ignore
+from ..session import materialize
 from ..sources.tables import TableSource
 from . import adapters as A
 
@@ -50,29 +54,59 @@ def read_final(spark: SparkSession, folder: str, table: str) -> DataFrame | None
 SORT_BY = {"matches": ["match_date", "match_id"], WIDE: ["match_date", "match_id"]}
 
 
-def load_increment(new: DataFrame, folder: str, table: str, keys: list[str] | None,
+class Staged(NamedTuple):
+    """A staged table as the narrow rows that are dealt to its writers (match_id, event_id and what
+    else its columns are made of) and ``finish``, which makes the columns of them row by row, there.
+
+    ``finish(rows, keep)`` passes the columns named in ``keep`` through. ``keyed``: the smallest
+    row of a key makes the smallest row of the table, so keys may be decided on ``rows``.
+    """
+
+    rows: DataFrame
+    finish: Callable[..., DataFrame]
+    keyed: bool = False
+
+    def frame(self) -> DataFrame:
+        return self.finish(self.rows)
+
+
+def _staged(new: DataFrame | Staged) -> Staged:
+    if isinstance(new, Staged):
+        return new
+    columns = new.columns
+    return Staged(new, lambda rows, keep=(): rows.select(*columns, *keep), True)
+
+
+def _fresh(new: DataFrame | Staged, folder: str, table: str, keys: list[str] | None, version: int) -> Staged:
+    """The rows of ``new`` that the table does not hold yet before ``version``."""
+    staged = _staged(new)
+    if not keys:
+        return staged
+    if not staged.keyed:
+        staged = _staged(staged.frame())
+    fresh = insert_ignore(staged.rows, None, keys)
+    current = read_final(staged.rows.sparkSession, folder, table)
+    if current is not None:
+        fresh = fresh.join(current.filter(F.col("version") < version).select(*keys), keys, "left_anti")
+    return staged._replace(rows=fresh)
+
+
+def load_increment(new: DataFrame | Staged, folder: str, table: str, keys: list[str] | None,
                    version: int) -> None:
     """Write the rows of ``new`` that the table does not hold yet as ``version``."""
-    spark = new.sparkSession
-    current = read_final(spark, folder, table)
-    if current is not None:
-        current = current.filter(F.col("version") < version).drop("version")
-    if keys:
-        fresh = insert_ignore(new, None, keys)
-        if current is not None:
-            fresh = fresh.join(current.select(*keys), keys, "left_anti")
-    else:
-        fresh = new
-    _write_by_event(fresh, SORT_BY.get(table, keys), f"{folder}/{table}/version={version}")
+    fresh = _fresh(new, folder, table, keys, version)
+    _write(fresh.finish(_by_event(fresh.rows)), SORT_BY.get(table, keys), f"{folder}/{table}/version={version}")
 
 
-def _write_by_event(df: DataFrame, order: list[str] | None, path: str) -> None:
-    """Write partitioned by event. REBALANCE(event_id) groups each event's rows
-    into few tasks (few files per event instead of one per task and event)
-    and lets AQE split an event holding a large share of the rows over
-    several tasks; rows are then sorted inside each file."""
-    if "event_id" in df.columns:
-        df = df.hint("rebalance", "event_id")
+def _by_event(df: DataFrame) -> DataFrame:
+    """REBALANCE(event_id) groups each event's rows into few tasks (few files per event
+    instead of one per task and event) and lets AQE split an event holding a large share
+    of the rows over several tasks."""
+    return df.hint("rebalance", "event_id") if "event_id" in df.columns else df
+
+
+def _write(df: DataFrame, order: list[str] | None, path: str) -> None:
+    """Write rows dealt by event, partitioned by event and sorted inside each file."""
     if order:
         df = df.sortWithinPartitions(*order)
     writer = df.write.mode("overwrite")
@@ -81,22 +115,29 @@ def _write_by_event(df: DataFrame, order: list[str] | None, path: str) -> None:
     writer.parquet(path)
 
 
-def staging_frames(src: TableSource) -> dict[str, DataFrame]:
+def staged_tables(src: TableSource) -> dict[str, DataFrame | Staged]:
     """The staging tables (as the CSV loads would fill them) in final-table shape."""
-    results = A.results(src, detail=True)
+    economy = A.economy(src)
     return {
-        "events": results.select("event_id").distinct()
-                         .withColumn("event_name", F.lit(None).cast("string")),
-        "matches": A.economy(src).select(
+        # the events of results rows, whatever their map
+        "events": A.results(src, with_map=False).select("event_id").distinct()
+                   .withColumn("event_name", F.lit(None).cast("string")),
+        "matches": economy.select(
             "match_id", "event_id", F.col("date").alias("match_date"), "team_1", "team_2",
             clean_best_of("best_of").alias("best_of")),
-        "results": results,
-        "picks": A.picks_stage(src),
-        "players_raw": A.players(src, detail=True),
-        "economy": A.economy(src),
+        "results": Staged(A.result_lines(src, detail=True), lambda rows, keep=(): A.result_columns(rows, True, keep)),
+        "picks": Staged(A.pick_lines(src), A.pick_columns, True),
+        "players_raw": Staged(A.player_lines(src), lambda rows: A.player_columns(rows, src, True)
+                              .withColumnRenamed("date", "match_date")),
+        "economy": Staged(A.match_lines(src), lambda rows: A.economy_columns(rows, src)),
     }
 
 
+def staging_frames(src: TableSource) -> dict[str, DataFrame]:
+    """``staged_tables`` with all of their columns."""
+    return {name: _staged(staged).frame() for name, staged in staged_tables(src).items()}
+
+
 # fixed values: the four source files and their encodings
 CSV_SOURCES = {
     "economy": ("economy.csv", "ISO-8859-1"),
@@ -140,7 +181,7 @@ def staging_from_csv(spark: SparkSession, folder: str, quarantine: str | None =
 
 def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, version: int = 0,
                       tables: list[str] | None = None,
-                      staged: dict[str, DataFrame] | None = None,
+                      staged: dict[str, DataFrame | Staged] | None = None,
                       declared_keys: dict[str, list[str]] | None = None) -> None:
     """Run the ETL steps in the reference's order into ``folder``.
 
@@ -149,15 +190,40 @@ def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, vers
     none by default (results, players_raw, economy), so that input loaded again
     adds nothing.
     """
-    staged = staged or staging_frames(TableSource(spark, sf_dir))
+    staged = staged or staged_tables(TableSource(spark, sf_dir))
     for name, keys in FINAL_TABLES:
         if tables is None or name in tables:
-            load_increment(staged[name], folder, name, (declared_keys or {}).get(name, keys), version)
-    if tables is None or "results" in tables:
-        load_wide_results(spark, folder, version)
+            keys = (declared_keys or {}).get(name, keys)
+            if name == "results" and read_final(spark, folder, "matches") is not None:
+                load_results(spark, staged[name], folder, keys, version)
+            else:
+                load_increment(staged[name], folder, name, keys, version)
+
+
+# what results_wide takes from matches
+MATCH_COLUMNS = ["team_1", "team_2", "match_date"]
+
+
+def load_results(spark: SparkSession, new: DataFrame | Staged, folder: str, keys: list[str] | None,
+                 version: int) -> None:
+    """results, results_wide and results_waiting of ``version``: the new rows meet their match
+    before they are dealt by event, so they are dealt once for all three tables. What
+    is dealt is written once below the shared checkpoint folder and read by each.
+    """
+    fresh = _fresh(new, folder, "results", keys, version)
+    dealt = _dealt_with_match(spark, fresh.rows, folder, version)
+    _write(fresh.finish(dealt), None, f"{folder}/results/version={version}")
+    load_wide_results(spark, folder, version, fresh.finish(dealt, (*MATCH_COLUMNS, "_found")))
+
+
+def _dealt_with_match(spark: SparkSession, rows: DataFrame, folder: str, version: int) -> DataFrame:
+    """``rows`` with their match's columns and ``_found``, dealt by event and written."""
+    known = read_final(spark, folder, "matches").filter(F.col("version") <= version)
+    joined = rows.join(known.select("match_id", *MATCH_COLUMNS, F.lit(True).alias("_found")), "match_id", "left")
+    return materialize(_by_event(joined), "results-dealt")
 
 
-def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
+def load_wide_results(spark: SparkSession, folder: str, version: int, fresh: DataFrame | None = None) -> None:
     """results_wide for ``version``: the pairs of result and match rows of which at
     least one arrived in this version, so a match that comes after its results
     completes them and no pair is written twice. Questions over it need no
@@ -167,15 +233,18 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     Results whose match is still missing are kept aside (results_waiting, whole in
     each version): a load reads its own results, those waiting and the keys of matches,
     not the results loaded before. Match ids are unique in matches, so a result that
-    has its match gets no other one.
+    has its match gets no other one. ``fresh``: the version's results with their match, as
+    dealt by event, if the caller has them.
     """
     results, matches = read_final(spark, folder, "results"), read_final(spark, folder, "matches")
     if results is None or matches is None:
         return
-    cols = ["match_id", "team_1", "team_2", "match_date"]
-    fresh = results.filter(F.col("version") == version).drop("version")
-    known = matches.filter(F.col("version") <= version).select(*cols)
-    arrived = matches.filter(F.col("version") == version).select(*cols)
+    if fresh is None:
+        fresh = _dealt_with_match(spark, results.filter(F.col("version") == version).drop("version"), folder, version)
+    if "event_id" in results.columns:  # of the type that the partitions of results are read as
+        fresh = fresh.withColumn("event_id", F.col("event_id").cast(results.schema["event_id"].dataType))
+    wide = fresh.filter("_found").drop("_found")
+    still = fresh.filter("_found IS NULL").drop("_found", *MATCH_COLUMNS)
     before = read_final(spark, folder, WAITING)
     if before is None:  # results loaded before any match was there, or by an earlier form of this load
         waiting = results.filter(F.col("version") < version).drop("version")
@@ -184,9 +253,11 @@ def load_wide_results(spark: SparkSession, folder: str, version: int) -> None:
     else:
         newest = before.filter(F.col("version") < version).select(F.max("version")).scalar()
         waiting = before.filter(F.col("version") == newest).drop("version")
-    wide = fresh.join(known, "match_id").unionByName(waiting.join(arrived, "match_id"))
-    still = fresh.join(known, "match_id", "left_anti").unionByName(waiting.join(arrived, "match_id", "left_anti"))
-    _write_by_event(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
+    if not waiting.isEmpty():
+        arrived = matches.filter(F.col("version") == version).select("match_id", *MATCH_COLUMNS)
+        wide = wide.unionByName(_by_event(waiting.join(arrived, "match_id")))
+        still = still.unionByName(waiting.join(arrived, "match_id", "left_anti"))
+    _write(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")
     still.write.mode("overwrite").parquet(f"{folder}/{WAITING}/version={version}")
 
 

@@ -79,3 +79,19 @@ def test_a_broken_snapshot_is_not_used(spark, folder, no_broadcast, monkeypatch)
 
 def test_bucket_counts():
     assert [buckets_for(b << 20) for b in (0, 1, 256, 257, 1000, 100 << 20)] == [1, 1, 1, 2, 4, 1 << 19]
+
+
+def test_few_buckets_are_written_without_a_shuffle(spark, folder, no_broadcast, monkeypatch):
+    from roundhouse.plans import layout
+    dealt, frame = [], type(spark.range(1))
+    kept = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(a) or kept(self, *a))
+    cluster_by_match(spark, folder, 4)
+    assert not dealt
+    laid = MatchTables(spark, folder)
+    assert "Exchange" not in below_joins(QUESTIONS["players_min_maps"](laid))
+    assert sorted(map(KEY, laid.p.select("match_id", "player_name", "kills").collect())) == sorted(
+        map(KEY, FinalTables(spark, folder).p.select("match_id", "player_name", "kills").collect()))
+    monkeypatch.setattr(layout, "FILES_PER_TASK", 2)    # many buckets: rows are dealt to them first
+    cluster_by_match(spark, folder, 4)
+    assert dealt == [(4, "match_id")] * 3

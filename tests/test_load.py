@@ -147,3 +147,38 @@ def test_waiting_results_over_several_loads(spark, tmp_path):
     wide = sorted((r["match_id"], r["map"], r["team_1"]) for r in read_final(spark, folder, WIDE).collect())
     assert wide == [(1, "a", "A"), (1, "b", "A"), (2, "a", "C"), (2, "b", "C"), (3, "a", "E"), (99, "c", "Q")]
     assert read_final(spark, folder, WAITING).filter("version = 4").count() == 0
+
+
+def test_results_are_dealt_once_for_all_their_tables(spark, tmp_path, monkeypatch):
+    """One deal by event for results, results_wide and results_waiting; the loaded rows are the staged ones."""
+    from roundhouse.plans import load
+    from roundhouse.sources.tables import TableSource
+    dealt = []
+    kept = load._by_event
+    monkeypatch.setattr(load, "_by_event", lambda df: dealt.append(len(df.columns)) or kept(df))
+    folder = str(tmp_path)
+    load_final_tables(spark, SF_SMALL, folder, 0, tables=["matches", "results"])
+    assert len(dealt) == 2 and dealt[1] < 16       # matches and, narrower than the table, results
+    load_final_tables(spark, SF_SMALL, folder, 0, tables=["events", "picks", "players_raw", "economy"])
+    for name, frame in load.staging_frames(TableSource(spark, SF_SMALL)).items():
+        got = read_final(spark, folder, name).drop("version").select(*frame.columns)
+        assert got.exceptAll(frame).isEmpty() and frame.exceptAll(got).isEmpty() and got.count() > 0, name
+
+
+def test_results_without_match_or_event_are_loaded(spark, tmp_path):
+    """Null keys, repeated rows and results that wait for their match, of a bigint event id."""
+    from roundhouse.plans.load import WAITING, WIDE
+    match = "match_id long, event_id int, match_date date, team_1 string, team_2 string"
+    result = "match_id long, event_id long, map string, result_1 int, result_2 int"
+    rows = [(1, 7, "a", 1, 2), (1, 7, "a", 1, 2), (None, 7, "b", 1, 2), (2, None, None, None, 2), (1, None, "c", 0, 0)]
+    load_final_tables(spark, None, str(tmp_path), 0, tables=["matches", "results"], staged={
+        "matches": spark.createDataFrame([(1, 7, None, "A", None), (None, 7, None, "B", "C")], match),
+        "results": spark.createDataFrame(rows, result)})
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    read = lambda name: sorted((key(r) for r in read_final(spark, str(tmp_path), name).select(
+        "match_id", "event_id", "map", "result_1", "result_2").collect()))
+    assert read("results") == sorted(map(key, rows))
+    assert read(WIDE) == sorted(key(r) for r in rows if r[0] == 1)
+    assert read(WAITING) == sorted(key(r) for r in rows if r[0] != 1)
+    wide = read_final(spark, str(tmp_path), WIDE)
+    assert wide.columns[:8] == ["match_id", "map", "result_1", "result_2", "team_1", "team_2", "match_date", "version"]
