@@ -247,7 +247,9 @@ def stream_standings_live(results_stream: DataFrame, matches_stream: DataFrame,
     Without ``horizon`` both sides are kept for ever and the result is the batch answer.
     With it, a result counts if its ``result_ts`` lies within the horizon of its match's
     ``match_ts``; older state is dropped and rows later than that are ignored.
-    Null match ids join nothing.
+    Null match ids join nothing. Without ``horizon`` the state holds a row per match and winner
+    with the number of its results in a batch (of a part of the batch, where one match has very
+    many), and none of results without a winner.
     """
     from ..functions.scalars import side_winner
     columns = ["match_id", "team_1", "team_2"]
@@ -255,20 +257,50 @@ def stream_standings_live(results_stream: DataFrame, matches_stream: DataFrame,
         matches = (matches_stream.withColumn("_m", F.col(match_ts).cast("timestamp")).withWatermark("_m", horizon)
                    .select(*columns, "_m").filter("match_id IS NOT NULL").dropDuplicatesWithinWatermark(["match_id"]))
         results = (results_stream.withColumn("_w", F.col(result_ts).cast("timestamp")).withWatermark("_w", horizon)
-                   .select(F.col("match_id").alias("_id"), "match_winner", "_w"))
+                   .select(F.col("match_id").alias("_id"), "match_winner", "_w", F.lit(1).cast("long").alias("n")))
         near = F.expr(f"_id = match_id AND _w BETWEEN _m - INTERVAL {horizon} AND _m + INTERVAL {horizon}")
         joined = results.join(matches, near)
     else:
         matches = matches_stream.select(*columns).filter("match_id IS NOT NULL").dropDuplicates(["match_id"])
-        joined = results_stream.select("match_id", "match_winner").join(matches, "match_id")
-    won = joined.select(side_winner("match_winner").alias("team")).filter(F.col("team").isNotNull())
+        joined = _decided(results_stream).join(matches, "match_id")
+    won = joined.select(side_winner("match_winner").alias("team"), "n").filter(F.col("team").isNotNull())
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.groupBy("team").agg(F.count(F.lit(1)).alias("wins")).coalesce(1), target, batch_id)
+        write_batch(batch.groupBy("team").agg(F.sum("n").alias("wins")).coalesce(1), target, batch_id)
 
     return run_stateful(won, target, checkpoint, "standings_live", "append", trigger_every, sink)
 
 
+def _decided(results: DataFrame) -> DataFrame:
+    """(match_id, match_winner, n): results that can count, counted per match and winner of a batch.
+
+    A streaming aggregate would keep state of its own; here the rows of a batch are dealt by
+    match and counted where they lie, a million at a time.
+    """
+    keys = ["match_id", "match_winner"]
+    rows = results.select(*keys).filter(F.col("match_id").isNotNull() & F.col("match_winner").isin(1, 2))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])
+
+    def count(batches):
+        import pyarrow as pa
+
+        def counted():
+            found = pa.Table.from_batches(held).group_by(keys).aggregate([([], "count_all")])
+            return found.rename_columns([*keys, "n"]).combine_chunks().to_batches()
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS_PER_FILE:
+                yield from counted()
+                held, size = [], 0
+        if size:
+            yield from counted()
+
+    return rows.repartition("match_id").mapInArrow(count, schema)
+
+
 def standings(spark: SparkSession, target: str) -> DataFrame:
     """(team, wins) so far of a ``stream_standings_live`` table."""
     return _wins(read_batches(spark, target))

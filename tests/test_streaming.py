@@ -313,6 +313,19 @@ def test_live_standings_state_is_bounded_by_the_horizon(spark, tmp_path):
     assert held["1 day"] <= held[None] / 2
 
 
+def test_live_standings_keep_one_row_per_match_and_winner(spark, tmp_path):
+    """The state follows the matches, not their results; undecided results leave none."""
+    ms, rs = tmp_path / "m", tmp_path / "r"
+    ms.mkdir(), rs.mkdir()
+    put(spark, ms, "m0", [(1, "A", "B", AT), (2, None, "C", AT)], MATCH)
+    put(spark, rs, "r0", [(1, 1, AT)] * 60 + [(1, 2, AT)] * 30 + [(2, 1, AT), (2, 2, AT), (1, None, AT), (1, 3, AT),
+                                                                  (None, 1, AT)] + [(5, None, AT)] * 50, RESULT)
+    target, ckpt = ST.fresh_paths(spark, "t_live_rows")
+    q = ST.stream_standings_live(files(spark, rs, RESULT), files(spark, ms, MATCH), target, ckpt)
+    assert rows(ST.standings(spark, target), "team", "wins") == [("A", 60), ("B", 30), ("C", 1)]
+    assert ST.state_size(q)["rows"] <= 2 + 2 * (2 + 4)     # keys of matches; rows and counts of both sides
+
+
 KEYED = "a int, b string, ts timestamp_ntz, v int"
 
 
