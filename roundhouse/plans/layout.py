@@ -46,7 +46,7 @@ def cluster_by_match(spark: SparkSession, folder: str, buckets: int) -> int:
         view = f"layout_{uuid.uuid4().hex}"
         df = df.drop("version")
         dealt = df if buckets <= FILES_PER_TASK else df.repartition(buckets, KEY)
-        (dealt.write.mode("overwrite").bucketBy(buckets, KEY).sortBy(KEY)
+        (dealt.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, KEY).sortBy(KEY)
          .option("path", f"{folder}/{PLACE}/snapshot={number}/{name}").saveAsTable(view))
         spark.sql(f"DROP TABLE {view}")  # the catalogue entry only: the files stay at their path
     place.mark(f"snapshot={number}.buckets={buckets}")

@@ -109,7 +109,7 @@ def _write(df: DataFrame, order: list[str] | None, path: str) -> None:
     """Write rows dealt by event, partitioned by event and sorted inside each file."""
     if order:
         df = df.sortWithinPartitions(*order)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if "event_id" in df.columns:
         writer = writer.partitionBy("event_id")
     writer.parquet(path)

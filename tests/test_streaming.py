@@ -322,7 +322,7 @@ def test_live_standings_keep_one_row_per_match_and_winner(spark, tmp_path):
                                                                   (None, 1, AT)] + [(5, None, AT)] * 50, RESULT)
     target, ckpt = ST.fresh_paths(spark, "t_live_rows")
     q = ST.stream_standings_live(files(spark, rs, RESULT), files(spark, ms, MATCH), target, ckpt)
-    assert rows(ST.standings(spark, target), "team", "wins") == [("A", 60), ("B", 30), ("C", 1)]
+    assert sorted(rows(ST.standings(spark, target), "team", "wins")) == [("A", 60), ("B", 30), ("C", 1)]
     assert ST.state_size(q)["rows"] <= 2 + 2 * (2 + 4)     # keys of matches; rows and counts of both sides
 
 
