@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_best_of
 from ..operators.etl import insert_ignore
 from ..session import materialize
-from ..sources.tables import TableSource
+from ..sources.tables import CountedSource, TableSource
 from . import adapters as A
 
 # the reference's load order and keys; None = no known constraint (append).
@@ -87,10 +87,16 @@ def _fresh(new: DataFrame | Staged, folder: str, table: str, keys: list[str] | N
     fresh = insert_ignore(staged.rows, None, keys)
     current = read_final(staged.rows.sparkSession, folder, table)
     if current is not None:
-        fresh = fresh.join(current.filter(F.col("version") < version).select(*keys), keys, "left_anti")
+        fresh = fresh.join(_grown(current.filter(F.col("version") < version).select(*keys)), keys, "left_anti")
     return staged._replace(rows=fresh)
 
 
+def _grown(df: DataFrame) -> DataFrame:
+    """Rows of a loaded table as a side of a join: never broadcast. Its files are packed so well that Spark
+    takes millions of rows for a few MB and would build them in the driver's memory."""
+    return df.hint("merge")
+
+
 def load_increment(new: DataFrame | Staged, folder: str, table: str, keys: list[str] | None,
                    version: int) -> None:
     """Write the rows of ``new`` that the table does not hold yet as ``version``."""
@@ -190,7 +196,7 @@ def load_final_tables(spark: SparkSession, sf_dir: str | None, folder: str, vers
     none by default (results, players_raw, economy), so that input loaded again
     adds nothing.
     """
-    staged = staged or staged_tables(TableSource(spark, sf_dir))
+    staged = staged or staged_tables(CountedSource(spark, sf_dir))
     for name, keys in FINAL_TABLES:
         if tables is None or name in tables:
             keys = (declared_keys or {}).get(name, keys)
@@ -219,7 +225,8 @@ def load_results(spark: SparkSession, new: DataFrame | Staged, folder: str, keys
 def _dealt_with_match(spark: SparkSession, rows: DataFrame, folder: str, version: int) -> DataFrame:
     """``rows`` with their match's columns and ``_found``, dealt by event and written."""
     known = read_final(spark, folder, "matches").filter(F.col("version") <= version)
-    joined = rows.join(known.select("match_id", *MATCH_COLUMNS, F.lit(True).alias("_found")), "match_id", "left")
+    known = _grown(known.select("match_id", *MATCH_COLUMNS, F.lit(True).alias("_found")))
+    joined = rows.join(known, "match_id", "left")
     return materialize(_by_event(joined), "results-dealt")
 
 
@@ -248,13 +255,13 @@ def load_wide_results(spark: SparkSession, folder: str, version: int, fresh: Dat
     before = read_final(spark, folder, WAITING)
     if before is None:  # results loaded before any match was there, or by an earlier form of this load
         waiting = results.filter(F.col("version") < version).drop("version")
-        earlier = matches.filter(F.col("version") < version).select("match_id")
+        earlier = _grown(matches.filter(F.col("version") < version).select("match_id"))
         waiting = waiting.join(earlier, "match_id", "left_anti")
     else:
         newest = before.filter(F.col("version") < version).select(F.max("version")).scalar()
         waiting = before.filter(F.col("version") == newest).drop("version")
     if not waiting.isEmpty():
-        arrived = matches.filter(F.col("version") == version).select("match_id", *MATCH_COLUMNS)
+        arrived = _grown(matches.filter(F.col("version") == version).select("match_id", *MATCH_COLUMNS))
         wide = wide.unionByName(_by_event(waiting.join(arrived, "match_id")))
         still = still.unionByName(waiting.join(arrived, "match_id", "left_anti"))
     _write(wide, SORT_BY[WIDE], f"{folder}/{WIDE}/version={version}")

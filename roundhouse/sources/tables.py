@@ -22,3 +22,23 @@ class TableSource:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.table(name)
+
+
+BROADCAST_ROWS = 1_250_000  # rows of few columns take about 80 bytes each in a broadcast table
+
+
+class CountedSource(TableSource):
+    """Parts and customers of more than ``BROADCAST_ROWS`` rows are never broadcast: the size of their files,
+    which Spark decides by, says little of their rows in memory. Counting reads the footers of the files only."""
+
+    COUNTED = ("customer", "part")
+
+    def __init__(self, spark: SparkSession, root: str, most: int = BROADCAST_ROWS):
+        super().__init__(spark, root)
+        self.most, self.large = most, {}
+
+    def table(self, name: str) -> DataFrame:
+        df = super().table(name)
+        if name in self.COUNTED and name not in self.large:
+            self.large[name] = df.count() > self.most
+        return df.hint("merge") if self.large.get(name) else df

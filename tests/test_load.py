@@ -182,3 +182,41 @@ def test_results_without_match_or_event_are_loaded(spark, tmp_path):
     assert read(WAITING) == sorted(key(r) for r in rows if r[0] != 1)
     wide = read_final(spark, str(tmp_path), WIDE)
     assert wide.columns[:8] == ["match_id", "map", "result_1", "result_2", "team_1", "team_2", "match_date", "version"]
+
+
+def test_loaded_tables_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Packed files of millions of rows look small to Spark; the driver's memory has no room for the rows."""
+    from roundhouse.plans import load
+    plans, materialize = [], load.materialize
+
+    def seen(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    matches = spark.createDataFrame([(i, 2200 + i % 3, "a", "b") for i in range(40)] + [(None, 2200, "a", "b")],
+                                    "match_id long, event_id int, team_1 string, team_2 string")
+    matches = matches.withColumn("match_date", F.lit("2019-01-01").cast("date"))
+    results = spark.createDataFrame([(i % 50, 2200 + i % 3, i) for i in range(100)],
+                                    "match_id long, event_id int, result_1 int")
+    folder = str(tmp_path / "final")
+    load.load_increment(matches.filter("match_id < 30 OR match_id IS NULL"), folder, "matches", ["match_id"], 0)
+    fresh = load._fresh(matches, folder, "matches", ["match_id"], 1).rows
+    plans.append(fresh._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r[0] or -1 for r in fresh.select("match_id").collect()) == [-1, *range(30, 40)]
+    monkeypatch.setattr(load, "materialize", seen)
+    load.load_results(spark, results, folder, None, 0)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert read_final(spark, folder, "results_wide").count() == 60
+    assert read_final(spark, folder, "results_waiting").count() == 40
+
+
+def test_large_dimensions_are_not_broadcast_in_a_load(spark):
+    from roundhouse.plans import adapters as A
+    from roundhouse.sources.tables import CountedSource
+    few, many = CountedSource(spark, SF_SMALL), CountedSource(spark, SF_SMALL, most=10)
+    for make in (lambda src: A.match_lines(src), lambda src: A.result_lines(src)):
+        plan = make(many)._jdf.queryExecution().executedPlan().toString()
+        name = "c_custkey" if make(many).columns[-1] == "c_nationkey" else "p_partkey"
+        joins = [x for x in plan.splitlines() if "Join" in x and name in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
+        assert make(few).exceptAll(make(many)).isEmpty() and make(many).exceptAll(make(few)).isEmpty()
